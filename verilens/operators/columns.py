@@ -239,13 +239,13 @@ def terminal_digit_tests(cells: DataFrame) -> DataFrame:
     ).select(
         *TABLE,
         "scope",
-        F.when(F.col("scope") == "column", F.col("col_idx")).alias("col_idx"),
+        F.when(F.col("scope") == "column", F.col("col_idx")).otherwise(-1).alias("scope_col"),
         F.col("col_idx").alias("source_col"),
         "digit",
         "pair",
         "cnt",
     )
-    scope = [*TABLE, "scope", "col_idx"]
+    scope = [*TABLE, "scope", "scope_col"]
     pairs = (
         scoped.groupBy(*scope, "pair")
         .agg(F.sum("cnt").alias("k"))
@@ -265,17 +265,7 @@ def terminal_digit_tests(cells: DataFrame) -> DataFrame:
     both = (
         digits.filter((F.col("scope") == "column") | (F.col("cols") >= 2))
         .filter("texts >= 30")
-        .join(
-            pairs.withColumn("col_idx", F.coalesce("col_idx", F.lit(-1))),
-            [
-                digits["doc_id"] == pairs["doc_id"],
-                digits["table_id"] == pairs["table_id"],
-                digits["scope"] == pairs["scope"],
-                F.coalesce(digits["col_idx"], F.lit(-1)) == F.coalesce(pairs["col_idx"], F.lit(-1)),
-            ],
-            "left",
-        )
-        .select(*[digits[c] for c in digits.columns], "pair_n", "pair_k")
+        .join(pairs, scope, "left")
     )
     counts = [F.col(f"c{d}") for d in range(10)]
     n = F.col("n").cast("double")
@@ -320,7 +310,15 @@ def terminal_digit_tests(cells: DataFrame) -> DataFrame:
     uniform = K.chi2_tail(F.col("chi2"), F.when(F.col("chi2").isNotNull(), F.lit(9.0)))
     tail = K.binomial_tail(F.col("k"), F.col("size"), F.col("p0"))
     factor = F.when(F.col("check") == "terminal_digit_pair_binomial", 100.0).otherwise(1.0)
-    return rows.withColumn("p", F.least(F.lit(1.0), F.coalesce(uniform, tail * factor)))
+    return rows.select(
+        *TABLE,
+        "scope",
+        F.when(F.col("scope") == "column", F.col("scope_col")).alias("col_idx"),
+        "check",
+        "k",
+        "size",
+        F.least(F.lit(1.0), F.coalesce(uniform, tail * factor)).alias("p"),
+    )
 
 
 def bh_adjust(tests: DataFrame, family: list[str], p: str = "p", order: list[str] = ()) -> DataFrame:

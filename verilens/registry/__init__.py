@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("columns", "relations")
+MODULES = ("columns", "relations", "images")
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 

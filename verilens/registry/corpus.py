@@ -150,24 +150,130 @@ TEXT_BLOCKS_SQL = (
 )
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64-bit sign hashes of the embedding vectors; doc = label, page = vec_id."""
-    bits = F.transform(F.slice("embedding", 1, 63), lambda x: (x > 0).cast("long"))
-    phash = F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s * 2 + b)
-    sign = F.when(F.element_at("embedding", 64) > 0, F.lit(-(2**63)).cast("long")).otherwise(
-        F.lit(0).cast("long")
+def _sign_hash(start: int, span: int = 16) -> Column:
+    """64-bit hash: signs of ``span`` vector elements, repeated."""
+    bits = F.transform(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda i: (F.element_at("embedding", (i % span) + start) > 0).cast("long"),
+    )
+    return F.aggregate(
+        bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b)
     )
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose hashes are sign patterns of the vectors; doc = label."""
     return read(spark, sf_dir, "embeddings").select(
         F.col("label").cast("long").alias("doc_id"),
         F.col("vec_id").alias("page"),
+        F.lit(0).alias("idx"),
         F.col("vec_id").alias("image_id"),
-        phash.bitwiseOR(sign).alias("phash"),
+        _sign_hash(1).alias("phash"),
+        _sign_hash(17).alias("ahash"),
+        _sign_hash(33).alias("dhash"),
+        (40 + F.col("vec_id") * 37 % 400).cast("int").alias("width"),
+        (40 + F.col("vec_id") * 53 % 300).cast("int").alias("height"),
+        (1000 + F.col("vec_id") * 7919 % 40000).alias("bytes_size"),
+        F.sha1(_sign_hash(1, 8).cast("string")).alias("sha1"),
+        F.transform(
+            "embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x + 4) * 32)))
+        ).alias("pixels"),
+    )
+
+
+def _sql_hash(start: int, span: int = 16) -> str:
+    wide = (
+        "list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[CAST(i % "
+        f"{span} + {start} AS INT)] > 0 THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INT) ELSE CAST(0 AS HUGEINT) END))"
+    )
+    return (
+        f"CAST(CASE WHEN {wide} >= 9223372036854775808 THEN {wide} - 18446744073709551616 ELSE {wide} END AS BIGINT)"
     )
 
 
 IMAGES_SQL = (
     "images AS (SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS page, vec_id AS image_id, "
-    "CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 "
-    "THEN CAST(1 AS HUGEINT) << (62 - i) ELSE 0 END)) AS BIGINT) AS low_bits, "
-    "embedding[64] > 0 AS top_bit FROM embeddings)"
+    f"{_sql_hash(1)} AS phash, {_sql_hash(17)} AS ahash, {_sql_hash(33)} AS dhash, "
+    f"sha1(CAST({_sql_hash(1, 8)} AS VARCHAR)) AS sha1, "
+    "40 + vec_id * 37 % 400 AS width, 40 + vec_id * 53 % 300 AS height, 1000 + vec_id * 7919 % 40000 AS bytes_size, "
+    "list_transform(embedding, lambda x: least(255, greatest(0, CAST(floor((x + 4) * 32) AS INT)))) AS pixels FROM embeddings)"
 )
+
+
+# Positions (0-based, row by row) that each turn of an 8x8 picture takes its bits from.
+TURNS = {
+    "identity": [8 * r + c for r in range(8) for c in range(8)],
+    "hflip": [8 * r + 7 - c for r in range(8) for c in range(8)],
+    "vflip": [8 * (7 - r) + c for r in range(8) for c in range(8)],
+    "rot90": [8 * c + 7 - r for r in range(8) for c in range(8)],
+    "rot180": [8 * (7 - r) + 7 - c for r in range(8) for c in range(8)],
+    "rot270": [8 * (7 - c) + r for r in range(8) for c in range(8)],
+}
+
+
+def image_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of every image under each turn (J7); bits are the 16 repeated signs."""
+    hashes = []
+    for name, order in TURNS.items():
+        bits = F.array(*[(F.element_at("embedding", p % 16 + 1) > 0).cast("long") for p in order])
+        value = F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+        hashes.append(F.struct(F.lit(name).alias("transform"), value.alias("hash")))
+    return (
+        read(spark, sf_dir, "embeddings")
+        .select(
+            F.col("label").cast("long").alias("doc_id"),
+            F.col("vec_id").alias("image_id"),
+            F.explode(F.array(*hashes)).alias("v"),
+        )
+        .select("doc_id", "image_id", "v.*")
+    )
+
+
+def _variants_sql() -> str:
+    parts = []
+    for name, order in TURNS.items():
+        wide = " + ".join(
+            f"CASE WHEN embedding[{p % 16 + 1}] > 0 THEN CAST({1 << (63 - i)} AS HUGEINT) ELSE 0 END"
+            for i, p in enumerate(order)
+        )
+        parts.append(
+            f"SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS image_id, '{name}' AS transform, {wide} AS w FROM embeddings"
+        )
+    return (
+        "variants AS (SELECT doc_id, image_id, transform, CAST(CASE WHEN w >= 9223372036854775808 THEN "
+        "w - 18446744073709551616 ELSE w END AS BIGINT) AS hash FROM (" + " UNION ALL ".join(parts) + "))"
+    )
+
+
+VARIANTS_SQL = _variants_sql()
+
+
+def image_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four cells per image: 16 vector elements each, hash of their first 8 signs."""
+    cells = []
+    for k in range(4):
+        part = F.slice("embedding", 16 * k + 1, 16)
+        mean = F.aggregate(part, F.lit(0.0), lambda s, x: s + x) / 16
+        squares = F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+        spread = F.sqrt(F.greatest(squares / 16 - mean * mean, F.lit(0.0)))
+        cells.append(
+            F.struct(
+                F.lit(k).alias("part"), _sign_hash(16 * k + 1).alias("hash"), (spread * 40).alias("std")
+            )
+        )
+    return (
+        read(spark, sf_dir, "embeddings")
+        .select(
+            F.col("label").cast("long").alias("doc_id"),
+            F.col("vec_id").alias("image_id"),
+            F.explode(F.array(*cells)).alias("c"),
+        )
+        .select("doc_id", "image_id", "c.*")
+    )
+
+
+PARTS_SQL = "parts AS (" + " UNION ALL ".join(
+    f"SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS image_id, {k} AS part, {_sql_hash(16 * k + 1)} AS hash, "
+    f"list_stddev_pop(list_transform(embedding[{16 * k + 1}:{16 * k + 16}], lambda x: CAST(x AS DOUBLE))) * 40 AS std FROM embeddings"
+    for k in range(4)
+) + ")"
