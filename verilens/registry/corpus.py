@@ -151,14 +151,16 @@ TEXT_BLOCKS_SQL = (
 
 
 def _sign_hash(start: int, span: int = 16) -> Column:
-    """64-bit hash: signs of ``span`` vector elements, repeated."""
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda i: (F.element_at("embedding", (i % span) + start) > 0).cast("long"),
-    )
-    return F.aggregate(
-        bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b)
-    )
+    """64-bit hash: signs of ``span`` vector elements, first one on top, repeated."""
+    bits = [
+        F.when(F.element_at("embedding", start + k) > 0, 1 << (span - 1 - k)).otherwise(0)
+        for k in range(span)
+    ]
+    word = sum(bits[1:], bits[0]).cast("long")
+    value = word
+    for shift in range(span, 64, span):
+        value = value.bitwiseOR(F.shiftleft(word, shift))
+    return value
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,3 +279,168 @@ PARTS_SQL = "parts AS (" + " UNION ALL ".join(
     f"list_stddev_pop(list_transform(embedding[{16 * k + 1}:{16 * k + 16}], lambda x: CAST(x AS DOUBLE))) * 40 AS std FROM embeddings"
     for k in range(4)
 ) + ")"
+
+
+DETECTORS = (
+    "table_relationships",
+    "image_forensics",
+    "image_dup",
+    "table_round_bias",
+    "pdf_metadata",
+    "text_patterns",
+    "cross_paper_image",
+    "image_noise_inconsistency",
+)
+TABLE_CHECKS = (
+    "fixed_offset",
+    "matching_decimal_tails",
+    "high_duplicate_rate",
+    "cross_table_fixed_offset",
+    "arithmetic_progression",
+    "excel_fabrication_span",
+)
+IMAGE_CHECKS = ("ela", "copy_move", "texture_overlap", "panel_sift_match", "full_image_duplicate")
+
+
+def _pick(values: tuple[str, ...], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding per event; document = user."""
+    e, whole = F.col("event_id"), F.floor("value")
+    slot, octet = e % 8, F.floor(e / 8)
+    s = lambda c: c.cast("string")
+    detector = _pick(DETECTORS, slot)
+    check = F.when(slot == 0, _pick(TABLE_CHECKS, octet % 6)).when(
+        slot == 1, _pick(IMAGE_CHECKS, octet % 5)
+    ).otherwise("")
+    cents = F.floor(F.round(F.col("value") * 100)).cast("long")
+    table, image = slot == 0, slot.isin(1, 2)
+    panel = (slot == 1) & (octet % 5 == 3)
+    keys = {
+        "n": F.when(table, s(whole % 60)),
+        "offset": F.when(table, s(((cents % 700) / 100).cast("decimal(8,2)"))),
+        "match_fraction": F.when(table, s(((e % 10 + 1) / 10).cast("decimal(3,1)"))),
+        "left_table": F.when(check == "cross_table_fixed_offset", F.concat(F.lit("Table "), s(e % 5))),
+        "right_table": F.when(check == "cross_table_fixed_offset", F.concat(F.lit("Table "), s(e % 7))),
+        "left_column": F.when(table, F.when(e % 9 == 0, "col_1").otherwise("dose")),
+        "right_column": F.when(table, F.lit("dose b")),
+        "high_member_count": F.when(table, s(whole % 9)),
+        "ratio": F.when(slot == 3, s(((e % 10) / 10).cast("decimal(3,1)"))),
+        "matched_paper_id": F.when(slot == 6, F.when(e % 3 == 0, "main").otherwise("10.1000/x")),
+        "substantial_image": F.when(slot == 6, F.when(e % 5 == 0, "false").otherwise("true")),
+        "secondary": F.when((slot == 1) & (e % 3 == 0), F.lit("true")),
+        "page_a": F.when(image, s(octet % 6)),
+        "index_a": F.when(image, s(octet % 2)),
+        "page_b": F.when(image, s(cents % 6)),
+        "index_b": F.when(image, s(cents % 2)),
+        "panel_a": F.when(panel, s(octet % 4)),
+        "panel_b": F.when(panel, s(octet % 4 + 1)),
+        "page": F.when(panel, s(octet % 6)),
+        "pubpeer_pattern": F.when(table & (octet % 6 < 3), F.concat(F.lit("pattern_"), s(octet % 2))),
+    }
+    pairs = [x for k, v in keys.items() for x in (F.lit(k), v)]
+    return read(spark, sf_dir, "events").select(
+        s(e).alias("finding_id"),
+        s(F.col("user_id")).alias("doc_id"),
+        detector.alias("detector"),
+        check.alias("check"),
+        _pick(("info", "low", "medium", "high"), (F.floor(e / 4) + whole) % 4).alias("severity"),
+        F.concat(F.lit("Signal "), s(e % 100), F.lit(" in "), detector).alias("title"),
+        F.concat(F.lit("Table "), s(e % 5), F.lit(", columns 1 and 2")).alias("location"),
+        F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("raw"),
+    )
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+FINDINGS_SQL = f"""fb AS (SELECT *, event_id AS e, event_id % 8 AS slot, event_id // 8 AS octet, CAST(floor(value) AS BIGINT) AS whole,
+ CAST(floor(round(value * 100)) AS BIGINT) AS cents FROM events),
+fc AS (SELECT *, {_list(DETECTORS)}[slot + 1] AS detector, CASE WHEN slot = 0 THEN {_list(TABLE_CHECKS)}[octet % 6 + 1]
+ WHEN slot = 1 THEN {_list(IMAGE_CHECKS)}[octet % 5 + 1] ELSE '' END AS "check" FROM fb),
+f AS (SELECT CAST(e AS VARCHAR) AS finding_id, CAST(user_id AS VARCHAR) AS doc_id, detector, "check", slot, octet, e,
+ ['info','low','medium','high'][(e // 4 + whole) % 4 + 1] AS severity, (e // 4 + whole) % 4 AS rank,
+ 'Signal ' || (e % 100) || ' in ' || detector AS title, 'Table ' || (e % 5) || ', columns 1 and 2' AS location,
+ CASE WHEN slot = 0 THEN whole % 60 ELSE 0 END AS n, CASE WHEN slot = 0 THEN (cents % 700) / 100.0 END AS "offset",
+ CASE WHEN slot = 0 THEN (e % 10 + 1) / 10.0 END AS match_fraction,
+ CASE WHEN "check" = 'cross_table_fixed_offset' THEN 'table ' || (e % 5) END AS left_table,
+ CASE WHEN "check" = 'cross_table_fixed_offset' THEN 'table ' || (e % 7) END AS right_table,
+ slot = 0 AND e % 9 = 0 AS blanks, CASE WHEN slot = 0 THEN whole % 9 ELSE 0 END AS high_members, (e % 10) / 10.0 AS ratio,
+ slot = 6 AND e % 3 = 0 AS generic, slot = 6 AND e % 5 = 0 AS small, slot = 1 AND e % 3 = 0 AS secondary,
+ CASE WHEN slot IN (1, 2) THEN octet % 6 END AS page_a, CASE WHEN slot IN (1, 2) THEN octet % 2 END AS index_a,
+ CASE WHEN slot IN (1, 2) THEN cents % 6 END AS page_b, CASE WHEN slot IN (1, 2) THEN cents % 2 END AS index_b,
+ CASE WHEN slot = 1 AND octet % 5 = 3 THEN octet % 4 END AS panel_a,
+ CASE WHEN slot = 0 AND octet % 6 < 3 THEN 'pattern_' || (octet % 2) END AS pattern FROM fc)"""
+
+
+# Lines a paper may hold; a document gets the lines doc_id % 12 and doc_id % 7 + 12.
+PAPER_LINES = (
+    "TODO: cite the source. We saw [?] here and {{ name }} there",
+    "As an AI language model, I cannot provide data.",
+    "The effect was t(28) = 2.20, p = .04 and F(2, 45) = 3.10, p = .001.",
+    "[1] Smith J. A long title of the work. Journal. 2019;1:1-10. 10.1371/journal.a1",
+    "Contact: ann.b@gmail.com, bob@uni.edu, ann.b@gmail.com",
+    "Data availability statement: data are available upon reasonable request at https://example.org/data.",
+    "Scores (n = 20) were mean = 3.45, SD = 1.20, p = 0.045 and 47.3% agreed. Certainly, yes!!",
+    "Earlier work [Smith 2019] and (Jones, 2020) agrees [3, 4] and [7]. See arXiv:2001.01234",
+    "Funding: grant number 5. The authors declare no conflict of interest. Ethics approval was given.",
+    "Materials and Methods",
+    "Deeply learning models and machine-learned rules meet covid-2019 in 深学习",
+    "Ann Lee 1, Bo Chen 2, Cy Diaz 1. Department of Physics, University of Somewhere. Institute of Chemistry, Anytown",
+    "[2] Jones K. Another long title of the work. Journal. 2020;2:2-9. 10.1371/journal.a1 PMID: 123456",
+    "[3] Brown, A. (2018). Third title of the work, journal of things, 3, 1-9. 10.1371/journal.a1",
+    "1. White B. \"A quoted title of good length\" Journal 4 (2017): 1-10. PMID: 123456",
+    "Results and Discussion",
+    "A correlation of r(30) = .45, p = .01 and z = 1.96, p = .05 held; chi2(2) = 5.99, p = .05.",
+    "RETRACTED: the paper. Reviewed by: Ann Lee, Bo Chen",
+    "Raw data are no longer available. api_key = abcdef1234567890 in /home/annlee and Bearer abcdefgh1234",
+)
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts with two lines of a paper appended."""
+    lines = F.array(*[F.lit(x) for x in PAPER_LINES])
+    return read(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat_ws(
+            "\n",
+            "text",
+            F.element_at(lines, (F.col("doc_id") % 12 + 1).cast("int")),
+            F.element_at(lines, (F.col("doc_id") % 7 + 13).cast("int")),
+        ).alias("text"),
+    )
+
+
+def paper_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers(spark, sf_dir).select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text")
+    )
+
+
+_LINES_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in PAPER_LINES) + "]"
+PAPERS_SQL = (
+    f"papers AS (SELECT doc_id, text || chr(10) || {_LINES_SQL}[CAST(doc_id % 12 + 1 AS INT)] || chr(10) || "
+    f"{_LINES_SQL}[CAST(doc_id % 7 + 13 AS INT)] AS text FROM documents), "
+    "blocks AS (SELECT doc_id, unnest(range(len(parts))) AS block_no, unnest(parts) AS text "
+    "FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM papers))"
+)
+
+
+def phrase_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four words of every benchmark item, with its id as the intended term."""
+    words = F.slice(F.split(F.regexp_replace(F.lower("text"), r"[^a-z ]", ""), " +"), 1, 4)
+    return (
+        read(spark, sf_dir, "benchmark")
+        .select(F.array_join(words, " ").alias("phrase"), F.col("item_id").cast("string").alias("intended"))
+        .filter(F.col("phrase").rlike("^[a-z]+ [a-z]+ [a-z]+ [a-z]+$"))
+    )
+
+
+PHRASES_SQL = (
+    "phrases AS (SELECT array_to_string(string_split_regex(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' +')[1:4], ' ') AS phrase, "
+    "CAST(item_id AS VARCHAR) AS intended FROM benchmark), "
+    "dict AS (SELECT * FROM phrases WHERE regexp_matches(phrase, '^[a-z]+ [a-z]+ [a-z]+ [a-z]+$'))"
+)
