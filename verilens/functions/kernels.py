@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Ship this module with the functions, so executors need no installed package.
@@ -170,38 +171,38 @@ def _clean(*inputs: pd.Series) -> list[np.ndarray]:
     return [column.fillna(1.0).to_numpy(dtype=float) for column in inputs]
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     xs, dfs = _clean(x, df)
     return _series(gamma_upper(dfs / 2, xs / 2), x, df)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _series(binomial_upper(*_clean(k, n, p)), k, n, p)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def poisson_tail(k: pd.Series, lam: pd.Series) -> pd.Series:
     return _series(poisson_upper(*_clean(k, lam)), k, lam)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(t_two_tailed(*_clean(t, df)), t, df)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def f_tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _series(f_upper(*_clean(f, d1, d2)), f, d1, d2)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     return _series(normal_two_tailed(*_clean(z)), z)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def pearson_tail(r: pd.Series, df: pd.Series) -> pd.Series:
     return _series(pearson_two_tailed(*_clean(r, df)), r, df)
 

@@ -671,7 +671,8 @@ def image_issue_keys(findings: DataFrame, radius: int = 4) -> DataFrame:
     b = groups.select("doc_id", F.col("hash").alias("hash_b"), F.col("first").alias("v"))
     bridged = near.join(a, ["doc_id", "hash_a"]).join(b, ["doc_id", "hash_b"]).select("u", "v")
     labels = connected_components(
-        nodes.select("node"), within.unionByName(same).unionByName(bridged)
+        nodes.select("node"),
+        cut_lineage(within).unionByName(cut_lineage(same)).unionByName(cut_lineage(bridged)),
     )
     return (
         first.withColumnRenamed("first", "node")

@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..plans.components import connected_components
@@ -704,7 +705,7 @@ def _shaped(values, width: int) -> np.ndarray:
     return np.asarray(values, dtype=float).reshape(-1, int(width))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def edge_density(pixels: pd.Series, width: pd.Series) -> pd.Series:
     """Share of pixels whose Laplacian exceeds twice its spread."""
     out = []
@@ -718,7 +719,7 @@ def edge_density(pixels: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def tile_noise(pixels: pd.Series, width: pd.Series, tile: pd.Series) -> pd.Series:
     """Laplacian variance of each whole tile, row by row."""
     out = []

@@ -435,7 +435,7 @@ def identical_replicates(pairs: DataFrame, numeric: DataFrame) -> DataFrame:
     order = W.partitionBy(*TABLE).orderBy("col_idx")
     ranked = columns.withColumn("ord", F.row_number().over(order))
     same = pairs.filter((F.col("equal") == F.col("n")) & (F.col("n") >= 3)).select(
-        *TABLE_A, "col_a", "col_b", "n"
+        "doc_id", F.col("table_a").alias("table_id"), "col_a", "col_b", "n"
     )
     left = ranked.select(*TABLE, F.col("col_idx").alias("col_a"), F.col("ord").alias("ord_a"))
     right = ranked.select(*TABLE, F.col("col_idx").alias("col_b"), F.col("ord").alias("ord_b"))
@@ -495,9 +495,6 @@ def identical_replicates(pairs: DataFrame, numeric: DataFrame) -> DataFrame:
     return runs.unionByName(scattered).withColumn("severity", F.lit("high"))
 
 
-TABLE_A = ["doc_id", F.col("table_a").alias("table_id")]
-
-
 def value_windows(numeric: DataFrame, width: int = 5, block: int = R.BLOCK) -> DataFrame:
     """Every run of ``width`` successive values of a column that is not constant."""
     inside = (

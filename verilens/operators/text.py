@@ -311,9 +311,8 @@ def build_dictionary(rows: DataFrame, blocklist: list[str]) -> DataFrame:
 WORD = r"[a-z0-9]+"
 
 
-def shingles(text: Column, k: int = 5) -> Column:
-    """Hashes of all word 5-grams, in order."""
-    words = find_all(F.lower(text), WORD)
+def shingles(words: Column, k: int = 5) -> Column:
+    """Hashes of all 5-grams of a word column, in order."""
     return F.when(
         F.size(words) >= k,
         F.transform(
@@ -347,9 +346,9 @@ def duplicate_passages(
     are connected by then need no comparison, and the second round pairs only
     sets of different clusters.
     """
-    words = find_all(F.lower("text"), WORD)
-    big = blocks.filter(F.size(words) >= min_tokens).select(
-        "doc_id", "block_no", F.array_sort(F.array_distinct(shingles(F.col("text")))).alias("s")
+    worded = blocks.select("doc_id", "block_no", find_all(F.lower("text"), WORD).alias("w"))
+    big = worded.filter(F.size("w") >= min_tokens).select(
+        "doc_id", "block_no", F.array_sort(F.array_distinct(shingles(F.col("w")))).alias("s")
     )
     sets = cut_lineage(
         big.groupBy("doc_id", F.xxhash64("s").alias("sig"), "s")
@@ -401,8 +400,9 @@ def copy_loops(
     blocks: DataFrame, min_tokens: int = 30, min_repeats: int = 2, k: int = 5
 ) -> DataFrame:
     """A 5-gram repeated at separate places of one block over a long span."""
-    grams = blocks.filter(F.size(find_all(F.lower("text"), WORD)) >= min_tokens).select(
-        "doc_id", "block_no", F.posexplode(shingles(F.col("text"), k)).alias("pos", "g")
+    worded = blocks.select("doc_id", "block_no", find_all(F.lower("text"), WORD).alias("w"))
+    grams = worded.filter(F.size("w") >= min_tokens).select(
+        "doc_id", "block_no", F.posexplode(shingles(F.col("w"), k)).alias("pos", "g")
     )
     places = (
         grams.groupBy("doc_id", "block_no", "g")

@@ -74,10 +74,10 @@ def t4(spark, sf_dir):
 
 GRAMS = (
     "tok AS (SELECT doc_id, block_no, regexp_extract_all(lower(text), '[一-鿿]|[a-z]+|\\d+|[^\\s]') AS t FROM blocks)",
-    "g AS (SELECT doc_id, block_no, i AS at, array_to_string(t[i:i + 3], ' ') AS gram FROM (SELECT doc_id, block_no, t, "
+    "g AS (SELECT doc_id, block_no, i AS spot, array_to_string(t[i:i + 3], ' ') AS gram FROM (SELECT doc_id, block_no, t, "
     "unnest(range(1, greatest(len(t) - 2, 1))) AS i FROM tok WHERE len(t) >= 4))",
     "ph AS (SELECT DISTINCT phrase FROM dict)",
-    "hit AS (SELECT doc_id, block_no, at, gram AS phrase FROM g JOIN ph ON gram = phrase)",
+    "hit AS (SELECT doc_id, block_no, spot, gram AS phrase FROM g JOIN ph ON gram = phrase)",
 )
 
 
@@ -139,7 +139,7 @@ def t28(spark, sf_dir):
     return S.build_dictionary(rows, ["the of and to"])
 
 
-SHINGLES = """w AS (SELECT doc_id // 8 AS doc_id, doc_id AS block_no, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+SHINGLES = """w AS (SELECT lang AS doc_id, doc_id AS block_no, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
 sh AS (SELECT DISTINCT doc_id, block_no, array_to_string(t[i:i + 4], ' ') AS g FROM (SELECT doc_id, block_no, t, unnest(range(1, len(t) - 3)) AS i FROM w WHERE len(t) >= 30)),
 sz AS (SELECT doc_id, block_no, count(*) AS n FROM sh GROUP BY ALL),
 ov AS (SELECT a.doc_id, a.block_no AS x, b.block_no AS y, count(*) AS c FROM sh a JOIN sh b ON a.doc_id = b.doc_id AND a.g = b.g GROUP BY ALL),
@@ -158,7 +158,7 @@ e AS (SELECT o.doc_id, x, y FROM ov o JOIN sz a ON a.doc_id = o.doc_id AND a.blo
 )
 def j18(spark, sf_dir):
     blocks = X.read(spark, sf_dir, "documents").select(
-        F.floor(F.col("doc_id") / 8).alias("doc_id"), F.col("doc_id").alias("block_no"), "text"
+        F.col("lang").alias("doc_id"), F.col("doc_id").alias("block_no"), "text"
     )
     return S.duplicate_passages(blocks)
 
@@ -259,9 +259,9 @@ def t16(spark, sf_dir):
     return S.references(X.paper_blocks(spark, sf_dir))
 
 
-STYLES = f"""st AS (SELECT doc_id, CASE WHEN q AND paren AND NOT semi THEN 'chicago' WHEN NOT q AND y AND semi THEN 'vancouver' WHEN NOT q AND y THEN 'ieee'
+STYLES = f"""st AS (SELECT doc_id, CASE WHEN q AND paren AND NOT semic THEN 'chicago' WHEN NOT q AND y AND semic THEN 'vancouver' WHEN NOT q AND y THEN 'ieee'
  WHEN y AND contains(left(ref, 20), ',') THEN 'apa' ELSE 'unknown' END AS style FROM (SELECT *, regexp_matches(ref, {quoted(S.QUOTED_TITLE)}) AS q,
- regexp_matches(ref, {quoted(S.YEAR)}) AS y, contains(ref, '(') AND contains(ref, ')') AS paren, contains(ref, ';') AS semi FROM refs))"""
+ regexp_matches(ref, {quoted(S.YEAR)}) AS y, contains(ref, '(') AND contains(ref, ')') AS paren, contains(ref, ';') AS semic FROM refs))"""
 
 
 @add(
