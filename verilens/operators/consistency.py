@@ -436,7 +436,7 @@ P_EQUAL = r"(?i)\bp\s*=\s*(0?\.\d+)"
 def p_value_pileup(blocks: DataFrame) -> DataFrame:
     """Exact p values crowd just below .05."""
     values = blocks.select(
-        "doc_id", F.explode(find_all(F.col("text"), P_EQUAL, 1)).cast("double").alias("p")
+        "doc_id", F.explode(find_all(F.col("text"), P_EQUAL, 1).cast("array<double>")).alias("p")
     ).filter((F.col("p") > 0.001) & (F.col("p") <= 0.10))
     counts = values.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total"),
@@ -542,7 +542,7 @@ def figure_percents(ocr: DataFrame, min_conf: float = 0.5) -> DataFrame:
         .agg(F.min_by("n", "region").alias("n"))
     )
     percents = kept.select(
-        "doc_id", "page", "region", F.explode(find_all(F.col("text"), r"(\d+(?:\.\d+)?)\s?%", 1)).cast("double").alias("pct")
+        "doc_id", "page", "region", F.explode(find_all(F.col("text"), r"(\d+(?:\.\d+)?)\s?%", 1).cast("array<double>")).alias("pct")
     ).filter(F.col("pct").between(0, 100))
     return (
         percents.join(n, ["doc_id", "page"], "left")

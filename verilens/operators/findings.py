@@ -660,20 +660,26 @@ def image_issue_keys(findings: DataFrame, radius: int = 4) -> DataFrame:
     nodes = cut_lineage(image_nodes(findings))
     # Ends of one finding are linked to its first; near hashes link their first nodes.
     first = nodes.groupBy("doc_id", "finding_id").agg(F.min("node").alias("first"))
-    within = nodes.join(first, ["doc_id", "finding_id"]).select(
-        F.col("first").alias("u"), F.col("node").alias("v")
-    )
     hashed = nodes.filter("phash IS NOT NULL").withColumn("hash", hex_to_long(F.col("phash")))
     groups = hashed.groupBy("doc_id", "hash").agg(F.min("node").alias("first"))
-    same = hashed.join(groups, ["doc_id", "hash"]).select(F.col("first").alias("u"), F.col("node").alias("v"))
     near = hash_pairs(groups.select("doc_id", "hash"), None, radius, scope=["doc_id"])
     a = groups.select("doc_id", F.col("hash").alias("hash_a"), F.col("first").alias("u"))
     b = groups.select("doc_id", F.col("hash").alias("hash_b"), F.col("first").alias("v"))
     bridged = near.join(a, ["doc_id", "hash_a"]).join(b, ["doc_id", "hash_b"]).select("u", "v")
-    labels = connected_components(
-        nodes.select("node"),
-        cut_lineage(within).unionByName(cut_lineage(same)).unionByName(cut_lineage(bridged)),
-    )
+    # One short array per row instead of a union keeps an empty side harmless.
+    linked = hashed.join(groups.withColumnRenamed("first", "peer"), ["doc_id", "hash"])
+    both = nodes.join(first, ["doc_id", "finding_id"]).join(
+        linked.select("doc_id", "finding_id", "node", "peer").distinct(),
+        ["doc_id", "finding_id", "node"],
+        "left",
+    )
+    ends = F.array_compact(F.array("first", "peer"))
+    own = both.select(F.explode(ends).alias("u"), F.col("node").alias("v"))
+    near_edges = cut_lineage(bridged)
+    edges = cut_lineage(own)
+    if not near_edges.isEmpty():
+        edges = edges.unionByName(near_edges)
+    labels = connected_components(nodes.select("node"), edges)
     return (
         first.withColumnRenamed("first", "node")
         .join(labels, "node")
