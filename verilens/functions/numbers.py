@@ -11,18 +11,26 @@ MISSING_TOKENS = ("n/a", "na", "null", "none", "-")
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _plain(t: Column) -> Column:
+    """Only digits, points and signs: such texts need no pattern matching."""
+    return F.translate(t, "0123456789.+-", "") == ""
+
+
 def coerce_number(text: Column) -> Column:
     """Lenient double: separators, $ and € removed, trailing % ignored (H1)."""
     t = F.trim(text)
     cleaned = F.regexp_replace(F.translate(t, ",$€", ""), "%+$", "")
     ok = ~F.lower(t).isin(*MISSING_TOKENS) & cleaned.rlike(NUMBER)
-    return F.when(ok, cleaned.try_cast("double"))
+    return F.when(_plain(t), t.try_cast("double")).when(ok, cleaned.try_cast("double"))
 
 
 def exact_decimal(text: Column) -> Column:
     """DECIMAL(38,10) of a cell; thousands separators and trailing % ignored (H2)."""
-    cleaned = F.regexp_replace(F.translate(F.trim(text), ",", ""), "%+$", "")
-    return F.when(cleaned.rlike(NUMBER), cleaned.try_cast("decimal(38,10)"))
+    t = F.trim(text)
+    cleaned = F.regexp_replace(F.translate(t, ",", ""), "%+$", "")
+    return F.when(_plain(t), t.try_cast("decimal(38,10)")).when(
+        cleaned.rlike(NUMBER), cleaned.try_cast("decimal(38,10)")
+    )
 
 
 def strict_number(text: Column) -> Column:
@@ -37,10 +45,14 @@ def strict_number(text: Column) -> Column:
 
 def fraction_digits(text: Column) -> Column:
     """Reported decimal places; NULL for scientific or non-plain text (H4)."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[+-]+", ""), "%+$", "")
+    plain = F.trim(text)
+    after = F.length(plain) - F.instr(plain, ".")
+    t = F.regexp_replace(F.regexp_replace(plain, r"^[+-]+", ""), "%+$", "")
     frac = F.regexp_extract(t, r"^[^.]*\.(.*)$", 1)
     return (
-        F.when(F.lower(t).contains("e"), F.lit(None).cast("int"))
+        F.when(_plain(plain) & ~plain.contains("."), F.lit(0))
+        .when(_plain(plain) & (after > 0), after)
+        .when(F.lower(t).contains("e"), F.lit(None).cast("int"))
         .when(~t.contains("."), F.lit(0))
         .when(frac.rlike(r"^\d+$"), F.length(frac))
     )
@@ -53,15 +65,22 @@ def decimal_places(text: Column) -> Column:
 
 def terminal_digit(text: Column) -> Column:
     """Last digit character of the text, NULL when there is none (H4)."""
+    last = F.substring(text, -1, 1)
     digit = F.regexp_extract(text, r"(\d)\D*$", 1)
-    return F.when(digit != "", digit)
+    return F.when(last.between("0", "9"), last).when(digit != "", digit)
 
 
 def terminal_pair(text: Column) -> Column:
     """Last two fraction digits of a plain decimal, NULL otherwise."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[+-]+", ""), "%+$", "")
+    plain = F.trim(text)
+    at = F.instr(plain, ".")
+    t = F.regexp_replace(F.regexp_replace(plain, r"^[+-]+", ""), "%+$", "")
     frac = F.regexp_extract(t, r"^[^.eE]*\.(\d{2,})$", 1)
-    return F.when(frac != "", F.right(frac, F.lit(2)))
+    return (
+        F.when(_plain(plain) & ((at == 0) | (F.length(plain) - at < 2)), F.lit(None).cast("string"))
+        .when(_plain(plain), F.substring(plain, -2, 2))
+        .when(frac != "", F.substring(frac, -2, 2))
+    )
 
 
 def decimal_tail(text: Column, places: int = 2) -> Column:

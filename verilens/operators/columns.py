@@ -59,6 +59,11 @@ def decimal_cells(
     )
 
 
+def decimal_values(cells: DataFrame) -> DataFrame:
+    """Exact-decimal cells without positions, for operators that ignore row order."""
+    return cells.withColumn("num", N.exact_decimal(F.col("text"))).filter("num IS NOT NULL")
+
+
 def numeric_columns(cells: DataFrame) -> DataFrame:
     """Columns with at least two numeric values (P1): one aggregation, no positions."""
     num = N.coerce_number(F.col("text"))
@@ -101,18 +106,17 @@ SIZE_PANEL_LABEL = (
 def first_digits(cells: DataFrame) -> DataFrame:
     """First-digit histogram per column in one aggregation (A1)."""
     num = N.coerce_number(F.col("text"))
-    digit = N.leading_digit(num)
-    counted = cells.select(*COLUMN, num.alias("num"), digit.alias("digit")).filter(
-        "num IS NOT NULL"
+    counted = cells.select(*COLUMN, num.alias("num")).withColumn(
+        "digit", N.leading_digit(F.col("num"))
     )
     positive = F.when(F.col("num") > 0, F.log10("num"))
     return counted.groupBy(*COLUMN).agg(
-        F.count(F.lit(1)).alias("n_values"),
+        F.count("num").alias("n_values"),
         F.count("digit").alias("n"),
         *[F.count_if(F.col("digit") == d).alias(f"d{d}") for d in range(1, 10)],
         F.count(positive).alias("n_positive"),
         (F.max(positive) - F.min(positive)).alias("log_span"),
-    )
+    ).filter("n_values > 0")
 
 
 def benford(cells: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -393,7 +397,9 @@ def digit_concentration(
 
     Digits come from all non-empty texts of decimal columns.
     """
-    wanted = numeric.select(*COLUMN).groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = numeric.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") >= profile.min_column
+    )
     counted = (
         digit_counts(cells.filter(F.trim("text") != ""), numeric_only=False)
         .join(wanted.drop("_n"), COLUMN, "left_semi")
@@ -428,7 +434,9 @@ def ones_mirror(
     cells: DataFrame, numeric: DataFrame, profile: Thresholds = Thresholds()
 ) -> DataFrame:
     """Units digit repeats the first decimal in most texts."""
-    wanted = numeric.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    wanted = numeric.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") >= profile.min_column
+    )
     text = F.trim("text")
     return (
         cells.filter(text != "")
@@ -579,6 +587,7 @@ def repeated_values(numeric: DataFrame, profile: Thresholds = Thresholds()) -> D
         F.count(F.lit(1)).alias("distinct_values"),
         F.max("cnt").alias("top_count"),
     )
+    per_column = per_column.filter(F.col("n") >= profile.min_column)
     check = F.when(F.col("distinct_values") == 1, "zero_variance").when(
         F.col("top_count") / F.col("n") >= profile.duplicate, "improbable_repeated_values"
     )
@@ -601,7 +610,7 @@ def is_variability_header(header: Column) -> Column:
     return F.arrays_overlap(words, tokens) | compact.contains("standarddeviation")
 
 
-def spread_columns(numeric: DataFrame) -> DataFrame:
+def spread_columns(numeric: DataFrame, profile: Thresholds = Thresholds()) -> DataFrame:
     """Zero or constant entries in SD columns."""
     return (
         numeric.filter(is_variability_header(F.col("header")))
@@ -612,6 +621,7 @@ def spread_columns(numeric: DataFrame) -> DataFrame:
             (F.min("num") == F.max("num")).alias("constant"),
             F.min("num").alias("low"),
         )
+        .filter(F.col("n") >= profile.min_column)
         .withColumn(
             "severity",
             F.when(F.col("zero_entries") > 0, "high").when(F.col("constant"), "medium"),
@@ -657,6 +667,12 @@ def axis_like(numeric: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _mode_order(count: str, first: str) -> Column:
+    """Orders modes by count, then by the earliest position; one number keeps the aggregate hashed."""
+    big = F.lit(10**18).cast("decimal(19,0)")
+    return F.col(count).cast("decimal(18,0)") * big - F.col(first).cast("decimal(19,0)")
+
+
 def column_steps(numeric: DataFrame) -> DataFrame:
     """Raw-order differences of each column, reduced to a profile."""
     lags = R.lagged(numeric, COLUMN, "pos", {"num": "prev"})
@@ -680,9 +696,8 @@ def column_steps(numeric: DataFrame) -> DataFrame:
         F.sum("cnt").alias("n"),
         F.count_if(real).alias("distinct_steps"),
         F.min("step").alias("min_step"),
-        F.max(
-            F.when(real, F.struct("cnt", (-F.col("first_pos")).alias("early"), "step"))
-        ).alias("_mode"),
+        F.max_by("step", F.when(real, _mode_order("cnt", "first_pos"))).alias("mode_step"),
+        F.max(F.when(real, F.col("cnt"))).alias("mode_count"),
         F.sum(weight).alias("nonzero_steps"),
         (F.sum(value * weight) / F.sum(weight)).alias("_m"),
         (F.sum(value * value * weight) / F.sum(weight)).alias("_m2"),
@@ -696,8 +711,8 @@ def column_steps(numeric: DataFrame) -> DataFrame:
         "n",
         "distinct_steps",
         "min_step",
-        F.col("_mode.step").alias("mode_step"),
-        F.col("_mode.cnt").alias("mode_count"),
+        "mode_step",
+        "mode_count",
         F.coalesce("nonzero_steps", F.lit(0)).alias("nonzero_steps"),
         F.when(F.col("_m") > 0, F.sqrt(variance) / F.col("_m")).alias("step_cv"),
         "all_integer",
@@ -758,9 +773,8 @@ def sorted_sequences(numeric: DataFrame) -> DataFrame:
         F.count("gap").alias("gap_levels"),
         (F.sum(g * k) / F.sum(k)).alias("gm"),
         (F.sum(g * g * k) / F.sum(k)).alias("gm2"),
-        F.max(
-            F.when(F.col("gap").isNotNull(), F.struct("gaps", (-F.col("at")).alias("e"), "gap"))
-        ).alias("_mode"),
+        F.max_by("gap", F.when(F.col("gap").isNotNull(), F.col("gaps").cast("double") - F.col("at").cast("double") / 1e30)).alias("modal_gap"),
+        F.max(k).alias("modal_count"),
         F.sum("sv").alias("sv"),
         F.sum("svv").alias("svv"),
         F.sum("svr").alias("svr"),
@@ -777,8 +791,8 @@ def sorted_sequences(numeric: DataFrame) -> DataFrame:
             "gap_cv"
         ),
         F.when(syy > 0, sxy * sxy / (sxx * syy)).otherwise(0.0).alias("rank_r2"),
-        F.col("_mode.gap").alias("modal_gap"),
-        F.col("_mode.gaps").alias("modal_count"),
+        "modal_gap",
+        "modal_count",
     )
     guarded = axis_like(eligible)
     distinct = dist.groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("distinct_values"))
@@ -854,15 +868,15 @@ def duplicate_excess(numeric: DataFrame, profile: Thresholds = Thresholds()) ->
         F.sum(
             F.when(F.col("num") == 0, F.col("cnt") * (F.col("cnt") - 1) / 2).otherwise(0)
         ).alias("zero_pairs"),
-        F.max(F.struct(F.col("num"), F.col("cnt"))).alias("_hi"),
-        F.min(F.struct(F.col("num"), F.col("cnt"))).alias("_lo"),
+        F.max_by("cnt", "num").alias("hi_cnt"),
+        F.min_by("cnt", "num").alias("lo_cnt"),
     )
 
     def tied(side: str) -> Column:
-        c = F.col(f"{side}.cnt")
-        return F.when(F.col(f"{side}.num") != 0, c * (c - 1) / 2).otherwise(0)
+        c = F.col(f"{side}_cnt")
+        return F.when(F.col(side) != 0, c * (c - 1) / 2).otherwise(0)
 
-    pairs = F.col("all_pairs") - F.col("zero_pairs") - tied("_lo") - tied("_hi")
+    pairs = F.col("all_pairs") - F.col("zero_pairs") - tied("lo") - tied("hi")
     unit = F.pow(F.lit(10.0), -F.least(F.col("places"), F.lit(8)).cast("double"))
     span = (F.col("hi") - F.col("lo")).cast("double")
     effective = F.least(

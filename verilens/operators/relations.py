@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..model import severity_rank
 from ..plans import ranks as R
-from .columns import COLUMN, TABLE, Thresholds
+from .columns import COLUMN, TABLE, Thresholds, _mode_order
 
 # Check names of spreadsheet-style fabrication and their pattern tags.
 SHIFT, TAIL = "source_data_group_copy_or_shift", "source_data_decimal_tail_reuse"
@@ -81,12 +81,21 @@ def _pairs(items: Column) -> Column:
     )
 
 
+def _exploded_pairs(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row ``p(a, b)`` per pair of ``items``, by two generators inside codegen."""
+    firsts = rows.select(*keep, "items", F.posexplode("items").alias("_i", "_a"))
+    later = F.slice("items", F.col("_i") + 2, F.size("items"))
+    return firsts.select(*keep, "_a", F.explode(later).alias("_b")).select(
+        *keep, F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")).alias("p")
+    )
+
+
 def _positional_pairs(numeric: DataFrame, across: bool) -> DataFrame:
     """Pairs of values at one position: columns of a table, or of two tables of a document."""
     group = ["doc_id"] if across else TABLE
     item = F.struct("table_id", "col_idx", "header", "num")
     rows = numeric.groupBy(*group, "pos").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    pairs = rows.select("doc_id", "pos", F.explode(_pairs(F.col("items"))).alias("p"))
+    pairs = _exploded_pairs(rows, ["doc_id", "pos"])
     if across:
         pairs = pairs.filter("p.a.table_id < p.b.table_id")
     return pairs.select(
@@ -132,34 +141,36 @@ def pair_profile(
             F.count("ratio").alias("ratios"),
             F.min("ratio").alias("ratio_lo"),
             F.max("ratio").alias("ratio_hi"),
-            F.min(F.when(F.col("ratio").isNotNull(), F.struct("pos", "ratio"))).alias("ratio_first"),
+            F.min_by("ratio", F.when(F.col("ratio").isNotNull(), F.col("pos"))).alias("ratio_first"),
+            F.min(F.when(F.col("ratio").isNotNull(), F.col("pos"))).alias("ratio_pos"),
         )
     )
     merged = by_diff.groupBy(*PAIR).agg(
         F.sum("cnt").alias("n"),
         F.count(F.lit(1)).alias("offsets"),
-        F.max(F.struct("cnt", (-F.col("first_pos")).alias("early"), "diff")).alias("_mode"),
+        F.max_by("diff", _mode_order("cnt", "first_pos")).alias("modal_offset"),
+        F.max("cnt").alias("modal_count"),
         F.sum("equal").alias("equal"),
         F.min("total_lo").alias("total_lo"),
         F.max("total_hi").alias("total_hi"),
         F.sum("ratios").alias("ratios"),
         F.min("ratio_lo").alias("ratio_lo"),
         F.max("ratio_hi").alias("ratio_hi"),
-        F.min("ratio_first").alias("_first"),
+        F.min_by("ratio_first", "ratio_pos").alias("ratio"),
     )
     return merged.select(
         *PAIR,
         "n",
         "offsets",
-        F.col("_mode.diff").alias("modal_offset"),
-        F.col("_mode.cnt").alias("modal_count"),
+        "modal_offset",
+        "modal_count",
         "equal",
         "total_lo",
         "total_hi",
         "ratios",
         "ratio_lo",
         "ratio_hi",
-        F.col("_first.ratio").alias("ratio"),
+        "ratio",
     ).filter(F.col("n") >= profile.min_column)
 
 
@@ -258,7 +269,7 @@ def tail_profile(texts: DataFrame, *, across: bool = False) -> DataFrame:
         N.integer_digits(F.col("text")).alias("whole"),
     )
     rows = texts.groupBy(*group, "tpos").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    pairs = rows.select("doc_id", F.explode(_pairs(F.col("items"))).alias("p"))
+    pairs = _exploded_pairs(rows, ["doc_id"])
     if across:
         pairs = pairs.filter("p.a.table_id < p.b.table_id")
     both = F.col("p.a.tail").isNotNull() & F.col("p.b.tail").isNotNull()
@@ -336,79 +347,110 @@ def tail_checks(
 def column_triples(numeric: DataFrame, profile: Thresholds = Thresholds()) -> DataFrame:
     """Additive, subtractive and all-equal column triples.
 
-    Each row emits only the triples that hold in it; a relation over all rows
-    is a triple whose row count equals its shortest column.
+    A sum or difference must hold in every row, so the first three rows of a
+    table already name its candidates; only these are checked in all rows.
+    Equal triples come from equal pairs and need no candidates.
     """
     kept = numeric.filter(F.col("n") >= profile.min_column)
     item = F.struct("col_idx", "header", "num", "n")
     rows = kept.groupBy(*TABLE, "pos").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    items = F.col("items")
-
-    def triple(kind: str, a: Column, b: Column, c: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            a["col_idx"].alias("col_a"),
-            b["col_idx"].alias("col_b"),
-            c["col_idx"].alias("col_c"),
-            a["header"].alias("header_a"),
-            b["header"].alias("header_b"),
-            c["header"].alias("header_c"),
-            F.least(a["n"], b["n"], c["n"]).alias("n"),
+    sums = _sum_triples(rows)
+    pairs = _exploded_pairs(rows, [*TABLE, "items"]).filter("p.a.num = p.b.num")
+    third = F.filter(
+        "items",
+        lambda c: (c["col_idx"] > F.col("p.b.col_idx")) & (c["num"] == F.col("p.a.num")),
+    )
+    equal = (
+        pairs.select(*TABLE, "p", F.explode(third).alias("c"))
+        .groupBy(
+            *TABLE,
+            F.col("p.a.col_idx").alias("col_a"),
+            F.col("p.b.col_idx").alias("col_b"),
+            F.col("c.col_idx").alias("col_c"),
+            F.col("p.a.header").alias("header_a"),
+            F.col("p.b.header").alias("header_b"),
+            F.col("c.header").alias("header_c"),
+        )
+        .agg(
+            F.min(F.least("p.a.n", "p.b.n", "c.n")).alias("n"),
+            F.count(F.lit(1)).alias("matched"),
         )
+        .filter(F.col("matched") / F.col("n") >= profile.duplicate)
+        .withColumn("check", F.lit("multi_column_high_duplicate_rate"))
+    )
+    return sums.unionByName(equal).withColumn("severity", F.lit("high"))
 
-    def outside(c: Column, a: Column, b: Column) -> Column:
-        return (c["col_idx"] != a["col_idx"]) & (c["col_idx"] != b["col_idx"])
 
-    def per_pair(a: Column, b: Column) -> Column:
-        # Sums are symmetric, so one (a, b) with a before b stands for both orders.
-        sums = F.transform(
-            F.filter(
-                items,
-                lambda c: outside(c, a, b) & (F.round(a["num"] + b["num"], 6) == c["num"]),
-            ),
-            lambda c: triple("three_column_additive_relationship", a, b, c),
-        )
-        minus = F.transform(
-            F.filter(
-                items,
-                lambda c: outside(c, a, b) & (F.round(a["num"] - b["num"], 6) == c["num"]),
-            ),
-            lambda c: triple("three_column_subtractive_relationship", a, b, c),
-        )
-        back = F.transform(
-            F.filter(
-                items,
-                lambda c: outside(c, a, b) & (F.round(b["num"] - a["num"], 6) == c["num"]),
-            ),
-            lambda c: triple("three_column_subtractive_relationship", b, a, c),
+def _sum_triples(rows: DataFrame, probe: int = 3) -> DataFrame:
+    """Triples with a + b = c or a - b = c in every common row."""
+    triple = [
+        F.col("p.a.col_idx").alias("col_a"),
+        F.col("p.b.col_idx").alias("col_b"),
+        F.col("c.col_idx").alias("col_c"),
+        F.col("p.a.header").alias("header_a"),
+        F.col("p.b.header").alias("header_b"),
+        F.col("c.header").alias("header_c"),
+        F.least("p.a.n", "p.b.n", "c.n").alias("n"),
+    ]
+    key = ["col_a", "col_b", "col_c", "header_a", "header_b", "header_c", "n"]
+    early = _exploded_pairs(rows.filter(F.col("pos") < probe), [*TABLE, "items"])
+    every = early.select(*TABLE, "p", F.explode("items").alias("c")).filter(
+        "c.col_idx <> p.a.col_idx AND c.col_idx <> p.b.col_idx"
+    )
+    a, b, c = F.col("p.a.num"), F.col("p.b.num"), F.col("c.num")
+    first = (
+        every.select(
+            *TABLE,
+            *triple,
+            (F.round(a + b, 6) == c).alias("plus"),
+            (F.round(a - b, 6) == c).alias("minus"),
+            (F.round(b - a, 6) == c).alias("back"),
         )
-        equal = F.when(
-            a["num"] == b["num"],
-            F.transform(
-                F.filter(
-                    items, lambda c: (c["col_idx"] > b["col_idx"]) & (c["num"] == a["num"])
-                ),
-                lambda c: triple("multi_column_high_duplicate_rate", a, b, c),
-            ),
-        ).otherwise(F.slice(sums, 1, 0))
-        return F.concat(sums, minus, back, equal)
-
-    found = F.flatten(F.transform(_pairs(items), lambda p: per_pair(p["a"], p["b"])))
-    hits = (
-        rows.select(*TABLE, F.explode(found).alias("t"))
-        .select(*TABLE, "t.*")
-        .groupBy(
-            *TABLE, "kind", "col_a", "col_b", "col_c", "header_a", "header_b", "header_c", "n"
+        .groupBy(*TABLE, *key)
+        .agg(*[F.every(k).alias(k) for k in ("plus", "minus", "back")])
+        .filter("plus OR minus OR back")
+    )
+    named = first.groupBy(*TABLE).agg(F.collect_list(F.struct(*key, "plus", "minus", "back")).alias("triples"))
+    chunked = rows.withColumn("_chunk", F.floor(F.col("pos") / R.BLOCK))
+    tested = R.attach_group_values(chunked, named, TABLE).select(
+        *TABLE,
+        F.map_from_entries(F.transform("items", lambda s: F.struct(s["col_idx"], s["num"]))).alias("m"),
+        F.explode("triples").alias("t"),
+    )
+    x, y, z = (F.try_element_at("m", F.col(f"t.{k}")) for k in ("col_a", "col_b", "col_c"))
+    counted = tested.groupBy(*TABLE, *[F.col(f"t.{k}").alias(k) for k in key]).agg(
+        F.count_if(F.col("t.plus") & (F.round(x + y, 6) == z)).alias("plus"),
+        F.count_if(F.col("t.minus") & (F.round(x - y, 6) == z)).alias("minus"),
+        F.count_if(F.col("t.back") & (F.round(y - x, 6) == z)).alias("back"),
+    )
+    # Sums are symmetric: (a, b) with a before b stands for both orders.
+    same = [F.col(k) for k in key]
+    turned = [
+        F.col("col_b").alias("col_a"),
+        F.col("col_a").alias("col_b"),
+        F.col("col_c"),
+        F.col("header_b").alias("header_a"),
+        F.col("header_a").alias("header_b"),
+        F.col("header_c"),
+        F.col("n"),
+    ]
+    forms = [
+        ("plus", "three_column_additive_relationship", same),
+        ("minus", "three_column_subtractive_relationship", same),
+        ("back", "three_column_subtractive_relationship", turned),
+    ]
+    hits = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(count) == F.col("n"),
+                    F.struct(F.lit(check).alias("check"), F.col(count).alias("matched"), *columns),
+                )
+                for count, check, columns in forms
+            ]
         )
-        .agg(F.count(F.lit(1)).alias("matched"))
-    )
-    needed = F.when(
-        F.col("kind") == "multi_column_high_duplicate_rate",
-        F.col("matched") / F.col("n") >= profile.duplicate,
-    ).otherwise(F.col("matched") == F.col("n"))
-    return hits.filter(needed).withColumnRenamed("kind", "check").withColumn(
-        "severity", F.lit("high")
     )
+    return counted.select(*TABLE, F.explode(hits).alias("h")).select(*TABLE, "h.*")
 
 
 # --------------------------------------------------------------------------- replicates, runs

@@ -34,6 +34,10 @@ def line_numeric(spark, sf_dir, columns=8, decimal=True):
     return view(X.line_cells(spark, sf_dir, columns), chunk_size=X.LINE_CHUNK)
 
 
+def line_values(spark, sf_dir):
+    return C.decimal_values(X.line_cells(spark, sf_dir))
+
+
 def rounded(df, **columns):
     for name, places in columns.items():
         df = df.withColumn(name, F.round(F.col(name).cast("double"), places))
@@ -229,7 +233,7 @@ def a11(spark, sf_dir):
 )
 def a14(spark, sf_dir):
     cells = X.line_cells(spark, sf_dir)
-    out = C.digit_concentration(cells, line_numeric(spark, sf_dir))
+    out = C.digit_concentration(cells, C.decimal_values(cells))
     return out.select(
         "doc_id", "table_id", "col_idx", "n", "top_count", "second_count", "check"
     )
@@ -246,7 +250,7 @@ def a14(spark, sf_dir):
 )
 def a15(spark, sf_dir):
     cells = X.line_cells(spark, sf_dir)
-    return C.ones_mirror(cells, line_numeric(spark, sf_dir)).select(
+    return C.ones_mirror(cells, C.decimal_values(cells)).select(
         "doc_id", "table_id", "col_idx", "n", "matches"
     )
 
@@ -368,7 +372,7 @@ def a7(spark, sf_dir):
     ),
 )
 def a12(spark, sf_dir):
-    return C.repeated_values(line_numeric(spark, sf_dir)).drop("header", "severity")
+    return C.repeated_values(line_values(spark, sf_dir)).drop("header", "severity")
 
 
 @add(
@@ -382,7 +386,7 @@ def a12(spark, sf_dir):
     ),
 )
 def a13(spark, sf_dir):
-    return C.spread_columns(line_numeric(spark, sf_dir)).drop("low")
+    return C.spread_columns(line_values(spark, sf_dir)).drop("low")
 
 
 STEPS = """lagged AS (SELECT *, round(dec - lag(dec) OVER (PARTITION BY table_id, col_idx ORDER BY row_idx), 6) AS step FROM numeric WHERE n >= 3),
