@@ -20,7 +20,9 @@ from pyspark.sql.functions import pandas_udf
 # Ship this module with the functions, so executors need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def chi2_tail_even(x: Column, df: int) -> Column:

@@ -678,7 +678,7 @@ def image_issue_keys(findings: DataFrame, radius: int = 4) -> DataFrame:
     near_edges = cut_lineage(bridged)
     edges = cut_lineage(own)
     if not near_edges.isEmpty():
-        edges = edges.unionByName(near_edges)
+        edges = cut_lineage(edges.unionByName(near_edges))
     labels = connected_components(nodes.select("node"), edges)
     return (
         first.withColumnRenamed("first", "node")

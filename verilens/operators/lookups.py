@@ -111,20 +111,19 @@ def multiset_missing(query: DataFrame, reference: DataFrame, keys: list[str]) ->
     total = query.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     left = query.groupBy(*keys, "num").agg(F.count(F.lit(1)).alias("q"))
     right = reference.groupBy(*keys, "num").agg(F.count(F.lit(1)).alias("r"))
-    at4 = lambda df, c: df.groupBy(*keys, F.bround("num", 4).alias("num")).agg(F.sum(c).alias(c))
-    both = at4(left, "q").join(at4(right, "r"), [*keys, "num"], "full").na.fill(0, ["q", "r"])
-    rest = both.select(
-        *keys, "num", F.greatest(F.col("q") - F.col("r"), F.lit(0)).alias("q"),
+    at4 = lambda df, c: df.groupBy(*keys, F.bround("num", 4).alias("k4")).agg(F.sum(c).alias(c))
+    unused = (
+        F.greatest(F.col("q") - F.col("r"), F.lit(0)).alias("q"),
         F.greatest(F.col("r") - F.col("q"), F.lit(0)).alias("r"),
     )
-    for places in (3, 2):
-        grouped = rest.groupBy(*keys, F.bround("num", places).alias("num")).agg(
-            F.sum("q").alias("q"), F.sum("r").alias("r")
-        )
-        rest = grouped.select(
-            *keys, "num", F.greatest(F.col("q") - F.col("r"), F.lit(0)).alias("q"),
-            F.greatest(F.col("r") - F.col("q"), F.lit(0)).alias("r"),
+    both = at4(left, "q").join(at4(right, "r"), [*keys, "k4"], "full").na.fill(0, ["q", "r"])
+    # Coarser keys come from the 4-decimal value, never from a rounded one.
+    rest = both.select(*keys, F.bround("k4", 3).alias("k3"), F.bround("k4", 2).alias("k2"), *unused)
+    for key, kept in (("k3", ["k2"]), ("k2", [])):
+        grouped = rest.groupBy(*keys, key).agg(
+            F.sum("q").alias("q"), F.sum("r").alias("r"), *[F.min(k).alias(k) for k in kept]
         )
+        rest = grouped.select(*keys, *kept, *unused)
     missing = rest.groupBy(*keys).agg(F.sum("q").alias("missing"))
     return (
         total.join(missing, keys, "left")

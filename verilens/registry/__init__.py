@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("columns", "relations", "images", "findings", "text", "consistency", "reports")
+MODULES = ("columns", "relations", "images", "findings", "text", "consistency", "reports", "screen")
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
@@ -24,4 +24,4 @@ def entries() -> dict[str, Entry]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entries()["a2_benford"][0](spark, sf_dir)
+    return entries()["f8_screen"][0](spark, sf_dir)
