@@ -558,8 +558,13 @@ def apply_baselines(findings: DataFrame, rules: DataFrame, publishers: DataFrame
 def calibrate(
     findings: DataFrame, rules: DataFrame | None = None, publishers: DataFrame | None = None
 ) -> DataFrame:
-    """Bridges, evidence rules, cluster demotion, publisher rules, in this order."""
-    out = demote_satellites(recalibrate(bridge(findings)))
+    """Bridges, evidence rules, cluster demotion, publisher rules, in this order.
+
+    Later steps read the recalibrated findings several times, so they are
+    written once.
+    """
+    scored = cut_lineage(recalibrate(bridge(findings)))
+    out = demote_satellites(scored)
     return apply_baselines(out, rules, publishers) if rules is not None else out
 
 
@@ -871,21 +876,23 @@ def pair_items(df: DataFrame) -> DataFrame:
 def ordered_cases(items: DataFrame) -> DataFrame:
     """Severity, pairs first, locatable first, then id (K4); index by position in the sort.
 
-    The index runs inside a document; a document's cases are first cut by
-    severity, the leading sort key, so that no window holds all of them.
+    The index runs inside a document; its cases are cut by class and by the
+    first characters of the id, so that no window holds all of them.
     """
     paired = F.col("side_a").isNotNull() & F.col("side_b").isNotNull()
     rank = severity_rank("severity")
     keyed = items.withColumn("_class", (3 - rank) * 4 + F.when(paired, 0).otherwise(2) + F.when(F.col("locatable"), 0).otherwise(1))
-    sizes = keyed.groupBy("doc_id", "_class").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(W.partitionBy("doc_id").orderBy("_class")) - F.col("_c")
-    offsets = sizes.select("doc_id", "_class", before.alias("_before"))
-    inside = W.partitionBy("doc_id", "_class").orderBy("finding_id")
+    keyed = keyed.withColumn("_head", F.substring("finding_id", 1, 2))
+    part = ["doc_id", "_class", "_head"]
+    sizes = keyed.groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(W.partitionBy("doc_id").orderBy("_class", "_head")) - F.col("_c")
+    offsets = sizes.select(*part, before.alias("_before"))
+    inside = W.partitionBy(*part).orderBy("finding_id")
     return (
         keyed.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, ["doc_id", "_class"])
+        .join(offsets, part)
         .withColumn("case_no", F.col("_before") + F.col("_r"))
-        .drop("_class", "_r", "_before")
+        .drop("_class", "_head", "_r", "_before")
     )
 
 

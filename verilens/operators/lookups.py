@@ -69,8 +69,11 @@ def cited_retractions(dois: DataFrame, retracted: DataFrame, per_doc: int = 50)
     first = dois.withColumn("doi", normalized_doi(F.col("doi"))).groupBy("doc_id", "doi").agg(
         F.min("position").alias("position")
     )
-    order = W.partitionBy("doc_id").orderBy("position", "doi")
-    chosen = first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_doc).drop("_r")
+    order = ["position", "doi"]
+    part = W.partitionBy("doc_id", F.pmod(F.xxhash64("doi"), F.lit(32))).orderBy(*order)
+    local = first.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= per_doc)
+    whole = W.partitionBy("doc_id").orderBy(*order)
+    chosen = local.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= per_doc).drop("_r")
     known = retracted.filter("is_retracted").select(normalized_doi(F.col("doi")).alias("doi"), "title").dropDuplicates(["doi"])
     return chosen.join(known, "doi").withColumn("severity", F.lit("high"))
 

@@ -572,8 +572,9 @@ def sequence_reuse(numeric: DataFrame, width: int = 5, block: int = R.BLOCK) ->
         F.min(locus).alias("a"),
         F.max(F.struct("table_id", "col_idx")).alias("last"),
     ).filter("loci >= 2")
+    spread = loci.withColumn("_chunk", F.pmod(F.xxhash64("table_id", "col_idx"), F.lit(64)))
     second = (
-        loci.join(first.select("doc_id", "win", "a", "loci"), ["doc_id", "win"])
+        R.attach_group_values(spread, first.select("doc_id", "win", "a", "loci"), ["doc_id", "win"])
         .filter(
             (F.col("table_id") != F.col("a.table_id")) | (F.col("col_idx") != F.col("a.col_idx"))
         )

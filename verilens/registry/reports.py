@@ -306,16 +306,30 @@ def j23(spark, sf_dir):
 def two_sides(spark, sf_dir):
     line = X.read(spark, sf_dir, "lineitem")
     pdf = line.filter("l_linenumber % 2 = 0").select(
-        (F.col("l_suppkey") % 50).alias("fig"), F.round(F.col("l_extendedprice") / 1000, 2).alias("num")
+        (F.col("l_suppkey") % 50).alias("fig"), (F.floor(F.col("l_extendedprice") / 10) / 100.0).alias("num")
     )
     source = line.filter("l_linenumber % 2 = 1").select(
-        (F.col("l_suppkey") % 50).alias("fig"), F.round(F.col("l_extendedprice") / 1000, 3).alias("num")
+        (F.col("l_suppkey") % 50).alias("fig"), (F.floor("l_extendedprice") / 1000.0).alias("num")
     )
     return pdf, source
 
 
 
-@add("j24_multiset_missing")
+SIDES = """p AS (SELECT l_suppkey % 50 AS fig, floor(l_extendedprice / 10) / 100.0 AS v FROM lineitem WHERE l_linenumber % 2 = 0),
+r AS (SELECT l_suppkey % 50 AS fig, floor(l_extendedprice) / 1000.0 AS v FROM lineitem WHERE l_linenumber % 2 = 1),
+b4 AS (SELECT fig, CAST(round(v * 1000) AS BIGINT) AS i, count(*) FILTER (s = 0) AS q, count(*) FILTER (s = 1) AS r FROM
+ (SELECT fig, v, 0 AS s FROM p UNION ALL SELECT fig, v, 1 FROM r) GROUP BY ALL),
+b3 AS (SELECT fig, i // 10 + CASE WHEN i % 10 > 5 OR (i % 10 = 5 AND (i // 10) % 2 = 1) THEN 1 ELSE 0 END AS k2,
+ greatest(q - r, 0) AS q, greatest(r - q, 0) AS r FROM b4),
+b2 AS (SELECT fig, k2, sum(q) AS q, sum(r) AS r FROM b3 GROUP BY fig, k2),
+m AS (SELECT fig, sum(greatest(q - r, 0)) AS missing FROM b2 GROUP BY fig),
+n AS (SELECT fig, count(*) AS n FROM p GROUP BY fig)"""
+
+
+@add(
+    "j24_multiset_missing",
+    with_sql(SIDES, select="SELECT fig, n, CAST(missing AS BIGINT) AS missing, round(missing / n, 6) AS fraction FROM n JOIN m USING (fig)"),
+)
 def j24(spark, sf_dir):
     pdf, source = two_sides(spark, sf_dir)
     return rounded(L.multiset_missing(pdf, source, ["fig"]), fraction=6)
