@@ -260,7 +260,7 @@ def image_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         spread = F.sqrt(F.greatest(squares / 16 - mean * mean, F.lit(0.0)))
         cells.append(
             F.struct(
-                F.lit(k).alias("part"), _sign_hash(16 * k + 1).alias("hash"), (spread * 40).alias("std")
+                F.lit(k).alias("part"), _sign_hash(16 * k + 1).alias("hash"), (spread * 160).alias("std")
             )
         )
     return (
@@ -276,7 +276,7 @@ def image_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARTS_SQL = "parts AS (" + " UNION ALL ".join(
     f"SELECT CAST(label AS BIGINT) AS doc_id, vec_id AS image_id, {k} AS part, {_sql_hash(16 * k + 1)} AS hash, "
-    f"list_stddev_pop(list_transform(embedding[{16 * k + 1}:{16 * k + 16}], lambda x: CAST(x AS DOUBLE))) * 40 AS std FROM embeddings"
+    f"list_stddev_pop(list_transform(embedding[{16 * k + 1}:{16 * k + 16}], lambda x: CAST(x AS DOUBLE))) * 160 AS std FROM embeddings"
     for k in range(4)
 ) + ")"
 
