@@ -25,15 +25,25 @@ def build_session(app: str = "verilens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and written tables, from ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset
-    (single-machine tests) is a temporary folder used.
+    Only a single-machine session (master ``local``) may leave it unset and gets a
+    folder of its own; a cluster session without it is an error, because its
+    executors would not see a folder of the driver.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="verilens-checkpoint-"))
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="verilens-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder the session names."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
