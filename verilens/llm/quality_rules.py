@@ -7,7 +7,7 @@ given the class, on all documents that pass the two base rules; a document is ke
 is at least one half and the base rules do not fail.
 
 Scale: one pass computes a document's figures and its vote pattern.  There are at
-most 3^8 patterns, so the statistics of all documents are one aggregate of bounded
+most 3^9 patterns, so the statistics of all documents are one aggregate of bounded
 size; the model is fitted on it and applied by pattern.  No shuffle carries text.
 
 Cases: a null or empty text has no words, all figures 0, and fails the base rule;
@@ -29,15 +29,18 @@ from .shared import write_table
 
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
+#: Two or more of the same punctuation mark.
+RUN = re.compile(r"([^\w\s])\1+")
 CAPITAL = re.compile("[A-ZÀ-ÖØ-Þ]")
 BLANKS = " \t\n\x0b\x0c\r"
 ROUNDS = 100
-#: Pseudo-counts of one rule's votes, as a share of all documents: classes keep their meaning.
-PRIOR = 0.02
+#: Pseudo-counts of a rule's good, abstaining and bad votes in either class, as shares of all
+#: documents: they keep the classes' meaning, "a good text gets hardly a bad vote".
+EXPECTED = ((0.08, 0.019, 0.001), (0.008, 0.006, 0.006))
 FIGURES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string"
 )
-RULES = ("length", "word length", "symbols", "lines", "repeats", "capitals", "bare marks", "variety")
+RULES = ("length", "word length", "symbols", "lines", "repeats", "capitals", "bare marks", "mark runs", "variety")
 
 
 def repeated_words(ids: np.ndarray, distinct: int) -> int:
@@ -72,6 +75,7 @@ def figures_of(text: str) -> tuple:
     n = max(len(words), 1)
     capitals = len(CAPITAL.findall(text)) / max(chars, 1)
     bare = sum(1 for w in words if len(w) == 1 and not w.isalnum()) / n
+    runs = sum(1 for _ in RUN.finditer(text)) / n
     variety = len(number) / n
     votes = "".join(
         "+" if good else "-" if bad else "0"
@@ -83,6 +87,7 @@ def figures_of(text: str) -> tuple:
             (repeats <= 0.2 * n, repeats > 0.5 * n),
             (capitals <= 0.15, capitals > 0.4),
             (bare <= 0.02, bare > 0.2),
+            (runs <= 0.02, runs > 0.1),
             (variety >= 0.25, variety < 0.1),
         )
     )
@@ -118,7 +123,7 @@ def fit(patterns: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> tuple[
     cast = np.array([["+0-".index(v) for v in p] for p in patterns])
     total = counts.sum()
     good = np.where((cast == 2).any(axis=1), 0.05, 0.95)
-    expected = np.array([[0.8, 0.18, 0.02], [0.4, 0.3, 0.3]]) * PRIOR * total + 1e-3
+    expected = np.array(EXPECTED) * total + 1e-3
     for _ in range(rounds):
         share = np.stack([good, 1 - good]) * counts
         logs = np.log(share.sum(axis=1) + 1)[:, None].repeat(len(patterns), axis=1)
@@ -143,7 +148,7 @@ def quality(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # the base rules have decided on what fails them; accuracies are those on all other documents
     open_ = F.sum(F.when(failed, 0).otherwise(1)).alias("open")
-    rows = made.groupBy("votes").agg(open_).orderBy("votes").collect()  # 3^8 rows at most
+    rows = made.groupBy("votes").agg(open_).orderBy("votes").collect()  # 3^9 rows at most
     patterns = [r["votes"] for r in rows]
     good, _ = fit(patterns, np.array([r["open"] for r in rows], float))
     belief = dict(zip(patterns, good, strict=True))

@@ -1,10 +1,10 @@
 """Toxicity by weak supervision (operator 6).
 
-1. Voters come from a bounded sample of labelled rows: words that occur in toxic
+1. Voters come from a bounded sample of labelled rows: words or shared word beginnings that occur in toxic
    rows far beyond chance vote "toxic" where they occur; pattern voters look at the
    share and number of such words and at shouting, and vote both ways.
 2. A generative label model (expectation-maximisation, two classes) estimates how
-   often each voter votes in each class.  Pairs of voters that agree beyond what the
+   often each voter, the row's own mark among them, votes in each class.  Pairs of voters that agree beyond what the
    class explains are correlated; such a voter's evidence is divided by the number
    of voters it stands for.
 3. A logistic regression on words learns the model's posterior labels, and its
@@ -22,6 +22,7 @@ rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,6 +39,12 @@ VOCABULARY = 20_000
 VOTERS = 400
 WORD = re.compile(r"[^\W\d_]+")
 ROUNDS = 60
+#: Least log-likelihood ratios of a voter and of a word with a weight.
+SURPRISING = 14.0
+TELLING = 5.0
+#: How often a row's own mark is right.
+MARK = 0.98
+PENALTY = 1e-4
 
 #: Public English insults that vote without having been seen in a labelled row (fixed values).
 INSULTS = frozenset(
@@ -50,24 +57,53 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """Lower-case words, and beginnings of 4 letters that 2 or 3 different words share (forms of one word)."""
+    words = set(WORD.findall(text.lower()))
+    shared = Counter([w[:4] for w in words])
+    return (
+        words
+        | {stem + "-2" for stem, n in shared.items() if n > 1}
+        | {stem + "-3" for stem, n in shared.items() if n > 2}
+    )
+
+
+def kin(words: set[str]) -> int:
+    """A number that copies and near copies of a text mostly share: the smallest hash of its long words."""
+    return min((zlib.crc32(w.encode()) for w in words if len(w) > 7), default=zlib.crc32(repr(sorted(words)).encode()))
+
+
+def surprise(hits: float, n: float, rate: float) -> float:
+    """Log-likelihood ratio of ``hits`` toxic rows in ``n`` against the base rate; negative below it."""
+    rate = min(max(rate, 1e-6), 1 - 1e-6)
+    share = min(max(hits / n, 1e-9), 1 - 1e-9)
+    gain = hits * np.log(share / rate) + (n - hits) * np.log((1 - share) / (1 - rate))
+    return float(gain if share >= rate else -gain)
+
+
+def shares(texts: list[set[str]], toxic: np.ndarray) -> tuple[dict[str, list[float]], float]:
+    """Rows and toxic rows of each word, near copies of a row counted once; the toxic share of all."""
+    groups: dict[tuple[int, bool], list[int]] = {}
+    for row, words in enumerate(texts):
+        groups.setdefault((kin(words), bool(toxic[row] > 0.5)), []).append(row)
+    found: dict[str, list[float]] = {}
+    total = 0.0
+    for rows in groups.values():
+        belief = float(np.mean(toxic[rows]))
+        total += belief
+        for word in set().union(*(texts[r] for r in rows)):
+            counts = found.setdefault(word, [0.0, 0.0])
+            counts[0] += 1
+            counts[1] += belief
+    return found, total / max(1, len(groups))
 
 
 def lexicon(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words whose share of toxic rows is far above the base rate: z of the difference of at least 4."""
-    with_, of_toxic = Counter(), Counter()
-    for words, bad in zip(texts, toxic, strict=True):
-        with_.update(words)
-        if bad:
-            of_toxic.update(words)
-    rate = float(toxic.mean()) if len(toxic) else 0.0
-    found = []
-    for word, bad in of_toxic.items():
-        n = with_[word]
-        deviation = (bad - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-9)
-        if bad >= 4 and bad >= 0.7 * n and deviation >= 4:
-            found.append((deviation, word))
-    return [word for _, word in sorted(found, reverse=True)[:VOTERS]]
+    """Words whose rows are mostly toxic, beyond what chance gives among so many words."""
+    found, rate = shares(texts, toxic)
+    strong = [
+        (surprise(bad, n, rate), word) for word, (n, bad) in found.items() if bad >= 4 and bad >= 0.7 * n
+    ]
+    return [word for gain, word in sorted(strong, reverse=True)[:VOTERS] if gain >= SURPRISING]
 
 
 def cast_votes(texts: list[set[str]], raw: list[str], words: list[str]) -> np.ndarray:
@@ -85,14 +121,17 @@ def cast_votes(texts: list[set[str]], raw: list[str], words: list[str]) -> np.nd
     return votes
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Posterior probability of toxic per row from the votes alone.
+def label_model(votes: np.ndarray, marks: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Posterior probability of toxic per row from the voters and its mark, one more voter.
 
-    Class-wise vote rates by expectation-maximisation; after each step the
+    The mark's accuracy is given, class-wise vote rates of all others are found by
+    expectation-maximisation; after each step the
     correlation of voters that the classes leave unexplained divides their evidence.
     """
+    prior = float(np.clip(marks.mean(), 0.001, 0.999))
+    votes = np.concatenate([votes, np.where(marks > 0, 1, -1)[:, None].astype(np.int8)], axis=1)
     up, down = (votes == 1).astype(float), (votes == -1).astype(float)
-    belief = np.clip((up.sum(axis=1) > down.sum(axis=1)).astype(float), 0.05, 0.95)
+    belief = np.where(marks > 0, 0.95, 0.05)
     base = np.log(prior / (1 - prior))
     for _ in range(rounds):
         rates = []
@@ -100,6 +139,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.nda
             total = share.sum() + 2
             rates.append(((share @ up + 0.1) / total, (share @ down + 0.1) / total))
         (t_up, t_down), (c_up, c_down) = rates
+        t_up[-1], t_down[-1], c_up[-1], c_down[-1] = MARK, 1 - MARK, 1 - MARK, MARK
         t_none, c_none = np.maximum(1 - t_up - t_down, 1e-6), np.maximum(1 - c_up - c_down, 1e-6)
         expected = belief[:, None] * (t_up - t_down) + (1 - belief)[:, None] * (c_up - c_down)
         rest = votes - expected
@@ -107,6 +147,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.nda
         correlation = (rest.T @ rest) / np.outer(scale, scale)
         np.fill_diagonal(correlation, 0.0)
         stands_for = 1 + np.where(correlation > 0.3, correlation, 0.0).sum(axis=1)
+        stands_for[-1] = 1.0
         evidence = (
             up * np.log(t_up / c_up) + down * np.log(t_down / c_down) + (1 - up - down) * np.log(t_none / c_none)
         )
@@ -119,16 +160,12 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = ROUNDS) -> np.nda
 
 def linear_classifier(texts: list[set[str]], belief: np.ndarray, steps: int = 300) -> tuple[dict[str, float], float]:
     """Word weights and intercept of a logistic regression on the posterior labels."""
-    seen = Counter(w for words in texts for w in words)
-    soft = Counter()
-    for words, p in zip(texts, belief, strict=True):
-        if p > 0.5:
-            soft.update(words)
-    rate = belief.mean()
-    telling = sorted(seen, key=lambda w: (-abs(soft[w] - rate * seen[w]) / np.sqrt(seen[w] + 5), w))
-    place = {w: k for k, w in enumerate(telling[:VOCABULARY])}
+    found, base = shares(texts, belief)
+    gains = sorted(((-abs(surprise(bad, n, base)), word) for word, (n, bad) in found.items() if n >= 3))
+    place = {w: k for k, (gain, w) in enumerate(gains[:VOCABULARY]) if -gain >= TELLING}
+    rate = float(belief.mean())
     rows = [np.array([place[w] for w in words if w in place], np.int64) for words in texts]
-    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column, row = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     weight, bias = np.zeros(len(place)), float(np.log(rate / (1 - rate)))
     # balanced classes; steps sized per word by the squares of its gradients
     importance = np.where(belief > 0.5, 0.5 / max(rate, 1e-3), 0.5 / max(1 - rate, 1e-3))
@@ -136,7 +173,7 @@ def linear_classifier(texts: list[set[str]], belief: np.ndarray, steps: int = 30
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weight[column], len(rows)), -30, 30)))
         error = importance * (p - belief) / len(rows)
-        gradient = np.bincount(column, error[row], len(place)) + 1e-5 * weight
+        gradient = np.bincount(column, error[row], len(place)) + PENALTY * weight
         squares += gradient * gradient
         weight -= 0.3 * gradient / np.sqrt(squares)
         bias_square += error.sum() ** 2
@@ -159,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
         return {}, -1.0
     words = [words_of(t) for t in raw]
     voters = lexicon(words, toxic)
-    belief = label_model(cast_votes(words, raw, voters), float(toxic.mean()))
+    belief = label_model(cast_votes(words, raw, voters), toxic)
     return linear_classifier(words, np.clip(belief, 0.001, 0.999))
 
 
