@@ -15,9 +15,14 @@ from .prefix_counts import prefix_counts
 from .quality_rules import quality
 from .reply_trees import format_trees, linear_replies, read_back
 from .shared import table
+from .suffix_merge import digests, without_repeats
 from .weak_toxicity import toxicity
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -61,6 +66,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_near_duplicates": op4_near_duplicates,
