@@ -98,7 +98,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (16-byte digest of the set, null if empty) and signature."""
+    """doc_id, row (a hash of id and text), n_shingles, node (16-byte digest of the set, null if empty), signature."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -111,9 +111,11 @@ def features(docs: DataFrame) -> DataFrame:
                     out.append((0, None, None))
             made = pd.DataFrame(out, columns=["n_shingles", "node", "signature"])
             made.insert(0, "doc_id", rows["doc_id"].astype("Int64").array)
+            made.insert(1, "row", rows["row"].array)
             yield made
 
-    return _texts(docs).mapInPandas(make, "doc_id long, n_shingles long, node binary, signature binary")
+    texts = _texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    return texts.mapInPandas(make, "doc_id long, row long, n_shingles long, node binary, signature binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -234,18 +236,48 @@ def groups_of(docs: DataFrame, made: DataFrame) -> DataFrame:
     return connected_components(joined.select(F.col("u").alias("node")).union(joined.select("v")), joined)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, component (null for an empty set) and component_id of every document."""
     made = write_table(features(docs), "near-features")
     groups = groups_of(docs, made)
-    members = made.select("doc_id", "n_shingles", "node").withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    rows = made.select("doc_id", "row", "n_shingles", "node")
+    members = rows.filter("node is not null").withColumn("_chunk", F.pmod(F.col("row"), F.lit(SALTS)))
     ids = made.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     groups = ids.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     groups = write_table(groups, "near-groups")
     smallest = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_node = groups.join(smallest, "component").select("node", "component_id")
-    linked = attach_group_values(members.filter("node is not null"), by_node, ["node"])
-    alone = members.filter("node is null").withColumn("component_id", F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", "component_id").unionByName(
-        alone.select("doc_id", "n_shingles", "component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by_node = groups.join(smallest, "component").select("node", "component", "component_id")
+    linked = attach_group_values(members, by_node, ["node"]).drop("_chunk", "node")
+    alone = rows.filter("node is null").select(
+        "doc_id", "row", "n_shingles", F.col("node").alias("component"), F.col("doc_id").alias("component_id")
+    )
+    return linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return grouped(docs).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row of its smallest id stays.
+
+    Of repeated rows one stays; texts without words stay all.
+    """
+    found = write_table(grouped(docs), "near-rows")
+    own = F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))
+    chosen = found.filter("component is not null").groupBy("component").agg(F.min(own).alias("row")).select("row")
+    times = found.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
+    kept = chosen.join(times, "row").select("row", (F.col("times") == 1).alias("single")).unionByName(
+        found.filter("component is null").select("row", F.lit(True).alias("single")).distinct()
+    )
+    kept = write_table(kept, "near-kept")
+    numbered = docs.withColumn(
+        "_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    )
+    joined = numbered.join(kept.select(F.col("row").alias("_row"), "single"), "_row")
+    # only rows that are there more than once need to be told apart
+    once = joined.filter("not single").dropDuplicates(["_row"])
+    return joined.filter("single").unionByName(once).select(*docs.columns)

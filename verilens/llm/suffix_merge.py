@@ -380,42 +380,80 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def merged_spans(docs: DataFrame) -> DataFrame:
+    """k1, k2 and the disjoint [start, end) spans of bytes to remove, in order."""
+    found = repeated_spans(docs).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    # spans that touch or overlap grow together
+    grow = F.aggregate(
+        "s",
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda done, x: F.when(
+            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
+            F.concat(
+                F.slice(done, F.lit(1), F.size(done) - 1),
+                F.array(
+                    F.struct(
+                        F.element_at(done, -1)["start"].alias("start"),
+                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
+                    )
+                ),
+            ),
+        ).otherwise(F.concat(done, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
+    )
+    return found.select("k1", "k2", grow.alias("spans"))
+
+
+def without_spans(text: str, spans) -> bytes:
+    data = text.encode("utf-8", "surrogatepass")
+    at, parts = 0, []
+    for s in spans if spans is not None else ():
+        parts.append(data[at : s["start"]])
+        at = s["end"]
+    return b"".join([*parts, data[at:]])
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (merged, [start, end) in bytes) and the kept bytes of every document."""
-    spans = repeated_spans(docs).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    """doc_id, n_bytes, spans ([start, end) in bytes) and the kept bytes of every document."""
 
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            kept, merged = [], []
-            for text, found in zip(rows["text"], rows["spans"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                joined: list[list[int]] = []
-                for start, end in sorted((s["start"], s["end"]) for s in found) if found is not None else ():
-                    if joined and start <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], end)
-                    else:
-                        joined.append([start, end])
-                at, parts = 0, []
-                for start, end in joined:
-                    parts.append(data[at:start])
-                    at = end
-                kept.append(b"".join([*parts, data[at:]]))
-                merged.append(joined)
-            yield pd.DataFrame(
-                {
-                    "doc_id": rows["doc_id"].astype("Int64"),
-                    "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in rows["text"]],
-                    "spans": merged,
-                    "kept": kept,
-                }
-            )
+    @F.pandas_udf("binary")
+    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without_spans(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    whole = _texts(docs).join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return whole.mapInPandas(remove, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    whole = _texts(docs).join(merged_spans(docs), ["k1", "k2"], "left")
+    return whole.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        kept("text", "spans").alias("kept"),
+    )
+
+
+def cleaned_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated bytes taken out of the texts; no row goes.
+
+    A character that loses some of its bytes goes as a whole; ``n_chars``, where
+    there is one, is that of the new text.  Texts without repeats are untouched.
+    """
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        cut = [t if s is None else without_spans(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)]
+        return pd.Series(cut, dtype=object)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keys = docs.withColumn("_k1", F.xxhash64(F.col("doc_id").cast("long"), text)).withColumn(
+        "_k2", F.crc32(text.cast("binary"))
+    )
+    spans = merged_spans(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    out = keys.join(spans, ["_k1", "_k2"], "left").withColumn("text", kept(F.col("text").cast("string"), "_spans"))
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(length))
+    return out.select(*docs.columns)
 
 
 def digests(cleaned: DataFrame) -> DataFrame:
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return cleaned.select(
         "doc_id",
         "n_bytes",
