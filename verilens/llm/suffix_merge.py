@@ -315,9 +315,14 @@ def counted_classes(contexts: DataFrame) -> DataFrame:
             by("whole").filter("n_whole > 1"), ["core", "a", "whole"], "left"
         )
         judged = write_table(judged, "repeat-judged")
-        sure = judged.filter("n_whole is not null").select("core", "context", F.col("a").alias("least"), F.col("b").alias("most"))
-        found = sure if found is None else found.unionByName(sure)
-        ranges = judged.filter("n_whole is null").groupBy("core", "context").agg(F.collect_set("a").alias("from"))
+        sure, open_ = judged.filter("n_whole is not null"), judged.filter("n_whole is null")
+        decided = sure.select("core", "context", F.col("a").alias("least"), F.col("b").alias("most"))
+        found = decided if found is None else found.unionByName(decided)
+        # what is cut finer may repeat strings of what is decided; one of each kind goes on with it
+        others = sure.groupBy("core", "a", "common", "whole").agg(F.min("context").alias("context"))
+        others = others.join(open_.select("core", "a", "common").distinct(), ["core", "a", "common"], "left_semi")
+        further = open_.select("core", "context", "a").unionByName(others.select("core", "context", "a"))
+        ranges = further.groupBy("core", "context").agg(F.collect_set("a").alias("from"))
         wider = step
     return found.groupBy("core", "context").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
