@@ -131,9 +131,8 @@ def read_table(cells: DataFrame, table_id: int, columns: list[int]) -> DataFrame
 def table_chunk(cells: DataFrame, offset: int, limit: int) -> DataFrame:
     """A chunk of rows of every table with ``has_more`` and the header hash.
 
-    Rows are numbered by distributed positions; ``limit`` is at most 2000.
+    Rows are numbered by distributed positions.
     """
-    limit = min(limit, 2000)
     rows = (
         cells.groupBy(*TABLE, "row_idx")
         .agg(F.array_sort(F.collect_list(F.struct("col_idx", "header", "text"))).alias("c"))

@@ -191,13 +191,9 @@ def size_bin_axis(numeric: DataFrame) -> DataFrame:
         F.count_if(F.col("step") >= -1e-12).alias("rises"),
         F.min_by("num", "pos").alias("first_value"),
         F.max_by("num", "pos").alias("last_value"),
-        F.array_sort(
-            F.collect_list(
-                F.when((F.col("pos") < 200) & (F.col("step") >= 0), F.col("step"))
-            )
-        ).alias("early"),
+        F.percentile_approx(F.when(F.col("step") >= 0, F.col("step")), 0.5, 10_000).alias("middle"),
     )
-    middle = F.try_element_at("early", (F.floor(F.size("early") / 2) + 1).cast("int"))
+    middle = F.col("middle")
     span = F.col("last_value") - F.col("first_value")
     return shape.filter(
         (F.col("rises") / (F.col("n") - 1) >= 0.95)

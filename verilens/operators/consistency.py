@@ -163,20 +163,33 @@ def role_rows(cells: DataFrame) -> DataFrame:
     return tagged.groupBy(*ROW).agg(*[first(r) for r in ("n", "mean", "sd", "percent", "t", "p", "f")])
 
 
-def grim_rows(cells: DataFrame) -> DataFrame:
-    """Mean and percentage cells that no n integers can give."""
-    rows = role_rows(cells)
-    n = F.floor("n.num").cast("int")
-
-    def failing(role: str, severity: str) -> DataFrame:
-        cell = F.col(role)
-        decimals = N.decimal_places(cell["text"])
-        ok = (n >= 2) & (n <= 200) & (F.abs(cell["num"]) <= 1000) & (decimals > 0)
-        return rows.filter(ok & ~grim_consistent(cell["num"], n, decimals)).select(
-            *ROW, F.lit(role).alias("role"), cell["num"].alias("value"), n.alias("n"), F.lit(severity).alias("severity")
-        )
+def sized_cells(cells: DataFrame, *roles: str) -> DataFrame:
+    """Every numeric cell of the given roles with its row's n and SD: ``num``, ``text``, ``role``."""
+    tagged = cells.select(
+        *ROW,
+        "col_idx",
+        F.trim("text").alias("text"),
+        N.coerce_number(F.col("text")).alias("num"),
+        column_role(F.col("header")).alias("role"),
+    )
+    wanted = tagged.filter(F.col("role").isin(*roles) & F.col("num").isNotNull())
+    sizes = role_rows(cells).filter("n IS NOT NULL").select(*ROW, F.floor("n.num").cast("int").alias("n"), "sd")
+    return wanted.join(sizes, ROW)
+
 
-    return failing("mean", "low").unionByName(failing("percent", "high"))
+def grim_rows(cells: DataFrame) -> DataFrame:
+    """Cells of mean, percentage and other decimal columns that no n integers can give."""
+    rows = sized_cells(cells, "mean", "percent", "value")
+    n, num, decimals = F.col("n"), F.col("num"), N.decimal_places(F.col("text"))
+    ok = (n >= 2) & (n <= 200) & (F.abs(num) <= 1000) & (decimals > 0)
+    return rows.filter(ok & ~grim_consistent(num, n, decimals)).select(
+        *ROW,
+        "col_idx",
+        "role",
+        num.alias("value"),
+        "n",
+        F.when(F.col("role") == "percent", "high").otherwise("low").alias("severity"),
+    )
 
 
 def debit_rows(cells: DataFrame) -> DataFrame:
@@ -194,22 +207,20 @@ def debit_rows(cells: DataFrame) -> DataFrame:
 
 
 def grimmer_rows(cells: DataFrame) -> DataFrame:
-    """Rows whose SD exceeds the bound of its scale; GRIM-consistent means only."""
-    rows = role_rows(cells).filter("mean IS NOT NULL AND sd IS NOT NULL AND n IS NOT NULL")
-    n = F.floor("n.num").cast("int")
-    mean, sd = F.col("mean.num"), F.col("sd.num")
-    md, sdd = N.decimal_places(F.col("mean.text")), N.decimal_places(F.col("sd.text"))
+    """Mean cells whose row's SD exceeds the bound of its scale; GRIM-consistent means only."""
+    rows = sized_cells(cells, "mean").filter("sd IS NOT NULL")
+    n, mean, sd = F.col("n"), F.col("num"), F.col("sd.num")
+    md, sdd = N.decimal_places(F.col("text")), N.decimal_places(F.col("sd.text"))
     return rows.filter(
         mean.between(0.0, 10.0) & (n >= 2) & grim_consistent(mean, n, md) & ~sd_possible(mean, sd, n, md, sdd)
-    ).select(*ROW, mean.alias("mean"), sd.alias("sd"), n.alias("n"), F.lit("high").alias("severity"))
+    ).select(*ROW, "col_idx", mean.alias("mean"), sd.alias("sd"), "n", F.lit("high").alias("severity"))
 
 
 def percent_rows(cells: DataFrame) -> DataFrame:
-    """Percentages that are not whole counts of n."""
-    rows = role_rows(cells).filter("percent IS NOT NULL AND n IS NOT NULL AND percent.num BETWEEN 0 AND 100")
-    n = F.floor("n.num").cast("int")
-    return rows.filter((n >= 2) & ~percent_divides(F.col("percent.num"), n)).select(
-        *ROW, F.col("percent.num").alias("percent"), n.alias("n"), F.lit("high").alias("severity")
+    """Percentage cells that are not whole counts of n."""
+    rows = sized_cells(cells, "percent").filter("num BETWEEN 0 AND 100")
+    return rows.filter((F.col("n") >= 2) & ~percent_divides(F.col("num"), F.col("n"))).select(
+        *ROW, "col_idx", F.col("num").alias("percent"), "n", F.lit("high").alias("severity")
     )
 
 
@@ -358,53 +369,61 @@ def _tail(stat: Column, value: Column) -> Column:
     )
 
 
-def _inconsistent(p, op, dec, low, up, mid, tol: float = 0.01) -> Column:
-    scale = F.pow(F.lit(10.0), dec.cast("double"))
-    lo_r, up_r = F.rint(low * scale) / scale, F.rint(up * scale) / scale
-    gap = F.greatest(lo_r - p, p - up_r)
-    half = F.lit(0.5) / scale
-    equal = ~((lo_r - 1e-9 <= p) & (p <= up_r + 1e-9)) & (
-        gap > F.greatest(F.lit(tol), F.greatest(p, mid, F.lit(1e-12)) * 0.1)
-    )
-    return F.when(op == "=", equal).when(op == "<", low - p > half).when(op == ">", p - up > half).otherwise(False)
+# Level of significance, and how far apart p values may lie, absolutely and by share.
+ALPHA = 0.05
+P_SLACK = 0.01
+P_SHARE = 0.1
 
 
 def statcheck(blocks: DataFrame) -> DataFrame:
-    """Reported p against the interval its rounded statistic allows."""
+    """Reported p against the interval its rounded statistic allows.
+
+    A report claims an interval of p: the value itself, or all below or above it.
+    The statistic, known up to its last digit, implies another.  The two are
+    inconsistent if they lie further apart than rounding and slack explain, and the
+    decision is wrong if they lie on different sides of ``ALPHA``.  A sentence about
+    one-sided tests may halve the implied interval of t and z.
+    """
     rows = statistics_in_text(blocks).filter("p IS NOT NULL AND p_op IS NOT NULL")
-    size = F.abs("value")
-    half = F.pow(F.lit(10.0), -F.col("value_dec").cast("double")) * 0.5
-    stat = F.col("stat")
+    stat, size = F.col("stat"), F.abs("value")
+    digit = F.pow(F.lit(10.0), -F.col("value_dec").cast("double")) * 0.5
+    p, exact = F.col("p"), F.col("p_op") == "="
+    unit = F.pow(F.lit(10.0), -F.col("p_dec").cast("double"))
+    claimed = (F.when(F.col("p_op") == "<", 0.0).otherwise(p), F.when(F.col("p_op") == ">", 1.0).otherwise(p))
     tails = (
         rows.withColumn("p_computed", _tail(stat, size))
-        .withColumn("_low", _tail(stat, size + half))
-        .withColumn("_up", _tail(stat, F.greatest(size - half, F.lit(0.0))))
-    )
-    low = F.when(F.col("op") == ">", 0.0).otherwise(F.col("_low"))
-    up = F.when(F.col("op") == "<", 1.0).otherwise(F.col("_up"))
-    one_low = F.when(F.col("op") == ">", 0.0).otherwise(F.col("_low") / 2)
-    one_up = F.when(F.col("op") == "<", 1.0).otherwise(F.col("_up") / 2)
-    p, op, dec = F.col("p"), F.col("p_op"), F.col("p_dec")
-    zero = (op == "=") & (p == 0)
-    plain = zero | _inconsistent(p, op, dec, low, up, F.col("p_computed"))
-    exempt = (
-        plain
-        & ~zero
-        & F.col("one_tailed")
-        & stat.isin("t", "z")
-        & ~_inconsistent(p, op, dec, one_low, one_up, F.col("p_computed") / 2)
-    )
-    reported = (
-        F.when(op == "=", p < 0.05).when((op == "<") & (p <= 0.05), True).when((op == ">") & (p >= 0.05), False)
-    )
-    recomputed = F.when(up < 0.05, True).when(low >= 0.05, False)
-    judged = tails.withColumn("p_low", low).withColumn("p_up", up).withColumn("_bad", plain & ~exempt)
-    return judged.select(
-        "doc_id", "block_no", "stat", "d1", "d2", "value", "p_op", "p", "p_computed", "p_low", "p_up",
-        F.col("_bad").alias("inconsistent"),
+        .withColumn("_near", _tail(stat, size + digit))
+        .withColumn("_far", _tail(stat, F.greatest(size - digit, F.lit(0.0))))
+    )
+
+    def implied(sides: int) -> tuple[Column, Column]:
+        return (
+            F.when(F.col("op") == ">", 0.0).otherwise(F.col("_near") / sides),
+            F.when(F.col("op") == "<", 1.0).otherwise(F.col("_far") / sides),
+        )
+
+    def apart(sides: int) -> Column:
+        low, up = (F.when(exact, F.rint(end / unit) * unit).otherwise(end) for end in implied(sides))
+        slack = F.when(
+            exact, F.greatest(F.lit(P_SLACK), P_SHARE * F.greatest(p, F.col("p_computed") / sides))
+        ).otherwise(unit / 2)
+        return F.greatest(low - claimed[1], claimed[0] - up) > slack
+
+    low, up = implied(1)
+    zero = exact & (p == 0)
+    halved = F.col("one_tailed") & stat.isin("t", "z") & ~zero
+    exempt = halved & apart(1) & ~apart(2)
+    bad = zero | (apart(1) & ~exempt)
+    below = F.when(F.col("p_op") == "<", claimed[1] <= ALPHA).otherwise(claimed[1] < ALPHA)
+    crossed = (below & (low >= ALPHA)) | ((claimed[0] >= ALPHA) & (up < ALPHA))
+    return tails.select(
+        "doc_id", "block_no", "stat", "d1", "d2", "value", "p_op", "p", "p_computed",
+        low.alias("p_low"),
+        up.alias("p_up"),
+        bad.alias("inconsistent"),
         exempt.alias("one_tailed_exempt"),
         zero.alias("p_zero"),
-        (F.col("_bad") & F.coalesce(reported != recomputed, F.lit(False))).alias("decision_error"),
+        (bad & crossed).alias("decision_error"),
     )
 
 

@@ -680,10 +680,7 @@ def image_issue_keys(findings: DataFrame, radius: int = 4) -> DataFrame:
     )
     ends = F.array_compact(F.array("first", "peer"))
     own = both.select(F.explode(ends).alias("u"), F.col("node").alias("v"))
-    near_edges = cut_lineage(bridged)
-    edges = cut_lineage(own)
-    if not near_edges.isEmpty():
-        edges = cut_lineage(edges.unionByName(near_edges))
+    edges = cut_lineage(own.unionByName(bridged))
     labels = connected_components(nodes.select("node"), edges)
     return (
         first.withColumnRenamed("first", "node")
@@ -782,7 +779,7 @@ def normalized_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\d+", "N"), r"\s+", " "))
 
 
-def finding_clusters(df: DataFrame, cap: int = 200, batch: int = 12) -> DataFrame:
+def finding_clusters(df: DataFrame, batch: int = 12) -> DataFrame:
     """Findings with one fingerprint, their representative and batch number."""
     key = short_id(
         F.col("detector"), F.col("severity"), normalized_title(F.col("title")),
@@ -795,7 +792,6 @@ def finding_clusters(df: DataFrame, cap: int = 200, batch: int = 12) -> DataFram
     order = W.partitionBy("doc_id").orderBy(F.col("members").desc(), "fingerprint")
     return (
         groups.withColumn("place", F.row_number().over(order))
-        .withColumn("overflow", F.col("place") > cap)
         .withColumn("batch", F.floor((F.col("place") - 1) / batch))
     )
 
@@ -911,23 +907,15 @@ def pair_summary(items: DataFrame) -> DataFrame:
     )
 
 
-def pair_locations(items: DataFrame, top: int = 8) -> DataFrame:
-    """Most frequent side pairs of each document."""
+def pair_locations(items: DataFrame) -> DataFrame:
+    """Side pairs of each document, most frequent first."""
     groups = (
         items.filter("side_a IS NOT NULL AND side_b IS NOT NULL")
         .groupBy("doc_id", F.least("side_a", "side_b").alias("side_a"), F.greatest("side_a", "side_b").alias("side_b"))
         .agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("title").alias("titles"))
     )
     order = [F.col("findings").desc(), F.col("side_a"), F.col("side_b")]
-    part = groups.withColumn("_part", F.pmod(F.xxhash64("side_a", "side_b"), F.lit(32)))
-    local = part.withColumn(
-        "_r", F.row_number().over(W.partitionBy("doc_id", "_part").orderBy(*order))
-    ).filter(F.col("_r") <= top)
-    return (
-        local.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
-        .filter(F.col("place") <= top)
-        .drop("_part", "_r")
-    )
+    return groups.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
 
 
 def evidence_index(df: DataFrame, categories: DataFrame) -> DataFrame:

@@ -61,21 +61,13 @@ def normalized_doi(text: Column) -> Column:
     return F.regexp_replace(bare, r"[.,;)\]]+$", "")
 
 
-def cited_retractions(dois: DataFrame, retracted: DataFrame, per_doc: int = 50) -> DataFrame:
-    """Cited DOIs that are retracted (J21): ``dois(doc_id, doi, position)``.
-
-    ``per_doc`` is the lookup budget of the operator, first cited first.
-    """
+def cited_retractions(dois: DataFrame, retracted: DataFrame) -> DataFrame:
+    """All cited DOIs that are retracted (J21): ``dois(doc_id, doi, position)``."""
     first = dois.withColumn("doi", normalized_doi(F.col("doi"))).groupBy("doc_id", "doi").agg(
         F.min("position").alias("position")
     )
-    order = ["position", "doi"]
-    part = W.partitionBy("doc_id", F.pmod(F.xxhash64("doi"), F.lit(32))).orderBy(*order)
-    local = first.withColumn("_r", F.row_number().over(part)).filter(F.col("_r") <= per_doc)
-    whole = W.partitionBy("doc_id").orderBy(*order)
-    chosen = local.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= per_doc).drop("_r")
     known = retracted.filter("is_retracted").select(normalized_doi(F.col("doi")).alias("doi"), "title").dropDuplicates(["doi"])
-    return chosen.join(known, "doi").withColumn("severity", F.lit("high"))
+    return first.join(known, "doi").withColumn("severity", F.lit("high"))
 
 
 def link_findings(links: DataFrame, status: DataFrame) -> DataFrame:
@@ -188,16 +180,21 @@ def nearest_percent_gap(sentences: DataFrame, labels: DataFrame, gap: float = 2.
     )
 
 
-def percent_overlap(prose: DataFrame, table: DataFrame, top: int = 5, tol: int = 2) -> DataFrame:
-    """Documents whose commonest prose percentages are far from every table value.
+def percent_overlap(
+    prose: DataFrame, table: DataFrame, tol: int = 2, top: int | None = None
+) -> DataFrame:
+    """Documents whose prose percentages are far from every table value.
 
     ``prose(doc_id, pct)``, ``table(doc_id, pct)``; values are whole buckets, so
-    the range join is an equi-join on the 2*tol+1 neighbouring buckets.
+    the range join is an equi-join on the 2*tol+1 neighbouring buckets.  ``top``
+    ranks: only that many of a document's commonest buckets are looked at.
     """
     bucket = lambda: F.bround("pct", 0).cast("int")
     prose_counts = prose.groupBy("doc_id", bucket().alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    order = W.partitionBy("doc_id").orderBy(F.col("c").desc(), "b")
-    best = prose_counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top)
+    best = prose_counts
+    if top is not None:
+        order = W.partitionBy("doc_id").orderBy(F.col("c").desc(), "b")
+        best = best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).drop("_r")
     near = (
         table.select("doc_id", bucket().alias("b")).distinct()
         .select("doc_id", F.explode(F.sequence(F.col("b") - tol, F.col("b") + tol)).alias("b"))

@@ -413,7 +413,7 @@ def copy_loops(
         "p",
         F.struct(F.lit(-k).alias("last"), F.lit(0).alias("n"), F.lit(-1).alias("start")),
         lambda s, p: F.when(
-            (p >= s["last"] + k) & (s["n"] < min_repeats),
+            p >= s["last"] + k,
             F.struct(
                 p.alias("last"),
                 (s["n"] + 1).alias("n"),
@@ -449,9 +449,7 @@ def copy_loops(
 def compliance(docs: DataFrame) -> DataFrame:
     """Required statements that are present, with context, or missing."""
     text = F.col("text")
-    context = lambda p: F.slice(
-        find_all(text, r"(?is)(.{0,30}" + p.replace("(?i)", "", 1) + r".{0,30})"), 1, 3
-    )
+    context = lambda p: find_all(text, r"(?is)(.{0,30}" + p.replace("(?i)", "", 1) + r".{0,30})")
     rows = F.array(
         *[
             F.struct(
@@ -750,34 +748,51 @@ def citations(blocks: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- availability
 
-SECTION_START = r"(?i)data availability(?: statement)?|availability of data(?: and materials?)?"
-SECTION_END = (
-    r"(?i)\n\s*(?:references|acknowledg|funding|author contributions|competing interests|conflict|ethics)"
+# Headings of the section, what ends it, and its empty answer.
+SECTION_START = (
+    r"(?i)(?:^|\n|\.\s+|\?\s+| +)(?<![A-Za-z0-9])(?:\d+(?:\.\d+)?\.?\s+)?"
+    r"(?:data availability(?:\s+statement)?|data sharing|data deposition|availability of data|"
+    r"data and materials availability|availability of materials|raw data availability|"
+    r"availability of data and materials|data availability statement|open research|"
+    r"resource availability|code and data availability)(?=[:.\n\s]|$)"
 )
+SECTION_END = r"\n\s*(?:[A-Z][A-Z\s]{4,}|\d+\.\s+[A-Z][a-z]+)"
+NOT_APPLICABLE = r"(?i)\bnot applicable\b"
 
 
 def availability_section(text: Column) -> Column:
-    """Text after the availability heading up to the next heading, 8000 characters and 800 words by rule."""
+    """Text behind the availability heading up to the next heading."""
+    heading = F.regexp_extract(text, SECTION_START, 0)
     at = F.regexp_instr(text, F.lit(SECTION_START))
-    tail = F.when(at > 0, F.substring(text, at, F.lit(8000)))
+    tail = F.when(at > 0, F.substring(text, at + F.length(heading), F.length(text)))
     end = F.regexp_instr(tail, F.lit(SECTION_END))
-    body = F.when(end > 1, F.substring(tail, F.lit(1), end - 1)).otherwise(tail)
-    return F.array_join(F.slice(F.split(body, r"\s+"), 1, 800), " ")
+    return F.when(end > 0, F.substring(tail, F.lit(1), end - 1)).otherwise(tail)
 
 
 def availability_flags(docs: DataFrame) -> DataFrame:
-    """Red flags by category, or a missing section in a long text."""
+    """Red flags by category, in the section or, without one, in the whole text.
+
+    A section that starts with "not applicable" and a missing section in a long
+    text are flags of their own.
+    """
     sections = docs.select(
         "doc_id",
         availability_section(F.col("text")).alias("section"),
+        "text",
         F.size(F.split(F.trim("text"), r"\s+")).alias("words"),
     )
     rows = [
         F.when(
-            F.col("section").rlike(p), F.struct(F.lit(k).alias("category"), F.lit(s).alias("severity"))
+            F.coalesce("section", "text").rlike(p), F.struct(F.lit(k).alias("category"), F.lit(s).alias("severity"))
         )
         for k, (s, p) in AVAILABILITY_FLAGS.items()
     ]
+    rows.append(
+        F.when(
+            F.substring("section", 1, 250).rlike(NOT_APPLICABLE),
+            F.struct(F.lit("not_applicable").alias("category"), F.lit("low").alias("severity")),
+        )
+    )
     rows.append(
         F.when(
             F.col("section").isNull() & (F.col("words") > 2000),

@@ -77,7 +77,7 @@ def grim(v: str, d: int) -> str:
     ),
 )
 def x1(spark, sf_dir):
-    return S.grim_rows(stat_cells(spark, sf_dir))
+    return S.grim_rows(stat_cells(spark, sf_dir)).drop("col_idx")
 
 
 @add(
@@ -106,7 +106,7 @@ def x2(spark, sf_dir):
     ),
 )
 def x3(spark, sf_dir):
-    return S.grimmer_rows(stat_cells(spark, sf_dir))
+    return S.grimmer_rows(stat_cells(spark, sf_dir)).drop("col_idx")
 
 
 @add(
@@ -117,7 +117,7 @@ def x3(spark, sf_dir):
     ),
 )
 def x4(spark, sf_dir):
-    return S.percent_rows(stat_cells(spark, sf_dir))
+    return S.percent_rows(stat_cells(spark, sf_dir)).drop("col_idx")
 
 
 @add("x7_tp_rows")

@@ -372,9 +372,8 @@ def j27(spark, sf_dir):
     "a21_percent_overlap",
     """WITH e AS (SELECT user_id AS doc_id, CAST(round_even(value, 0) AS INT) AS b, event_type FROM events),
  p AS (SELECT doc_id, b, count(*) AS c FROM e WHERE event_type = 'view' GROUP BY ALL),
- k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, b) AS r FROM p),
  t AS (SELECT DISTINCT doc_id, b FROM e WHERE event_type = 'click'),
- m AS (SELECT k.doc_id, k.b, EXISTS (SELECT 1 FROM t WHERE t.doc_id = k.doc_id AND abs(t.b - k.b) <= 2) AS hit FROM k WHERE r <= 5)
+ m AS (SELECT k.doc_id, k.b, EXISTS (SELECT 1 FROM t WHERE t.doc_id = k.doc_id AND abs(t.b - k.b) <= 2) AS hit FROM p k)
  SELECT doc_id, count(*) AS buckets, count(*) FILTER (hit) AS matched, count(*) FILTER (hit) = 0 AS fires FROM m WHERE doc_id IN (SELECT doc_id FROM t) GROUP BY doc_id""",
 )
 def a21(spark, sf_dir):
