@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 FOLDS = 5
 #: Labelled rows that are learnt from, at most; chosen by a hash of their id.
-SAMPLE = 12_000
+SAMPLE = 5_000
 #: Words with weights, at most.
-VOCABULARY = 20_000
+VOCABULARY = 5_000
 VOTERS = 400
 WORD = re.compile(r"[^\W\d_]+")
 ROUNDS = 60
@@ -67,58 +67,64 @@ def words_of(text: str) -> set[str]:
     )
 
 
-def kin(words: set[str]) -> int:
-    """A number that copies and near copies of a text mostly share: the smallest hash of its long words."""
-    return min((zlib.crc32(w.encode()) for w in words if len(w) > 7), default=zlib.crc32(repr(sorted(words)).encode()))
-
-
-def surprise(hits: float, n: float, rate: float) -> float:
-    """Log-likelihood ratio of ``hits`` toxic rows in ``n`` against the base rate; negative below it."""
-    rate = min(max(rate, 1e-6), 1 - 1e-6)
-    share = min(max(hits / n, 1e-9), 1 - 1e-9)
-    gain = hits * np.log(share / rate) + (n - hits) * np.log((1 - share) / (1 - rate))
-    return float(gain if share >= rate else -gain)
-
-
-def shares(texts: list[set[str]], toxic: np.ndarray) -> tuple[dict[str, list[float]], float]:
-    """Rows and toxic rows of each word, near copies of a row counted once; the toxic share of all."""
-    groups: dict[tuple[int, bool], list[int]] = {}
-    for row, words in enumerate(texts):
-        groups.setdefault((kin(words), bool(toxic[row] > 0.5)), []).append(row)
-    found: dict[str, list[float]] = {}
-    total = 0.0
-    for rows in groups.values():
-        belief = float(np.mean(toxic[rows]))
-        total += belief
-        for word in set().union(*(texts[r] for r in rows)):
-            counts = found.setdefault(word, [0.0, 0.0])
-            counts[0] += 1
-            counts[1] += belief
-    return found, total / max(1, len(groups))
-
-
-def lexicon(texts: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words whose rows are mostly toxic, beyond what chance gives among so many words."""
-    found, rate = shares(texts, toxic)
-    strong = [
-        (surprise(bad, n, rate), word) for word, (n, bad) in found.items() if bad >= 4 and bad >= 0.7 * n
-    ]
-    return [word for gain, word in sorted(strong, reverse=True)[:VOTERS] if gain >= SURPRISING]
-
-
-def cast_votes(texts: list[set[str]], raw: list[str], words: list[str]) -> np.ndarray:
-    """Votes of all voters: +1 toxic, -1 clean, 0 abstains; the last four are pattern voters."""
-    place = {w: k for k, w in enumerate(words)}
-    votes = np.zeros((len(texts), len(words) + 4), np.int8)
-    for row, (found, text) in enumerate(zip(texts, raw, strict=True)):
-        hits = [place[w] for w in found if w in place]
-        votes[row, hits] = 1
-        capitals = sum(map(str.isupper, text)) / max(1, len(text))
-        votes[row, -4] = 1 if found & INSULTS else 0
-        votes[row, -3] = 1 if len(hits) >= 2 else -1 if not hits else 0
-        votes[row, -2] = 1 if 50 * len(hits) >= len(found) > 0 else -1 if not hits else 0
-        votes[row, -1] = 1 if capitals > 0.5 and hits else 0
-    return votes
+class Sample:
+    """Labelled texts as rows of word numbers, near copies of a row put together for counts."""
+
+    def __init__(self, texts: Iterable[str]):
+        number: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.shouting: list[bool] = []
+        kin: dict[int, int] = {}
+        groups = []
+        for text in texts:
+            words = words_of(text)
+            # copies and near copies mostly share the smallest hash of their long words
+            same = min((zlib.crc32(w.encode()) for w in words if len(w) > 7), default=-1 - len(groups))
+            groups.append(kin.setdefault(same, len(kin)))
+            found = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+            self.rows.append(np.sort(found))
+            self.shouting.append(sum(map(str.isupper, text)) > 0.5 * len(text) > 0)
+        self.number = number
+        self.words = list(number)
+        self.group = np.array(groups, np.int64)
+
+    def surprise(self, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word: groups of rows with it, their toxic share, and the log-likelihood ratio against the base share.
+
+        The ratio is negative for words that occur less in toxic rows.
+        """
+        kinds = self.group * 2 + (toxic > 0.5)
+        chosen = np.unique(kinds, return_index=True)[1]  # one row of a kind stands for all of it
+        column = np.concatenate([self.rows[r] for r in chosen])
+        n = np.bincount(column, minlength=len(self.words)).astype(float)
+        weights = np.repeat(toxic[chosen], [len(self.rows[r]) for r in chosen])
+        bad = np.bincount(column, weights, len(self.words))
+        rate = np.clip(toxic[chosen].mean(), 1e-6, 1 - 1e-6)
+        share = np.clip(bad / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+        gain = bad * np.log(share / rate) + (n - bad) * np.log((1 - share) / (1 - rate))
+        return n, bad, np.where(n == 0, 0.0, np.where(share >= rate, gain, -gain))
+
+    def lexicon(self, toxic: np.ndarray) -> np.ndarray:
+        """Words whose rows are mostly toxic, beyond what chance gives among so many words."""
+        n, bad, gain = self.surprise(toxic)
+        strong = np.flatnonzero((bad >= 4) & (bad >= 0.7 * n) & (gain >= SURPRISING))
+        return strong[np.lexsort((strong, -gain[strong]))][:VOTERS]
+
+    def votes(self, lexicon: np.ndarray) -> np.ndarray:
+        """Votes of all voters: +1 toxic, -1 clean, 0 abstains; the last four are pattern voters."""
+        place = np.full(len(self.words), -1, np.int32)
+        place[lexicon] = np.arange(len(lexicon))
+        insults = {self.number[w] for w in INSULTS if w in self.number}
+        votes = np.zeros((len(self.rows), len(lexicon) + 4), np.int8)
+        for row, words in enumerate(self.rows):
+            hits = place[words]
+            hits = hits[hits >= 0]
+            votes[row, hits] = 1
+            votes[row, -4] = 0 if insults.isdisjoint(words.tolist()) else 1
+            votes[row, -3] = 1 if len(hits) >= 2 else -1 if not len(hits) else 0
+            votes[row, -2] = 1 if 50 * len(hits) >= len(words) > 0 else -1 if not len(hits) else 0
+            votes[row, -1] = 1 if self.shouting[row] and len(hits) else 0
+        return votes
 
 
 def label_model(votes: np.ndarray, marks: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -158,27 +164,29 @@ def label_model(votes: np.ndarray, marks: np.ndarray, rounds: int = ROUNDS) -> n
     return belief
 
 
-def linear_classifier(texts: list[set[str]], belief: np.ndarray, steps: int = 300) -> tuple[dict[str, float], float]:
+def linear_classifier(sample: Sample, belief: np.ndarray, steps: int = 300) -> tuple[dict[str, float], float]:
     """Word weights and intercept of a logistic regression on the posterior labels."""
-    found, base = shares(texts, belief)
-    gains = sorted(((-abs(surprise(bad, n, base)), word) for word, (n, bad) in found.items() if n >= 3))
-    place = {w: k for k, (gain, w) in enumerate(gains[:VOCABULARY]) if -gain >= TELLING}
+    n, _, gain = sample.surprise(belief)
+    telling = np.flatnonzero((n >= 3) & (np.abs(gain) >= TELLING))
+    telling = telling[np.lexsort((telling, -np.abs(gain[telling])))][:VOCABULARY]
+    place = np.full(len(sample.words), -1, np.int32)
+    place[telling] = np.arange(len(telling))
+    rows = [p[p >= 0] for p in (place[words] for words in sample.rows)]
     rate = float(belief.mean())
-    rows = [np.array([place[w] for w in words if w in place], np.int64) for words in texts]
     column, row = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    weight, bias = np.zeros(len(place)), float(np.log(rate / (1 - rate)))
+    weight, bias = np.zeros(len(telling)), float(np.log(rate / (1 - rate)))
     # balanced classes; steps sized per word by the squares of its gradients
     importance = np.where(belief > 0.5, 0.5 / max(rate, 1e-3), 0.5 / max(1 - rate, 1e-3))
-    squares, bias_square = np.full(len(place), 1e-6), 1e-6
+    squares, bias_square = np.full(len(telling), 1e-6), 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, weight[column], len(rows)), -30, 30)))
         error = importance * (p - belief) / len(rows)
-        gradient = np.bincount(column, error[row], len(place)) + PENALTY * weight
+        gradient = np.bincount(column, error[row], len(telling)) + PENALTY * weight
         squares += gradient * gradient
         weight -= 0.3 * gradient / np.sqrt(squares)
         bias_square += error.sum() ** 2
         bias -= 0.3 * error.sum() / np.sqrt(bias_square)
-    return dict(zip(place, weight, strict=True)), bias
+    return {sample.words[k]: float(w) for k, w in zip(telling, weight, strict=True)}, float(bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
@@ -191,13 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = chosen.join(texts, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     rows = found.limit(sample).toPandas()
-    raw, toxic = rows["text"].tolist(), rows["toxic"].to_numpy()
+    raw, toxic = rows["text"], rows["toxic"].to_numpy()
     if not len(toxic) or toxic.min() == toxic.max():
         return {}, -1.0
-    words = [words_of(t) for t in raw]
-    voters = lexicon(words, toxic)
-    belief = label_model(cast_votes(words, raw, voters), toxic)
-    return linear_classifier(words, np.clip(belief, 0.001, 0.999))
+    held = Sample(raw)
+    belief = label_model(held.votes(held.lexicon(toxic)), toxic)
+    return linear_classifier(held, np.clip(belief, 0.001, 0.999))
 
 
 def scorer(weights: dict[str, float], bias: float):
