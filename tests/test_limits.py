@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verilens.operators import audit, consistency, findings, lookups, text
+from verilens.operators import images as pictures
 
 CELLS = "doc_id long, table_id long, row_idx long, col_idx int, header string, text string"
 
@@ -65,3 +66,11 @@ def test_copy_loops_count_all_places(spark):
     body = " ".join(f"{unit} {filler(j)}" for j in range(5))
     row = text.copy_loops(spark.createDataFrame([(1, 0, body)], "doc_id long, block_no int, text string")).first()
     assert row.repetitions == 5
+
+
+def test_secondary_matches_leave_primary_ones(spark):
+    rows = [(1, 1, 7, 100, 5), (1, 2, 7, 5, 1 << 40), (1, 3, 7, 5, 1 << 41), (1, 4, 0x7FFF0000FFFF, 5, 1 << 42), (1, 5, 0x7FFF0000FFFF, 5, 1 << 42)]
+    images = spark.createDataFrame(rows, "doc_id long, image_id long, phash long, ahash long, dhash long")
+    found = {(r.image_a, r.image_b, r.copies_b) for r in pictures.secondary_matches(images).collect()}
+    # 2 and 3 share a perceptual hash with 1; 5 is a copy of 4
+    assert found == {(1, 4, 2), (2, 4, 2), (3, 4, 2)}

@@ -214,22 +214,50 @@ def _pair_key(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "image_a", "image_b").distinct()
 
 
-def secondary_matches(images: DataFrame, primary: DataFrame, radius: int = SECONDARY) -> DataFrame:
-    """Best of average and difference hash among pairs not matched before."""
+def image_classes(images: DataFrame) -> DataFrame:
+    """Images of a document with the same three hashes, by their first image: one class each."""
+    return images.groupBy("doc_id", "phash", "ahash", "dhash").agg(
+        F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies")
+    )
+
+
+def secondary_matches(images: DataFrame, radius: int = SECONDARY, primary_radius: int = PRIMARY) -> DataFrame:
+    """Best of average and difference hash among images whose perceptual hashes do not match.
+
+    Pairs are those of image classes, ``copies_a`` and ``copies_b`` say how many
+    images each end stands for.  Whether two classes match already is decided by
+    their perceptual hashes, never by listed edges.
+    """
+    classes = cut_lineage(image_classes(images))
+    side = lambda s, algo: classes.filter(F.col(algo).isNotNull()).select(
+        "doc_id",
+        F.col(algo).alias(f"hash_{s}"),
+        F.struct("image_id", "phash", "copies").alias(s),
+    )
     found = None
     for algo in ("ahash", "dhash"):
-        edges = similar_images(images, radius, hash_=algo).select(
-            "doc_id", "image_a", "image_b", "distance", F.lit(algo).alias("algo")
+        hashes = classes.filter(F.col(algo).isNotNull()).select("doc_id", F.col(algo).alias("hash")).distinct()
+        same = hashes.select("doc_id", F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance"))
+        near = hash_pairs(hashes, None, radius, scope=["doc_id"]).select("doc_id", "hash_a", "hash_b", "distance")
+        pairs = (
+            near.unionByName(same)
+            .join(side("a", algo), ["doc_id", "hash_a"])
+            .join(side("b", algo), ["doc_id", "hash_b"])
+            .filter((F.col("hash_a") != F.col("hash_b")) | (F.col("a.image_id") < F.col("b.image_id")))
+            .select("doc_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", F.lit(algo).alias("algo"))
         )
-        found = edges if found is None else found.unionByName(edges)
-    fresh = found.join(_pair_key(primary), ["doc_id", "image_a", "image_b"], "left_anti")
+        found = pairs if found is None else found.unionByName(pairs)
+    apart = F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash"))) > primary_radius
     return (
-        fresh.groupBy("doc_id", "image_a", "image_b")
+        found.filter(F.coalesce(apart, F.lit(True)))
+        .groupBy("doc_id", "a", "b")
         .agg(F.min(F.struct("distance", "algo")).alias("best"))
         .select(
             "doc_id",
-            "image_a",
-            "image_b",
+            F.col("a.image_id").alias("image_a"),
+            F.col("b.image_id").alias("image_b"),
+            F.col("a.copies").alias("copies_a"),
+            F.col("b.copies").alias("copies_b"),
             F.col("best.distance").alias("distance"),
             F.col("best.algo").alias("algo"),
             F.when(F.col("best.distance") <= HIGH_BITS, "high").otherwise("medium").alias("severity"),
@@ -347,7 +375,7 @@ def duplicate_passes(
 ) -> DataFrame:
     """Primary, secondary, geometric, region and strip pass, each on what is left (G1)."""
     primary = match_support(similar_images(images))
-    second = cut_lineage(secondary_matches(images, primary))
+    second = cut_lineage(secondary_matches(images))
     whole = cut_lineage(_pair_key(primary).unionByName(_pair_key(second)))
     turned = cut_lineage(geometric_matches(variants, whole))
     whole = whole.unionByName(_pair_key(turned))

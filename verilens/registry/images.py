@@ -85,27 +85,25 @@ def a28(spark, sf_dir):
     return out.select("doc_id", "image_a", "image_b", "distance", "span", "severity")
 
 
-SECOND = (
-    edges_sql("ea", "ahash", 12)
-    + ", "
-    + edges_sql("ed", "dhash", 12)
-    + """, sec AS (SELECT doc_id, image_a, image_b, min(distance) AS distance FROM (SELECT * FROM ea UNION ALL SELECT * FROM ed) e
- WHERE NOT EXISTS (SELECT 1 FROM prim p WHERE p.image_a = e.image_a AND p.image_b = e.image_b) GROUP BY ALL)"""
-)
+# Plain pairs of image classes; whether a pair matches already is a question of its perceptual hashes.
+SECOND = """cl AS (SELECT doc_id, phash, ahash, dhash, min(image_id) AS image_id, count(*) AS copies FROM images GROUP BY ALL),
+sec AS (SELECT a.doc_id, a.image_id AS image_a, b.image_id AS image_b, a.copies AS copies_a, b.copies AS copies_b,
+ least(bit_count(xor(a.ahash, b.ahash)), bit_count(xor(a.dhash, b.dhash))) AS distance,
+ CASE WHEN bit_count(xor(a.ahash, b.ahash)) <= coalesce(bit_count(xor(a.dhash, b.dhash)), 99) THEN 'ahash' ELSE 'dhash' END AS algo
+ FROM cl a JOIN cl b ON a.doc_id = b.doc_id AND a.image_id < b.image_id
+ WHERE coalesce(bit_count(xor(a.phash, b.phash)), 99) > 8)"""
 
 
 @add(
     "j6_secondary_matches",
     with_sql(
         X.IMAGES_SQL,
-        PRIMARY,
         SECOND,
-        select="SELECT *, CASE WHEN distance <= 4 THEN 'high' ELSE 'medium' END AS severity FROM sec",
+        select="SELECT *, CASE WHEN distance <= 4 THEN 'high' ELSE 'medium' END AS severity FROM sec WHERE distance <= 12",
     ),
 )
 def j6(spark, sf_dir):
-    images = X.images(spark, sf_dir)
-    return G.secondary_matches(images, G.similar_images(images)).drop("algo")
+    return G.secondary_matches(X.images(spark, sf_dir))
 
 
 GEO = """vg AS (SELECT doc_id, transform, hash, min(image_id) AS image_id FROM variants GROUP BY ALL),
