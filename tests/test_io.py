@@ -128,3 +128,35 @@ def test_screening_matches_before_append(spark, tmp_path):
     hits = spark.read.parquet(str(tmp_path / "hits")).collect()
     assert [(h.doc_id, h.matched_paper, h.distance) for h in hits] == [(2, 1, 1)]
     assert spark.read.parquet(str(tmp_path / "index")).count() == 3
+
+
+def test_state_expires_and_late_rows_are_left(spark, tmp_path):
+    folder = tmp_path / "late"
+    schema = "key string, ts timestamp, request_id long, body_hash string"
+    parts = [[("k", 0, 1, "x")], [("other", 7200, 2, "x")], [("k", 7300, 3, "x")], [("k", 5, 4, "x")]]
+    for key in parts:
+        rows = [(k, START + dt.timedelta(seconds=s), i, b) for k, s, i, b in key]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        events = spark.readStream.schema(schema).parquet(str(folder))
+        query = (
+            limits.idempotent_ingest(events, 60).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        )
+        query.awaitTermination(90)
+        states = [p["numRowsTotal"] for p in query.lastProgress["stateOperators"]]
+    out = {r.request_id: r.outcome for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out == {1: "new", 2: "new", 3: "new"} and states[0] <= 2
+
+
+def test_failed_steps_are_recorded(spark, tmp_path):
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    runs, found = str(tmp_path / "runs"), str(tmp_path / "found")
+
+    def broken(inputs):
+        raise ValueError("no such column")
+
+    sinks.run_pending(spark, "d", {"docs": docs}, broken, found, runs)
+    rows = spark.read.schema(sinks.RUNS).parquet(runs).collect()
+    assert [(r.ok, r.n_findings) for r in rows] == [(False, 0)] * 2 and "no such column" in rows[0].error
+    work = docs.selectExpr("doc_id", "'d' AS detector")
+    assert sinks.pending(work, spark.read.schema(sinks.RUNS).parquet(runs)).count() == 2

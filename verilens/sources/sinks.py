@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of an error message kept in the table of runs.
+ERROR_CHARS = 2000
 RUNS = "doc_id string, detector string, ok boolean, error string, duration_ms long, n_findings long"
 
 
@@ -42,6 +45,7 @@ def run_pending(
 ) -> None:
     """Run one operator on the documents that still need it and record the outcome.
 
+    A failure is recorded with its message and leaves the documents pending.
     ``inputs['docs']`` lists the documents; every input carries ``doc_id``.
     """
     docs = inputs["docs"].select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(detector).alias("detector"))
@@ -56,15 +60,22 @@ def run_pending(
         name: df.join(todo.withColumnRenamed("doc_id", "_d"), df["doc_id"].cast("string") == F.col("_d"), "left_semi")
         for name, df in inputs.items()
     }
-    found = operator(chosen)
-    write_findings(found, findings_path)
-    written = spark.read.parquet(findings_path).filter(F.col("detector") == detector)
-    counts = written.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_findings"))
-    todo.join(counts, "doc_id", "left").select(
+    started, error = time.monotonic(), None
+    try:
+        write_findings(operator(chosen), findings_path)
+    except Exception as failed:  # a failed step is an outcome too, and is tried again next time
+        error = f"{type(failed).__name__}: {failed}"[:ERROR_CHARS]
+    spent = int(1000 * (time.monotonic() - started))
+    rows = todo.withColumn("n_findings", F.lit(0).cast("long"))
+    if error is None:
+        written = spark.read.parquet(findings_path).filter(F.col("detector") == detector)
+        counts = written.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+        rows = rows.join(counts, "doc_id", "left").withColumn("n_findings", F.coalesce("_n", F.lit(0)))
+    rows.select(
         "doc_id",
         F.lit(detector).alias("detector"),
-        F.lit(True).alias("ok"),
-        F.lit(None).cast("string").alias("error"),
-        F.lit(0).cast("long").alias("duration_ms"),
-        F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        F.lit(error is None).alias("ok"),
+        F.lit(error).cast("string").alias("error"),
+        F.lit(spent).cast("long").alias("duration_ms"),
+        "n_findings",
     ).write.mode("append").parquet(runs_path)

@@ -1,7 +1,9 @@
 """Keyed limits and idempotent ingest.
 
 State is per key and small: the allowed hits of the last minute, a token count,
-or one recorded body.  Hits of one key in a batch are handled in event time.
+or one recorded body.  Hits of one key in a batch are handled in event time.  State
+goes once the watermark has passed the time from which it has no effect; rows later
+than the watermark are not decided.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DECISIONS = "key string, ts timestamp, request_id long, allowed boolean, remaining double"
 WINDOW = 60.0
+DELAY = "10 minutes"
 
 
 def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -25,13 +28,21 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts", "request_id"])
 
 
-def sliding_window(events: DataFrame, limit: int, window: float = WINDOW) -> DataFrame:
+def _until(state: GroupState, seconds: float) -> None:
+    """Keep the state until the watermark passes the given event time."""
+    state.setTimeoutTimestamp(int(max(seconds * 1000, state.getCurrentWatermarkMs() + 1)))
+
+
+def sliding_window(events: DataFrame, limit: int, window: float = WINDOW, delay: str = DELAY) -> DataFrame:
     """Allowed while fewer than ``limit`` allowed hits lie in the last window.
 
     Denied hits do not count.  ``events(key, ts, request_id)``.
     """
 
     def check(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = []
         for row in _ordered(batches).itertuples():
@@ -42,17 +53,21 @@ def sliding_window(events: DataFrame, limit: int, window: float = WINDOW) -> Dat
                 kept.append(now)
             rows.append((key[0], row.ts, row.request_id, allowed, float(limit - len(kept))))
         state.update((kept,))
+        _until(state, max(kept, default=0.0) + window)
         yield pd.DataFrame(rows, columns=["key", "ts", "request_id", "allowed", "remaining"])
 
-    return events.groupBy("key").applyInPandasWithState(
-        check, DECISIONS, "hits array<double>", "append", GroupStateTimeout.NoTimeout
+    return events.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+        check, DECISIONS, "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def token_bucket(events: DataFrame, capacity: int, window: float = WINDOW) -> DataFrame:
+def token_bucket(events: DataFrame, capacity: int, window: float = WINDOW, delay: str = DELAY) -> DataFrame:
     """One token per hit, ``capacity`` tokens refilled evenly over a window (R2)."""
 
     def check(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (float(capacity), None)
         rows = []
         for row in _ordered(batches).itertuples():
@@ -65,23 +80,27 @@ def token_bucket(events: DataFrame, capacity: int, window: float = WINDOW) -> Da
                 tokens -= 1
             rows.append((key[0], row.ts, row.request_id, allowed, tokens))
         state.update((tokens, last))
+        _until(state, last + window)  # by then the bucket is full again
         yield pd.DataFrame(rows, columns=["key", "ts", "request_id", "allowed", "remaining"])
 
-    return events.groupBy("key").applyInPandasWithState(
-        check, DECISIONS, "tokens double, last double", "append", GroupStateTimeout.NoTimeout
+    return events.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+        check, DECISIONS, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 INGEST = "key string, ts timestamp, request_id long, outcome string"
 
 
-def idempotent_ingest(events: DataFrame, ttl: float) -> DataFrame:
+def idempotent_ingest(events: DataFrame, ttl: float, delay: str = DELAY) -> DataFrame:
     """new, duplicate (same body) or conflict (other body) within the time to live.
 
     ``events(key, ts, request_id, body_hash)``.
     """
 
     def record(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         known, since = state.get if state.exists else (None, None)
         rows = []
         for row in _ordered(batches).itertuples():
@@ -92,10 +111,11 @@ def idempotent_ingest(events: DataFrame, ttl: float) -> DataFrame:
                 outcome = "duplicate" if row.body_hash == known else "conflict"
             rows.append((key[0], row.ts, row.request_id, outcome))
         state.update((known, since))
+        _until(state, since + ttl)
         yield pd.DataFrame(rows, columns=["key", "ts", "request_id", "outcome"])
 
-    return events.groupBy("key").applyInPandasWithState(
-        record, INGEST, "body string, since double", "append", GroupStateTimeout.NoTimeout
+    return events.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+        record, INGEST, "body string, since double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
