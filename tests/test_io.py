@@ -160,3 +160,11 @@ def test_failed_steps_are_recorded(spark, tmp_path):
     assert [(r.ok, r.n_findings) for r in rows] == [(False, 0)] * 2 and "no such column" in rows[0].error
     work = docs.selectExpr("doc_id", "'d' AS detector")
     assert sinks.pending(work, spark.read.schema(sinks.RUNS).parquet(runs)).count() == 2
+
+
+def test_wide_and_quoted_rows(spark, tmp_path):
+    wide = [f"v{i}" for i in range(700)]
+    (tmp_path / "w.csv").write_text(",".join(f"h{i}" for i in range(700)) + "\n" + ",".join(wide) + '\n\n"a, b",,"say ""x"""\n')
+    cells = readers.read_delimited(spark, [str(tmp_path / "w.csv")]).orderBy("row_idx", "col_idx").collect()
+    assert [(c.header, c.text) for c in cells[:700]] == [(f"h{i}", v) for i, v in enumerate(wide)]
+    assert [(c.header, c.text) for c in cells[700:]] == [("h0", "a, b"), ("h2", 'say "x"')]

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import csv
+import sys
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import FINDINGS, short_id
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+csv.field_size_limit(sys.maxsize)
+
 DELIMITERS = (",", ";", "\t", "|")
 DATA_EXTENSIONS = ("csv", "tsv", "json", "jsonl", "parquet")
 
@@ -39,24 +46,30 @@ def infer_delimiters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiter: str = ",", max_columns: int = 256) -> DataFrame:
-    """All-string cells of delimited files; blank rows dropped, ragged rows kept.
+def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: DataFrame | str = ",") -> DataFrame:
+    """All-string cells of delimited files of any width; blank rows dropped, ragged rows kept.
 
-    Rows are read by the CSV source with a positional schema.  The first row of
-    a file gives the headers; ``row_idx`` orders rows inside a file.
+    ``delimiters`` is one for all files or a table (path, delimiter).  The first row
+    of a file gives the headers; ``row_idx`` orders rows inside a file: the start of
+    the line's block plus its place in the block, so it does not depend on how files
+    are dealt out to tasks.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    rows = (
-        spark.read.schema(schema)
-        .option("sep", delimiter)
-        .option("header", "false")
-        .option("mode", "PERMISSIVE")
-        .csv(paths)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.monotonically_increasing_id().alias("row_idx"),
-            F.array(*[f"c{i}" for i in range(max_columns)]).alias("values"),
-        )
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("_id"),
+        "value",
+    )
+    blocks = lines.groupBy("path", "block").agg(F.min("_id").alias("_first"))
+    placed = lines.join(blocks, ["path", "block"])
+    if isinstance(delimiters, str):
+        placed = placed.withColumn("delimiter", F.lit(delimiters))
+    else:
+        placed = placed.join(delimiters, "path")
+    rows = placed.select(
+        "path",
+        (F.col("block") + F.col("_id") - F.col("_first")).alias("row_idx"),
+        _fields("value", "delimiter").alias("values"),
     )
     filled = rows.filter(F.exists("values", lambda v: F.coalesce(F.trim(v), F.lit("")) != ""))
     heads = filled.groupBy("path").agg(F.min("row_idx").alias("head_row"), F.min_by("values", "row_idx").alias("headers"))
@@ -76,18 +89,19 @@ def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiter: str =
     )
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fields(lines: pd.Series, delimiters: pd.Series) -> pd.Series:
+    """Fields of single lines, quotes respected; empty fields are null."""
+    out = []
+    for line, delimiter in zip(lines, delimiters, strict=True):
+        fields = next(csv.reader([line], delimiter=delimiter), [])
+        out.append([f if f else None for f in fields])
+    return pd.Series(out, dtype=object)
+
+
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Files grouped by their delimiter, one read per delimiter (S1 with S2)."""
-    plan = infer_delimiters(spark, paths)
-    out = None
-    for delimiter in DELIMITERS:
-        files = [r.path for r in plan.filter(F.col("delimiter") == delimiter).toLocalIterator()]
-        if files:
-            part = read_csv_cells(spark, files, delimiter)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError(str(paths))
-    return out
+    """Cells of all files, each read with its own delimiter (S1 with S2)."""
+    return read_csv_cells(spark, paths, infer_delimiters(spark, paths))
 
 
 def read_json_tables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
