@@ -94,6 +94,32 @@ SELECT conv_id,
 FROM turns GROUP BY conv_id
 """
 
+#: Links from all common shingles, components by following them.
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), n AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM d
+), x AS (
+  SELECT doc_id, unnest(s) AS g FROM n
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * common >= 75 * (len(a.s) + len(b.s) - common)
+), e AS (
+  SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id
+)
+SELECT n.doc_id, len(n.s)::BIGINT AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept
+FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.s
+"""
+
 SQL: dict[str, str] = {
+    "op4_near_duplicates": NEAR_SQL,
     "op5_chat_formatting": CHAT_SQL,
 }
