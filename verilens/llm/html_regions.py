@@ -207,15 +207,20 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(html) for html in rows["html"]]
             yield pd.DataFrame(
                 {
-                    "page_id": rows["page_id"].astype("Int64"),
+                    "page_id": rows["page_id"],
                     "url": rows["url"],
                     "text": texts,
                     "n_chars": [len(t) for t in texts],
                 }
             )
 
-    return pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).mapInPandas(read, "page_id long, url string, text string, n_chars long")
+    # ids as text: pandas has no exact long column with nulls
+    return (
+        pages.select(
+            F.col("page_id").cast("long").cast("string").alias("page_id"),
+            F.col("url").cast("string").alias("url"),
+            F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+        )
+        .mapInPandas(read, "page_id string, url string, text string, n_chars long")
+        .withColumn("page_id", F.col("page_id").cast("long"))
+    )

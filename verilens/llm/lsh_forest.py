@@ -8,10 +8,15 @@ nodes share a value all of them are neighbours at depth 1; in dense regions the
 sorted neighbours are those with the longest common prefix, so one order of a large
 group of copies never gives more than ``NEIGHBOURS`` pairs a node.
 
+Where more nodes share a value than are neighbours, a second pass looks at ``WIDE``
+neighbours, but only at those of other groups, so what a dense region leaves over
+is compared with much more of it.
+
 Candidates whose sketches and set sizes allow the threshold are confirmed on full
-sets, in two rounds: each node with its best candidate first, then all candidates
-whose ends are not yet in one group.  Groups are connected components of confirmed
-links.
+sets: in a few rounds the best candidate of each group that leads out of it, then all
+that still lead from one group to another.  What joins rows of one group is never
+asked, so a large group of copies costs about one question a copy.  Groups are
+connected components of confirmed links.
 
 Scale: texts are read twice and never grouped; orders are range sorts, whose ranges
 also split equal labels, so a value that a third of all nodes share spans many
@@ -44,10 +49,13 @@ SIMILAR = 75
 HASHES = 128
 TREES = 32
 DEPTH = 8
-NEIGHBOURS = 6
-SKETCH = 64
+NEIGHBOURS = 3
+#: Neighbours in dense regions, once groups are known.
+WIDE = 64
 #: Estimated similarity from which a candidate is confirmed: four standard errors below the threshold.
-CONFIRM_FROM = 0.52
+CONFIRM_FROM = 0.6
+#: Rounds in which only the best candidates are confirmed, before all that still join two groups.
+BEST_ROUNDS = 3
 SEED = 41
 CACHED_WORDS = 1_000_000
 SALTS = 64
@@ -98,7 +106,8 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of id and text), n_shingles, node (16-byte digest of the set, null if empty), signature."""
+    """doc_id, row (a hash of id and text), n_shingles, node (16-byte digest of the set, null if empty), signature
+    and sketch (its values' low bytes)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -106,16 +115,18 @@ def features(docs: DataFrame) -> DataFrame:
             for text in rows["text"]:
                 found = shingles(text)
                 if len(found):
-                    out.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found).tobytes()))
+                    values = signature(found)
+                    sketch = (values & 255).astype(np.uint8).tobytes()
+                    out.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), values.tobytes(), sketch))
                 else:
-                    out.append((0, None, None))
-            made = pd.DataFrame(out, columns=["n_shingles", "node", "signature"])
+                    out.append((0, None, None, None))
+            made = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "sketch"])
             made.insert(0, "doc_id", rows["doc_id"].astype("Int64").array)
             made.insert(1, "row", rows["row"].array)
             yield made
 
     texts = _texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    return texts.mapInPandas(make, "doc_id long, row long, n_shingles long, node binary, signature binary")
+    return texts.mapInPandas(make, "doc_id long, row long, n_shingles long, node binary, signature binary, sketch binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -124,11 +135,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of neighbours in the orders of the forest, for ``nodes(node, signature)``."""
+def placed(nodes: DataFrame, *columns: str) -> DataFrame:
+    """A row per node and tree with the node's label; its first 4 bytes are the first value."""
     label = lambda tree: F.concat(*[F.substring("signature", int(4 * c) + 1, 4) for c in LABELS[tree]])
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), label(t).alias("label")) for t in range(TREES)]))
-    placed = nodes.select("node", trees.alias("t")).select("t.tree", "t.label", "node")
+    return nodes.select("node", *columns, trees.alias("t")).select("t.tree", "t.label", "node", *columns)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of neighbours in the orders of the forest, for ``nodes(node, signature)``."""
     order = ["tree", "label", "node"]
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,19 +163,19 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"a": np.where(swap, y, x), "b": np.where(swap, x, y)})
             held = rows.tail(NEIGHBOURS).reset_index(drop=True)
 
-    sorted_ = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = placed(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
     return sorted_.mapInPandas(neighbours, "a binary, b binary").distinct()
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose set sizes and sketches allow the threshold, with their estimated similarity."""
-    sketch = nodes.select("node", F.col("n_shingles").alias("n"), F.expr(f"substring(signature, 1, {4 * SKETCH})").alias("s"))
+    sketch = nodes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=float)
-        values = [np.frombuffer(b"".join(s), np.uint32).reshape(len(s), SKETCH) for s in (x, y)]
+        values = [np.frombuffer(b"".join(s), np.uint8).reshape(len(s), HASHES) for s in (x, y)]
         return pd.Series((values[0] == values[1]).mean(axis=1))
 
     side = lambda c: sketch.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("s").alias("s_" + c))
@@ -173,6 +188,47 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def wide_candidates(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Plausible pairs (a, b, n_a, n_b, alike) of different groups that are near in dense regions."""
+    first = F.substring("label", 1, 4).alias("first")
+    dense = placed(nodes).groupBy("tree", first).count().filter(F.col("count") > NEIGHBOURS + 1)
+    dense = write_table(dense.select("tree", "first"), "near-dense")
+    rows = placed(nodes, "n_shingles", "sketch").withColumn("first", F.substring("label", 1, 4))
+    rows = rows.join(dense, ["tree", "first"]).join(known, "node", "left")
+    rows = rows.withColumn("component", F.xxhash64(F.coalesce("component", "node")))
+    order = ["tree", "label", "node"]
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in batches:
+            new = len(rows)
+            rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+            old = len(rows) - new
+            tree, node, group = (rows[c].to_numpy() for c in ("tree", "node", "component"))
+            n = rows["n_shingles"].to_numpy()
+            first = np.frombuffer(b"".join(rows["first"]), ">u4")
+            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, HASHES)
+            for step in range(1, min(WIDE, len(rows) - 1) + 1):
+                left = np.arange(max(0, old - step), len(rows) - step)
+                right = left + step
+                near = (tree[left] == tree[right]) & (first[left] == first[right]) & (group[left] != group[right])
+                near &= 100 * np.minimum(n[left], n[right]) >= SIMILAR * np.maximum(n[left], n[right])
+                left, right = left[near], right[near]
+                alike = (sketch[left] == sketch[right]).mean(axis=1)
+                keep = alike >= CONFIRM_FROM
+                left, right, alike = left[keep], right[keep], alike[keep]
+                swap = np.array([node[x] > node[y] for x, y in zip(left, right, strict=True)], bool)
+                a, b = np.where(swap, right, left), np.where(swap, left, right)
+                yield pd.DataFrame({"a": node[a], "b": node[b], "n_a": n[a], "n_b": n[b], "alike": alike})
+            held = rows.tail(WIDE).reset_index(drop=True)
+
+    sorted_ = rows.select(*order, "first", "n_shingles", "sketch", "component").repartitionByRange(*order)
+    found = sorted_.sortWithinPartitions(*order).mapInPandas(
+        neighbours, "a binary, b binary, n_a long, n_b long, alike double"
+    )
+    return found.dropDuplicates(["a", "b"])
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes in ``wanted(node, doc_id)``, read from their documents."""
 
@@ -193,7 +249,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that reach the threshold on full sets."""
+    """The pairs that reach the threshold on full sets, as links (u, v) between their groups."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias("set_" + c))
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (
@@ -201,39 +257,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .join(side("b"), "b")
         .withColumn("both", both)
         .filter(100 * F.col("both") >= SIMILAR * (F.col("n_a") + F.col("n_b") - F.col("both")))
-        .select(F.col("a").alias("u"), F.col("b").alias("v"))
+        .select(F.col("c_a").alias("u"), F.col("c_b").alias("v"))
     )
 
 
+def joined_groups(asked: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """``known(node, component)`` after confirming the asked pairs, which carry their groups c_a and c_b."""
+    links = write_table(confirmed(asked, sets), "near-links")
+    joined = connected_components(links.select(F.col("u").alias("node")).union(links.select("v")), links)
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    known = known.join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return write_table(known, "near-known")
+
+
+def between_groups(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias("c_" + c))
+    plain = pairs.select("a", "b", "n_a", "n_b", "alike")
+    return write_table(plain.join(side("a"), "a").join(side("b"), "b").filter("c_a <> c_b"), "near-open")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def groups_of(docs: DataFrame, made: DataFrame) -> DataFrame:
     """(node, component) of the nodes that have confirmed links."""
-    nodes = write_table(
-        made.filter("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
-        "near-nodes",
+    columns = ("n_shingles", "signature", "sketch")
+    nodes = made.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in columns]
     )
+    nodes = write_table(nodes, "near-nodes")
+    named = nodes.select("node", "doc_id")
     pairs = write_table(plausible(candidates(nodes), nodes), "near-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = write_table(full_sets(docs, nodes.select("node", "doc_id").join(ends, "node")), "near-sets")
-    best = lambda c, o: pairs.groupBy(c).agg(F.max_by(F.struct("a", "b", "n_a", "n_b"), F.struct("alike", o)).alias("p"))
-    first = best("a", "b").select("p.*").union(best("b", "a").select("p.*")).distinct()
-    links = write_table(confirmed(first, sets), "near-links")
-    known = connected_components(links.select(F.col("u").alias("node")).union(links.select("v")), links)
-    known = write_table(known, "near-known")
-    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias("c_" + c))
-    rest = (
-        pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
-        .join(side("a"), "a", "left")
-        .join(side("b"), "b", "left")
-        .filter("c_a is null or c_b is null or c_a <> c_b")
-        .select("a", "b", "n_a", "n_b")
-    )
-    more = write_table(confirmed(rest, sets), "near-more")
-    # groups of the first round are single nodes of the second
-    joined = known.select(F.col("node").alias("u"), F.col("component").alias("v")).filter("u <> v").union(more)
-    joined = write_table(joined, "near-all")
-    return connected_components(joined.select(F.col("u").alias("node")).union(joined.select("v")), joined)
+    ends = write_table(ends_of(pairs), "near-ends")
+    sets = write_table(full_sets(docs, named.join(ends, "node")), "near-sets")
+    known = write_table(ends.select("node", F.col("node").alias("component")), "near-known")
+    for number in range(BEST_ROUNDS + 1):
+        asked = pairs = between_groups(pairs, known)
+        if number < BEST_ROUNDS:
+            row = F.struct(*pairs.columns)
+            best = lambda c, p=pairs, r=row: p.groupBy(c).agg(F.max_by(r, F.struct("alike", "a", "b")).alias("p"))
+            asked = write_table(best("c_a").select("p.*").union(best("c_b").select("p.*")).distinct(), "near-asked")
+            pairs = pairs.join(asked.select("a", "b"), ["a", "b"], "left_anti")
+        known = joined_groups(asked, known, sets)
+    # what dense regions have left over
+    more = write_table(wide_candidates(nodes, known), "near-wide")
+    new = write_table(ends_of(more).join(ends, "node", "left_anti"), "near-new-ends")
+    known = known.unionByName(new.select("node", F.col("node").alias("component")))
+    sets = sets.unionByName(write_table(full_sets(docs, named.join(new, "node")), "near-new-sets"))
+    return joined_groups(between_groups(more, known), known, sets)
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ ROUNDS = 100
 #: documents: they keep the classes' meaning, "a good text gets hardly a bad vote".
 EXPECTED = ((0.08, 0.019, 0.001), (0.008, 0.006, 0.006))
 FIGURES = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string"
+    "doc_id string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string"
 )
 RULES = ("length", "word length", "symbols", "lines", "repeats", "capitals", "bare marks", "mark runs", "variety")
 
@@ -103,13 +103,18 @@ def figures(docs: DataFrame) -> DataFrame:
                 [figures_of(t) for t in rows["text"]],
                 columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"],
             )
-            made.insert(0, "doc_id", rows["doc_id"].astype("Int64").array)
+            made.insert(0, "doc_id", rows["doc_id"].array)
             yield made
 
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).mapInPandas(judge, FIGURES)
+    # ids as text: pandas has no exact long column with nulls
+    return (
+        docs.select(
+            F.col("doc_id").cast("long").cast("string").alias("doc_id"),
+            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        )
+        .mapInPandas(judge, FIGURES)
+        .withColumn("doc_id", F.col("doc_id").cast("long"))
+    )
 
 
 def fit(patterns: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:

@@ -152,16 +152,18 @@ def format_trees(messages: DataFrame, keep: int = 1, trained: str = TRAINED) ->
             made = [format_turns([(t["role"], t["text"]) for t in turns], trained) for turns in rows["turns"]]
             yield pd.DataFrame(
                 {
-                    "tree": rows["tree"].astype("Int64"),
+                    "tree": rows["tree"],
                     "rank": rows["rank"],
                     "formatted": [text for text, _ in made],
                     "loss_spans": [spans for _, spans in made],
                 }
             )
 
-    return turns.select("tree", "rank", "turns").mapInPandas(
-        write, "tree long, rank int, formatted string, loss_spans array<array<long>>"
+    # ids as text: pandas has no exact long column with nulls
+    formatted = turns.select(F.col("tree").cast("string").alias("tree"), "rank", "turns").mapInPandas(
+        write, "tree string, rank int, formatted string, loss_spans array<array<long>>"
     )
+    return formatted.withColumn("tree", F.col("tree").cast("long"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -186,10 +188,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
             made = pd.DataFrame(
                 out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             )
-            made.insert(0, "conv_id", rows["tree"].astype("Int64").array)
+            made.insert(0, "conv_id", rows["tree"].array)
             yield made
 
-    return formatted.mapInPandas(
+    named = formatted.withColumn("tree", F.col("tree").cast("string"))
+    digests = named.select("tree", "formatted", "loss_spans").mapInPandas(
         read,
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+        "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     )
+    return digests.withColumn("conv_id", F.col("conv_id").cast("long"))

@@ -337,7 +337,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select("core", (F.col("x") != F.col("y")).alias("varied"))
     )
-    repeated = write_table(found.join(cores, "core"), "repeat-found")
+    # a table of its own, so that the join's hot cores can be split
+    repeated = write_table(found.join(write_table(cores, "repeat-cores"), "core"), "repeat-found")
     contexts = write_table(
         repeated.groupBy("core", "context").agg(
             F.count(F.lit(1)).alias("number"),
