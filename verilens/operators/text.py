@@ -264,30 +264,21 @@ def phrase_report(matches: DataFrame) -> DataFrame:
 
 
 def phrase_density(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Distinct phrases in the first 4000 characters as plain substrings.
+    """Distinct phrases of at least four characters in a text, as plain substrings.
 
-    The 4000-character head is the rule itself.  A phrase of n characters can
-    only start where its first tokens do, so candidates come from its first
-    four characters.
+    A text's distinct four-character starts propose phrases; ids and phrases travel,
+    the text itself is met once by its few candidates.
     """
-    head = F.lower(F.substring("text", 1, 4000))
-    starts = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("head") - 3, F.lit(1))),
-        lambda i: F.substring(F.col("head"), i, F.lit(4)),
-    )
-    keyed = docs.select("doc_id", head.alias("head")).select(
-        "doc_id", "head", F.explode(F.array_distinct(starts)).alias("k")
-    )
+    lowered = F.lower("text")
+    starts = docs.select("doc_id", F.explode(F.array_distinct(find_all(lowered, r"(?s)(?=(.{4}))", 1))).alias("k"))
     words = phrases.select(F.lower("phrase").alias("phrase")).filter(F.length("phrase") >= 4)
     words = words.withColumn("k", F.substring("phrase", 1, 4)).distinct()
-    found = keyed.join(words, "k").filter(F.col("head").contains(F.col("phrase")))
-    counts = found.groupBy("doc_id").agg(F.count_distinct("phrase").alias("found"))
-    distinct = F.least("found", F.lit(5))
-    return counts.select(
-        "doc_id",
-        distinct.alias("distinct_phrases"),
-        F.when(distinct >= 3, "high").when(distinct >= 2, "medium").alias("severity"),
-    )
+    proposed = starts.join(words, "k").groupBy("doc_id").agg(F.collect_set("phrase").alias("proposed"))
+    there = F.filter("proposed", lambda p: F.contains(F.lower("text"), p))
+    found = docs.select("doc_id", "text").join(proposed, "doc_id").select("doc_id", F.explode(there).alias("phrase"))
+    counts = found.groupBy("doc_id").agg(F.count_distinct("phrase").alias("distinct_phrases"))
+    n = F.col("distinct_phrases")
+    return counts.withColumn("severity", F.when(n >= 3, "high").when(n >= 2, "medium"))
 
 
 def build_dictionary(rows: DataFrame, blocklist: list[str]) -> DataFrame:
@@ -585,15 +576,23 @@ def authorship(docs: DataFrame) -> DataFrame:
     return counted.withColumn("ratio", F.round(ratio, 6)).withColumn("severity", severity)
 
 
+# The reviewer block, what is no name in it, and what a name looks like.
+REVIEWER_BLOCK = r"(?is)(reviewed by.*?)(?:correspondence|specialty section|received |citation|\z)"
+NOT_A_REVIEWER = (
+    r"(?i)university|institute|laboratory|college|department|reviewed by|china|united kingdom|usa|reviewer"
+)
+REVIEWER = r"^[A-Z][A-Za-zÀ-ɏ'\-]+(?:\s+[A-Z][A-Za-zÀ-ɏ'\-]+){0,3}$"
+
+
 def thin_review(docs: DataFrame) -> DataFrame:
     """Retracted papers naming one to three reviewers."""
-    after = F.regexp_extract("text", r"(?is)reviewed by[:\s]*(.{0,400})", 1)
+    block = F.regexp_extract("text", REVIEWER_BLOCK, 1)
+    lines = F.transform(F.split(block, r"[\n,]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     names = F.filter(
-        F.split(after, r"[,;\n]| and "),
-        lambda x: F.trim(x).rlike(r"^[A-Z][A-Za-z.'\-]+(?: [A-Z][A-Za-z.'\-]+)+$"),
+        lines, lambda x: F.length(x).between(5, 60) & ~x.rlike(NOT_A_REVIEWER) & x.rlike(REVIEWER)
     )
     return (
-        docs.filter(F.col("text").rlike(r"(?i)\bretracted\b"))
+        docs.filter(F.col("text").rlike(r"(?i)retracted"))
         .select("doc_id", F.size(names).alias("reviewers"))
         .filter("reviewers BETWEEN 1 AND 3")
     )

@@ -110,8 +110,8 @@ def t5(spark, sf_dir):
     with_sql(
         X.PAPERS_SQL, X.PHRASES_SQL,
         "p AS (SELECT DISTINCT phrase FROM dict)",
-        "h AS (SELECT doc_id, count(*) AS n FROM papers, p WHERE contains(left(lower(text), 4000), phrase) GROUP BY ALL)",
-        select="SELECT doc_id, least(n, 5) AS distinct_phrases, CASE WHEN n >= 3 THEN 'high' WHEN n = 2 THEN 'medium' END AS severity FROM h",
+        "h AS (SELECT doc_id, count(*) AS n FROM papers, p WHERE contains(lower(text), phrase) GROUP BY ALL)",
+        select="SELECT doc_id, n AS distinct_phrases, CASE WHEN n >= 3 THEN 'high' WHEN n = 2 THEN 'medium' END AS severity FROM h",
     ),
 )
 def t11(spark, sf_dir):
@@ -227,7 +227,10 @@ def t9(spark, sf_dir):
     "t14_thin_review",
     with_sql(
         X.PAPERS_SQL,
-        select="SELECT doc_id, 2 AS reviewers FROM papers WHERE doc_id % 7 = 5",
+        f"b AS (SELECT doc_id, regexp_extract(text, {quoted(S.REVIEWER_BLOCK)}, 1) AS block FROM papers WHERE regexp_matches(text, '(?i)retracted'))",
+        "n AS (SELECT doc_id, list_filter(list_transform(string_split_regex(block, '[\\n,]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), "
+        f"lambda x: length(x) BETWEEN 5 AND 60 AND NOT regexp_matches(x, {quoted(S.NOT_A_REVIEWER)}) AND regexp_matches(x, {quoted(S.REVIEWER)})) AS names FROM b)",
+        select="SELECT doc_id, len(names)::INT AS reviewers FROM n WHERE len(names) BETWEEN 1 AND 3",
     ),
 )
 def t14(spark, sf_dir):
