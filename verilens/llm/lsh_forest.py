@@ -13,7 +13,7 @@ neighbours, but only at those of other groups, so what a dense region leaves ove
 is compared with much more of it.
 
 Candidates whose sketches and set sizes allow the threshold are confirmed on full
-sets: in a few rounds the best candidate of each group that leads out of it, then all
+sets: first the best candidate of each group that leads out of it, then all
 that still lead from one group to another.  What joins rows of one group is never
 asked, so a large group of copies costs about one question a copy.  Groups are
 connected components of confirmed links.
@@ -49,13 +49,13 @@ SIMILAR = 75
 HASHES = 128
 TREES = 32
 DEPTH = 8
-NEIGHBOURS = 3
+NEIGHBOURS = 2
 #: Neighbours in dense regions, once groups are known.
-WIDE = 64
+WIDE = 32
 #: Estimated similarity from which a candidate is confirmed: four standard errors below the threshold.
 CONFIRM_FROM = 0.6
-#: Rounds in which only the best candidates are confirmed, before all that still join two groups.
-BEST_ROUNDS = 3
+#: Rounds in which only the best candidates are confirmed, before all that still lead between groups.
+BEST_ROUNDS = 1
 SEED = 41
 CACHED_WORDS = 1_000_000
 SALTS = 64
