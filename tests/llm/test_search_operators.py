@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from verilens.llm import collision_search, lsh_forest, suffix_merge
@@ -130,6 +131,30 @@ def test_groups_match_brute_force(spark):
     assert len(found) == len(texts)
 
 
+def test_links_in_dense_regions(spark):
+    """Pairs above the threshold among thousands of documents of one template that are just below it."""
+    rnd = random.Random(8)
+    words = lambda n: [f"{rnd.getrandbits(40):x}" for _ in range(n)]
+    template, texts = words(400), []
+    for _ in range(1500):
+        shared = words(22)
+        texts += [" ".join(template + shared + words(60)) for _ in range(2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    similar = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    assert all(similar(i, j) == (i // 2 == j // 2) for i in range(60) for j in range(i))
+    found = lsh_forest.near_duplicates(docs_of(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_second_pass_finds_all(spark, monkeypatch):
+    """Nothing is missed where the forest gives no candidate at all and shingles are dealt out in blocks."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 1)
+    monkeypatch.setattr(lsh_forest, "SAMPLED", 2)
+    none = lambda nodes: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    monkeypatch.setattr(lsh_forest, "candidates", none)
+    test_groups_match_brute_force(spark)
+
+
 def test_one_per_group(spark):
     text = phrase(random.Random(3), 60)
     rows = [(5, text), (5, text), (3, text + " end"), (None, text), (7, None), (7, None), (8, "a b c"), (None, "d e f")]

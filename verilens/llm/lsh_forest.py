@@ -8,20 +8,23 @@ nodes share a value all of them are neighbours at depth 1; in dense regions the
 sorted neighbours are those with the longest common prefix, so one order of a large
 group of copies never gives more than ``NEIGHBOURS`` pairs a node.
 
-Where more nodes share a value than are neighbours, a second pass looks at ``WIDE``
-neighbours, but only at those of other groups, so what a dense region leaves over
-is compared with much more of it.
-
-Candidates whose sketches and set sizes allow the threshold are confirmed on full
-sets: first the best candidate of each group that leads out of it, then all
-that still lead from one group to another.  What joins rows of one group is never
-asked, so a large group of copies costs about one question a copy.  Groups are
-connected components of confirmed links.
-
-Scale: texts are read twice and never grouped; orders are range sorts, whose ranges
+What the forest leaves over is found by an exact second pass, a prefix filter on full
+sets.  All sets are ordered alike, rarest shingles first, as far as a sample tells
+(any order is exact, the sample only saves work): two sets that reach the threshold
+share a shingle at the start of both, where what follows it can still hold enough
+of both.  Only nodes of different groups are paired; a frequent shingle is dealt out
+in blocks.
+
+Candidates of the forest whose sketches and set sizes allow the threshold, and all of
+the second pass, are confirmed on full sets: first the best candidate of each group
+that leads out of it, then all that still lead from one group to another.  What joins
+rows of one group is never asked, so a large group of copies costs about one question
+a copy.  Groups are connected components of confirmed links.
+
+Scale: texts are read twice (a sample once more) and never grouped; orders are range sorts, whose ranges
 also split equal labels, so a value that a third of all nodes share spans many
-tasks (a pair cut by a border meets in other trees).  Exact copies meet in a
-map-side combined aggregate.
+tasks (a pair cut by a border meets in other trees or in the second pass).  Exact
+copies meet in a map-side combined aggregate.
 
 Cases: null, empty and wordless texts have an empty set and stay alone; repeated
 rows share their group; a null id has a group but never is its representative,
@@ -49,14 +52,19 @@ SIMILAR = 75
 HASHES = 128
 TREES = 32
 DEPTH = 8
+#: Decides, with BEST_ROUNDS, how much is left to the exact second pass, not what is found.
 NEIGHBOURS = 2
-#: Neighbours in dense regions, once groups are known.
-WIDE = 32
 #: Estimated similarity from which a candidate is confirmed: four standard errors below the threshold.
 CONFIRM_FROM = 0.6
 #: Rounds in which only the best candidates are confirmed, before all that still lead between groups.
 BEST_ROUNDS = 1
 SEED = 41
+#: One of so many documents is counted for the order of shingles, in 2**BIN_BITS bins.
+SAMPLED = 16
+BIN_BITS = 20
+#: Members of a shingle from which it is dealt out in blocks, and of a batch of found pairs.
+BLOCK = 4096
+FOUND = 200_000
 CACHED_WORDS = 1_000_000
 SALTS = 64
 
@@ -105,9 +113,45 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(">u4")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of id and text), n_shingles, node (16-byte digest of the set, null if empty), signature
-    and sketch (its values' low bytes)."""
+def bins(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame) -> np.ndarray:
+    """How often the shingles of each bin occur in a sample of the documents."""
+    width = 1 << (BIN_BITS - 6)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(1 << BIN_BITS, np.int32)
+        for rows in batches:
+            for text in rows["text"]:
+                np.add.at(out, bins(shingles(text)), 1)
+        parts = out.reshape(-1, width)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pd.DataFrame({"part": used, "counts": [parts[k].tobytes() for k in used]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.int32).astype(np.int64) for c in rows["counts"])
+        total = np.minimum(total, np.iinfo(np.int32).max).astype(np.int32)
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "counts": [total.tobytes()]})
+
+    sample = _texts(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLED)) == 0).select("text")
+    kind = "part long, counts binary"
+    out = np.zeros(1 << BIN_BITS, np.int32).reshape(-1, width)
+    for row in sample.mapInPandas(count, kind).groupBy("part").applyInPandas(add, kind).collect():
+        out[row.part] = np.frombuffer(row.counts, np.int32)
+    return out.ravel()
+
+
+def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The start of the ordered set: sets that reach the threshold share one of these."""
+    size = len(found) - -(-SIMILAR * len(found) // 100) + 1
+    return found[np.lexsort((found, counts[bins(found)]))[:size]]
+
+
+def features(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """doc_id, row (a hash of id and text), n_shingles, node (16-byte digest of the set, null if empty), signature,
+    sketch (its values' low bytes) and prefix (the start of the ordered set)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -117,16 +161,20 @@ def features(docs: DataFrame) -> DataFrame:
                 if len(found):
                     values = signature(found)
                     sketch = (values & 255).astype(np.uint8).tobytes()
-                    out.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), values.tobytes(), sketch))
+                    node = xxhash.xxh3_128_digest(found.tobytes())
+                    start = prefix(found, counts)
+                    out.append((len(found), node, values.tobytes(), sketch, start.view(np.int64)))
                 else:
-                    out.append((0, None, None, None))
-            made = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "sketch"])
+                    out.append((0, None, None, None, None))
+            made = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "sketch", "prefix"])
             made.insert(0, "doc_id", rows["doc_id"].astype("Int64").array)
             made.insert(1, "row", rows["row"].array)
             yield made
 
     texts = _texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    return texts.mapInPandas(make, "doc_id long, row long, n_shingles long, node binary, signature binary, sketch binary")
+    return texts.mapInPandas(
+        make, "doc_id long, row long, n_shingles long, node binary, signature binary, sketch binary, prefix array<long>"
+    )
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -167,8 +215,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return sorted_.mapInPandas(neighbours, "a binary, b binary").distinct()
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose set sizes and sketches allow the threshold, with their estimated similarity."""
+def plausible(pairs: DataFrame, nodes: DataFrame, least: float = CONFIRM_FROM) -> DataFrame:
+    """Pairs whose set sizes and sketches allow the threshold, with their estimated similarity, from ``least`` on."""
     sketch = nodes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
 
     @F.pandas_udf("double")
@@ -184,49 +232,101 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         .join(side("b"), "b")
         .filter(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
         .select("a", "b", "n_a", "n_b", alike("s_a", "s_b").alias("alike"))
-        .filter(F.col("alike") >= CONFIRM_FROM)
+        .filter(F.col("alike") >= least)
     )
 
 
-def wide_candidates(nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b, n_a, n_b, alike) of different groups that are near in dense regions."""
-    first = F.substring("label", 1, 4).alias("first")
-    dense = placed(nodes).groupBy("tree", first).count().filter(F.col("count") > NEIGHBOURS + 1)
-    dense = write_table(dense.select("tree", "first"), "near-dense")
-    rows = placed(nodes, "n_shingles", "sketch").withColumn("first", F.substring("label", 1, 4))
-    rows = rows.join(dense, ["tree", "first"]).join(known, "node", "left")
-    rows = rows.withColumn("component", F.xxhash64(F.coalesce("component", "node")))
-    order = ["tree", "label", "node"]
+def prefix_candidates(made: DataFrame, nodes: DataFrame, known: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that share a shingle of their prefixes and can reach the threshold.
 
-    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    All pairs of different groups that reach it are among them.
+    """
+    usual = np.median(counts)
+    hands = 1 + (SAMPLED * np.maximum(counts - usual - 8 * np.sqrt(usual), 0) // BLOCK).astype(np.int64)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sizes = np.array([len(p) for p in rows["prefix"]], np.int64)
+            shingle = np.concatenate(rows["prefix"].to_numpy()) if len(rows) else np.zeros(0, np.int64)
+            own = np.repeat(np.arange(len(rows)), sizes)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = rows["n_shingles"].to_numpy()[own]
+            node, group = rows["id"].to_numpy()[own], rows["group"].to_numpy()[own]
+            # a frequent shingle's members are dealt to k hands; each pair of hands is a block
+            k = hands[bins(shingle.view(np.uint64))]
+            hand = (node >> 7) % k
+            other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            row, hand = np.repeat(np.arange(len(k)), k), np.repeat(hand, k)
+            block = np.minimum(hand, other) * np.repeat(k, k) + np.maximum(hand, other)
+            place = (n << 32 | at)[row]
+            yield pd.DataFrame(
+                {"shingle": shingle[row], "block": block, "group": group[row], "id": node[row], "place": place}
+            )
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, found, waiting = None, [], 0
         for rows in batches:
-            new = len(rows)
             rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-            old = len(rows) - new
-            tree, node, group = (rows[c].to_numpy() for c in ("tree", "node", "component"))
-            n = rows["n_shingles"].to_numpy()
-            first = np.frombuffer(b"".join(rows["first"]), ">u4")
-            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, HASHES)
-            for step in range(1, min(WIDE, len(rows) - 1) + 1):
-                left = np.arange(max(0, old - step), len(rows) - step)
-                right = left + step
-                near = (tree[left] == tree[right]) & (first[left] == first[right]) & (group[left] != group[right])
-                near &= 100 * np.minimum(n[left], n[right]) >= SIMILAR * np.maximum(n[left], n[right])
-                left, right = left[near], right[near]
-                alike = (sketch[left] == sketch[right]).mean(axis=1)
-                keep = alike >= CONFIRM_FROM
-                left, right, alike = left[keep], right[keep], alike[keep]
-                swap = np.array([node[x] > node[y] for x, y in zip(left, right, strict=True)], bool)
-                a, b = np.where(swap, right, left), np.where(swap, left, right)
-                yield pd.DataFrame({"a": node[a], "b": node[b], "n_a": n[a], "n_b": n[b], "alike": alike})
-            held = rows.tail(WIDE).reset_index(drop=True)
-
-    sorted_ = rows.select(*order, "first", "n_shingles", "sketch", "component").repartitionByRange(*order)
-    found = sorted_.sortWithinPartitions(*order).mapInPandas(
-        neighbours, "a binary, b binary, n_a long, n_b long, alike double"
-    )
-    return found.dropDuplicates(["a", "b"])
+            new = starts(rows, ["shingle", "block"])
+            # the last run may go on in the next batch
+            last = np.flatnonzero(new)[-1] if len(rows) else 0
+            held = rows.iloc[last:].reset_index(drop=True)
+            for pairs in runs(rows.iloc[:last]):
+                found.append(pairs)
+                waiting += len(pairs)
+                if waiting > FOUND:
+                    yield once(found)
+                    found, waiting = [], 0
+        if held is not None:
+            found.extend(runs(held))
+        if found:
+            yield once(found)
+
+    def starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+        new = np.ones(len(rows), bool)
+        if len(rows):
+            new[1:] = np.any([rows[c].to_numpy()[1:] != rows[c].to_numpy()[:-1] for c in keys], axis=0)
+        return new
+
+    def reach(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the run of each row starts and ends."""
+        first, number = np.flatnonzero(new), np.cumsum(new) - 1
+        return first[number], np.append(first[1:], len(new))[number]
+
+    def runs(rows: pd.DataFrame) -> Iterator[np.ndarray]:
+        if not len(rows):
+            return
+        first, end = reach(starts(rows, ["shingle", "block"]))
+        own, after = reach(starts(rows, ["shingle", "block", "group"]))
+        node, place = rows["id"].to_numpy(), rows["place"].to_numpy()
+        n, at = place >> 32, place & 0xFFFFFFFF
+        # the smaller set of a pair; in a run that is late in all sets there is none
+        left = np.flatnonzero((100 + SIMILAR) * (n - at) >= 2 * SIMILAR * n)
+        right = first[left]
+        while True:
+            right = np.where(right == own[left], after[left], right)
+            more = right < end[left]
+            left, right = left[more], right[more]
+            if not len(left):
+                return
+            both = np.minimum(n[left] - at[left], n[right] - at[right])
+            near = (n[left] <= n[right]) & ((100 + SIMILAR) * both >= SIMILAR * (n[left] + n[right]))
+            x, y = node[left[near]], node[right[near]]
+            yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+            right = right + 1
+
+    def once(found: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame(np.concatenate(found), columns=["x", "y"]).drop_duplicates()
+
+    group = F.xxhash64(F.coalesce("component", "node")).alias("group")
+    named = nodes.select("node", "id", "row").join(known, "node", "left").select("node", "row", "id", group)
+    firsts = made.filter("node is not null").select("node", "row", "n_shingles", "prefix")
+    firsts = firsts.join(named, ["node", "row"]).dropDuplicates(["node", "row"])
+    order = ["shingle", "block", "group"]
+    dealt = firsts.select("id", "group", "n_shingles", "prefix").mapInPandas(deal, "shingle long, block long, group long, id long, place long")
+    pairs = dealt.repartition("shingle", "block").sortWithinPartitions(*order).mapInPandas(meet, "x long, y long")
+    name = lambda c, x: nodes.select(F.col("node").alias(c), F.col("id").alias(x))
+    return pairs.distinct().join(name("a", "x"), "x").join(name("b", "y"), "y").select("a", "b")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -280,38 +380,45 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
-def groups_of(docs: DataFrame, made: DataFrame) -> DataFrame:
+def confirmed_groups(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """``known`` after confirming the pairs: the best of each group first, then what still leads between groups."""
+    for number in range(BEST_ROUNDS + 1):
+        asked = pairs = between_groups(pairs, known)
+        if number < BEST_ROUNDS:
+            row = F.struct(*pairs.columns)
+            best = lambda c, p=pairs, r=row: p.groupBy(c).agg(F.max_by(r, F.struct("alike", "a", "b")).alias("p"))
+            asked = write_table(best("c_a").select("p.*").union(best("c_b").select("p.*")).distinct(), "near-asked")
+            pairs = pairs.join(asked.select("a", "b"), ["a", "b"], "left_anti")
+        known = joined_groups(asked, known, sets)
+    return known
+
+
+def groups_of(docs: DataFrame, made: DataFrame, counts: np.ndarray) -> DataFrame:
     """(node, component) of the nodes that have confirmed links."""
     columns = ("n_shingles", "signature", "sketch")
     nodes = made.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in columns]
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in columns]
     )
-    nodes = write_table(nodes, "near-nodes")
+    nodes = write_table(nodes.withColumn("id", F.xxhash64("node")), "near-nodes")
     named = nodes.select("node", "doc_id")
     pairs = write_table(plausible(candidates(nodes), nodes), "near-pairs")
     ends = write_table(ends_of(pairs), "near-ends")
     sets = write_table(full_sets(docs, named.join(ends, "node")), "near-sets")
     known = write_table(ends.select("node", F.col("node").alias("component")), "near-known")
-    for number in range(BEST_ROUNDS + 1):
-        asked = pairs = between_groups(pairs, known)
-        if number < BEST_ROUNDS:
-            row = F.struct(*pairs.columns)
-            best = lambda c, p=pairs, r=row: p.groupBy(c).agg(F.max_by(r, F.struct("alike", "a", "b")).alias("p"))
-            asked = write_table(best("c_a").select("p.*").union(best("c_b").select("p.*")).distinct(), "near-asked")
-            pairs = pairs.join(asked.select("a", "b"), ["a", "b"], "left_anti")
-        known = joined_groups(asked, known, sets)
-    # what dense regions have left over
-    more = write_table(wide_candidates(nodes, known), "near-wide")
+    known = confirmed_groups(pairs, known, sets)
+    # what the forest has left over; the estimate only tells which to ask first
+    more = write_table(plausible(prefix_candidates(made, nodes, known, counts), nodes, 0.0), "near-more")
     new = write_table(ends_of(more).join(ends, "node", "left_anti"), "near-new-ends")
     known = known.unionByName(new.select("node", F.col("node").alias("component")))
     sets = sets.unionByName(write_table(full_sets(docs, named.join(new, "node")), "near-new-sets"))
-    return joined_groups(between_groups(more, known), known, sets)
+    return confirmed_groups(more, known, sets)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_shingles, component (null for an empty set) and component_id of every document."""
-    made = write_table(features(docs), "near-features")
-    groups = groups_of(docs, made)
+    counts = shingle_counts(docs)
+    made = write_table(features(docs, counts), "near-features")
+    groups = groups_of(docs, made, counts)
     rows = made.select("doc_id", "row", "n_shingles", "node")
     members = rows.filter("node is not null").withColumn("_chunk", F.pmod(F.col("row"), F.lit(SALTS)))
     ids = made.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
