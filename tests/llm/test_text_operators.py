@@ -203,6 +203,21 @@ def test_html_main_text(container):
     assert html_regions.main_text(page) == "\n".join(["Title", " ".join(a.split()), " ".join(b.split()) + " more"])
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p><span class="share">Share</span> Body text</p>', "Body text"),
+        ("<p><button>Play</button>Body <b>text</b></p>", "Body text"),
+        ('<article><p>Body <span class="ad">buy</span> text</p></article>', "Body text"),
+        ('<div class="has-sidebar"><article><p>Body text</p></article><aside>x</aside></div>', "Body text"),
+        ('<div class="no-footer"><p>Body text, most of it</p></div><div class="share">Share</div>', "Body text, most of it"),
+        ('<div class="sidebar"><p>links</p></div><p>Body text</p>', "Body text"),
+    ],
+)
+def test_html_drops_pieces_only(page, text):
+    assert html_regions.main_text(page) == text
+
+
 def test_html_cases(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, 5), (2, None, "", 5), (None, "u", "plain text", 5), (4, "u", "<p>a <b>b", 5)],

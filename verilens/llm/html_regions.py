@@ -11,7 +11,9 @@ which is taken as a whole if one of its lines reaches the threshold (or if no
 container does); on pages without containers, lines above the threshold and those
 that are not mostly links.  Menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments, known by element, role, class or id, never are
-content and count as ratio 0.
+content and count as ratio 0.  That holds for each piece of a line, so an inline
+button leaves the rest of its paragraph; a class or id drops no element that holds an
+``article``, ``main`` or most of the page's text.
 
 Scale: one pass, no shuffle; a page is held by one task only while it is read.
 
@@ -24,6 +26,7 @@ gives no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -68,12 +71,13 @@ ENDED_BY = {
 
 
 class Line:
-    __slots__ = ("parts", "tags", "linked", "container", "dropped")
+    """A block's text in pieces: text, dropped, class marks around it, linked, container."""
 
-    def __init__(self, container: int, dropped: bool):
-        self.parts: list[str] = []
-        self.tags = self.linked = 0
-        self.container, self.dropped = container, dropped
+    __slots__ = ("pieces", "tags")
+
+    def __init__(self) -> None:
+        self.pieces: list[tuple[str, bool, tuple[int, ...], bool, int]] = []
+        self.tags = 0
 
 
 class Lines(HTMLParser):
@@ -82,13 +86,16 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, dropped, hidden, container
-        self.containers = 0
+        # tag, dropped, hidden, container, class marks
+        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []
+        self.containers = self.marks = 0
+        #: Class marks that hold an article or main.
+        self.holders: set[int] = set()
         self.line: Line | None = None
         self.pending = 0
 
-    def state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
+        return self.open[-1][1:] if self.open else (False, False, 0, ())
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.pending += 1
@@ -99,22 +106,27 @@ class Lines(HTMLParser):
             self.handle_data(" ")
         if tag in VOID:
             return
-        dropped, hidden, container = self.state()
+        dropped, hidden, container, marks = self.state()
         hidden = hidden or tag in HIDDEN
-        dropped = dropped or self.marked(tag, dict(attrs), container)
-        if tag in CONTAINERS and not dropped and not container:
+        dropped = dropped or self.boilerplate(tag, dict(attrs), container)
+        if self.named(tag, dict(attrs)):
+            self.marks += 1
+            marks = (*marks, self.marks)
+        if tag in CONTAINERS and not dropped and not hidden and not container:
             self.containers += 1
             container = self.containers
-        self.open.append((tag, dropped, hidden, container))
+            self.holders.update(marks)
+        self.open.append((tag, dropped, hidden, container, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
-    def marked(self, tag: str, attrs: dict[str, str | None], container: int) -> bool:
+    def boilerplate(self, tag: str, attrs: dict[str, str | None], container: int) -> bool:
         if tag in BOILERPLATE or tag == "header" and not container:
             return True
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES:
-            return True
+        return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in ROLES
+
+    def named(self, tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in ("html", "body", "main", "article"):
             return False
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
@@ -142,19 +154,30 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        dropped, hidden, container = self.state()
+        dropped, hidden, container, marks = self.state()
         if hidden:
             return
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line(container, dropped)
+            self.line = Line()
             self.lines.append(self.line)
-        self.line.parts.append(data)
+        self.line.pieces.append((data, dropped, marks, any(tag == "a" for tag, *_ in self.open), container))
         self.line.tags += self.pending
-        self.line.linked += len(data) * any(tag == "a" for tag, *_ in self.open)
         self.pending = 0
 
+    def boilerplate_marks(self) -> set[int]:
+        """Class marks but those that hold an article, main or most of the page's text."""
+        held: Counter[int] = Counter()
+        total = 0
+        for line in self.lines:
+            for text, dropped, marks, _, _ in line.pieces:
+                if not dropped:
+                    size = len("".join(text.split()))
+                    total += size
+                    held.update(dict.fromkeys(marks, size))
+        return {m for m in range(1, self.marks + 1) if m not in self.holders and 2 * held[m] <= total}
+
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, int(3 * sigma))
@@ -182,21 +205,26 @@ def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    texts = [" ".join("".join(line.parts).split()) for line in parser.lines]
-    rows = [(line, text) for line, text in zip(parser.lines, texts, strict=True) if text]
-    if not any(not line.dropped for line, _ in rows):
+    off = parser.boilerplate_marks()
+    rows = []  # text, tags, linked characters, container; without what is dropped
+    for line in parser.lines:
+        kept = [p for p in line.pieces if not p[1] and off.isdisjoint(p[2])]
+        text = " ".join("".join(p[0] for p in kept).split())
+        linked = sum(len(p[0]) for p in kept if p[3])
+        rows.append((text, line.tags, linked, next((p[4] for p in kept if p[0].strip()), 0)))
+    if not any(text for text, *_ in rows):
         return ""
-    ratios = np.array([0.0 if line.dropped else len(text) / max(1, line.tags) for line, text in rows])
+    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in rows])
     smooth = smoothed(ratios)
     border = threshold(smooth)
     high = (smooth >= border) & (ratios > 0)
-    inside = {line.container for line, _ in rows if line.container and not line.dropped}
+    inside = {container for text, _, _, container in rows if container and text}
     if inside:
-        reached = {line.container for (line, _), up in zip(rows, high, strict=True) if up} & inside
+        reached = {row[3] for row, up in zip(rows, high, strict=True) if up} & inside
         chosen = reached or inside
-        return "\n".join(text for line, text in rows if line.container in chosen and not line.dropped)
-    keep = high | np.array([not line.dropped and 2 * line.linked <= len(text) for line, text in rows])
-    return "\n".join(text for (_, text), kept in zip(rows, keep, strict=True) if kept)
+        return "\n".join(text for text, _, _, container in rows if container in chosen and text)
+    keep = high | np.array([2 * linked <= len(text) for text, _, linked, _ in rows])
+    return "\n".join(text for (text, *_), kept in zip(rows, keep, strict=True) if kept and text)
 
 
 def extract(pages: DataFrame) -> DataFrame:
