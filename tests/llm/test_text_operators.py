@@ -218,6 +218,18 @@ def test_html_drops_pieces_only(page, text):
     assert html_regions.main_text(page) == text
 
 
+def test_html_ratio_decides_without_container():
+    long = " ".join(["some words of a story"] * 20)
+    page = (
+        '<div class="x1"><a href=a>Home</a> of the site</div><div class="x2"><p>Buy now</p></div>'
+        f'<div class="x3"><h1>Title</h1><p>{long}</p><p>{long}</p><p>short one</p><p>{long}</p></div>'
+        '<div class="x4"><p>We use small files</p></div><div class="x5"><p>(c) The firm</p></div>'
+    )
+    assert html_regions.main_text(page) == "\n".join(["Title", long, long, "short one", long])
+    alike = "".join(f"<div><p>{long[: 90 + 5 * k]}</p></div>" for k in range(5))
+    assert html_regions.main_text(alike).count("\n") == 4
+
+
 def test_html_cases(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, 5), (2, None, "", 5), (None, "u", "plain text", 5), (4, "u", "<p>a <b>b", 5)],

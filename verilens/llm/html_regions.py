@@ -8,8 +8,11 @@ the threshold between content and boilerplate.
 
 Content regions: lines inside ``article`` or ``main`` belong to their container,
 which is taken as a whole if one of its lines reaches the threshold (or if no
-container does); on pages without containers, lines above the threshold and those
-that are not mostly links.  Menus, headers, footers, sidebars, notices,
+container does).  On pages without containers, the lines of a ``div``, ``section``,
+``td`` or the page itself are one region; ratios are smoothed and clustered as
+logarithms, and it is content if its mean, weighted by characters, reaches the
+threshold; its lines that are mostly links go.  Where the clusters lie less than ``APART`` times
+apart all lines are alike, and all regions are content.  Menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments, known by element, role, class or id, never are
 content and count as ratio 0.  That holds for each piece of a line, so an inline
 button leaves the rest of its paragraph; a class or id drops no element that holds an
@@ -56,7 +59,11 @@ MARKS = frozenset(
     " widgets".split()
 )
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements whose own lines are judged together on pages without containers.
+REGIONS = frozenset(("div", "section", "td"))
 SIGMA = 1.0
+#: How many times the ratio of boilerplate that of content is at least.
+APART = 2.0
 #: An open element of the key's kind ends where one of the values' kinds starts.
 ENDED_BY = {
     "p": BLOCKS,
@@ -73,11 +80,11 @@ ENDED_BY = {
 class Line:
     """A block's text in pieces: text, dropped, class marks around it, linked, container."""
 
-    __slots__ = ("pieces", "tags")
+    __slots__ = ("pieces", "region", "tags")
 
-    def __init__(self) -> None:
+    def __init__(self, region: int) -> None:
         self.pieces: list[tuple[str, bool, tuple[int, ...], bool, int]] = []
-        self.tags = 0
+        self.region, self.tags = region, 0
 
 
 class Lines(HTMLParser):
@@ -86,16 +93,16 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        # tag, dropped, hidden, container, class marks
-        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []
-        self.containers = self.marks = 0
+        # tag, dropped, hidden, container, class marks, region
+        self.open: list[tuple[str, bool, bool, int, tuple[int, ...], int]] = []
+        self.containers = self.marks = self.regions = 0
         #: Class marks that hold an article or main.
         self.holders: set[int] = set()
         self.line: Line | None = None
         self.pending = 0
 
-    def state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
-        return self.open[-1][1:] if self.open else (False, False, 0, ())
+    def state(self) -> tuple[bool, bool, int, tuple[int, ...], int]:
+        return self.open[-1][1:] if self.open else (False, False, 0, (), 0)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.pending += 1
@@ -106,7 +113,10 @@ class Lines(HTMLParser):
             self.handle_data(" ")
         if tag in VOID:
             return
-        dropped, hidden, container, marks = self.state()
+        dropped, hidden, container, marks, region = self.state()
+        if tag in REGIONS:
+            self.regions += 1
+            region = self.regions
         hidden = hidden or tag in HIDDEN
         dropped = dropped or self.boilerplate(tag, dict(attrs), container)
         if self.named(tag, dict(attrs)):
@@ -116,7 +126,7 @@ class Lines(HTMLParser):
             self.containers += 1
             container = self.containers
             self.holders.update(marks)
-        self.open.append((tag, dropped, hidden, container, marks))
+        self.open.append((tag, dropped, hidden, container, marks, region))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -154,13 +164,13 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        dropped, hidden, container, marks = self.state()
+        dropped, hidden, container, marks, region = self.state()
         if hidden:
             return
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line()
+            self.line = Line(region)
             self.lines.append(self.line)
         self.line.pieces.append((data, dropped, marks, any(tag == "a" for tag, *_ in self.open), container))
         self.line.tags += self.pending
@@ -201,6 +211,17 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def content_regions(regions: np.ndarray, smooth: np.ndarray, sizes: np.ndarray) -> set[int]:
+    """Regions whose mean of ``smooth``, weighted by ``sizes``, reaches the border between the lines' two clusters."""
+    logs = smooth[sizes > 0]
+    border = threshold(logs)
+    above = logs >= border
+    if above.all() or logs[above].mean() - logs[~above].mean() < np.log(APART):
+        return set(regions.tolist())
+    weight, total = np.bincount(regions, sizes), np.bincount(regions, sizes * smooth)
+    return set(np.flatnonzero((weight > 0) & (total >= border * weight)).tolist())
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
@@ -223,8 +244,12 @@ def main_text(html: str) -> str:
         reached = {row[3] for row, up in zip(rows, high, strict=True) if up} & inside
         chosen = reached or inside
         return "\n".join(text for text, _, _, container in rows if container in chosen and text)
-    keep = high | np.array([2 * linked <= len(text) for text, _, linked, _ in rows])
-    return "\n".join(text for (text, *_), kept in zip(rows, keep, strict=True) if kept and text)
+    regions = np.array([line.region for line in parser.lines])
+    sizes = np.array([len(text) if 2 * linked <= len(text) else 0 for text, _, linked, _ in rows])
+    if not sizes.any():
+        return ""
+    content = content_regions(regions, smoothed(np.log1p(ratios)), sizes)
+    return "\n".join(row[0] for row, at, size in zip(rows, regions, sizes, strict=True) if size and at in content)
 
 
 def extract(pages: DataFrame) -> DataFrame:
