@@ -12,6 +12,7 @@ from .html_regions import extract
 from .lsh_forest import near_duplicates
 from .mixing import mix
 from .packing import pack
+from .periodic_runs import collapsed, periodic_tail, run_digests
 from .prefix_counts import prefix_counts
 from .quality_rules import quality
 from .reply_trees import format_trees, linear_replies, read_back
@@ -70,6 +71,10 @@ def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(collapsed(table(spark, sf_dir, "documents"), periodic_tail))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mix": op10_source_mix,
     "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 CHAT_SQL = r"""
