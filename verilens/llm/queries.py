@@ -14,6 +14,7 @@ from .mixing import mix
 from .packing import pack
 from .periodic_runs import collapsed, periodic_tail, run_digests
 from .prefix_counts import prefix_counts
+from .prefix_trie import grafted, sequences, trie
 from .quality_rules import quality
 from .reply_trees import format_trees, linear_replies, read_back
 from .shared import table
@@ -75,6 +76,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(collapsed(table(spark, sf_dir, "documents"), periodic_tail))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(grafted(sequences(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
     "op11_bpe_round_trip": op11_bpe_round_trip,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 CHAT_SQL = r"""
@@ -131,7 +137,50 @@ SELECT n.doc_id, len(n.s)::BIGINT AS n_shingles, min(r.c) AS component_id, n.doc
 FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.s
 """
 
+#: Every prefix of every rebuilt conversation, grouped; subtrees by the prefixes of each node's smallest member.
+TRIE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, 4294967295 - list_reduce(
+    [4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda s: list_transform(range(8), lambda j: (ascii(s)::BIGINT >> j) & 1))),
+    lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN 3988292384 ELSE 0 END)) AS crc
+  FROM (SELECT DISTINCT conv_id FROM t)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS side, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.crc % 6
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.crc % 6
+), prefix AS (
+  SELECT conv_id, row_number() OVER o AS depth, length(text) AS chars,
+    sha256(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER o) AS k
+  FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY side, pos)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), linked AS (
+  SELECT *, lag(k) OVER o AS parent, lead(k) OVER o IS NULL AS ends FROM prefix
+  WINDOW o AS (PARTITION BY conv_id ORDER BY depth)
+), node AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, any_value(parent) AS parent,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM linked GROUP BY depth, k
+), child AS (
+  SELECT depth - 1 AS depth, parent AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL
+), sized AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (depth, k)
+), subtree AS (
+  SELECT p.depth, p.k, count(*) FILTER (s.n_children = 0) AS n_leaves, sum((s.n_convs - 1) * s.chars) AS saved_tokens
+  FROM sized s JOIN prefix p ON p.conv_id = s.conv_id AND p.depth <= s.depth GROUP BY ALL
+)
+SELECT s.conv_id, s.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves,
+  saved_tokens::BIGINT AS saved_tokens, s.ends_sha256
+FROM sized s JOIN subtree USING (depth, k) LEFT JOIN node p ON p.depth = s.depth - 1 AND p.k = s.parent
+"""
+
 SQL: dict[str, str] = {
     "op4_near_duplicates": NEAR_SQL,
     "op5_chat_formatting": CHAT_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
