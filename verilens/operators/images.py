@@ -210,10 +210,6 @@ def match_support(edges: DataFrame, scope: list[str] = ("doc_id",)) -> DataFrame
     )
 
 
-def _pair_key(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "image_a", "image_b").distinct()
-
-
 def image_classes(images: DataFrame) -> DataFrame:
     """Images of a document with the same three hashes, by their first image: one class each."""
     return images.groupBy("doc_id", "phash", "ahash", "dhash").agg(
@@ -265,137 +261,6 @@ def secondary_matches(images: DataFrame, radius: int = SECONDARY, primary_radius
     )
 
 
-def geometric_matches(
-    variants: DataFrame, flagged: DataFrame, radius: int = GEOMETRIC
-) -> DataFrame:
-    """A flipped or rotated image equals another one as it is.
-
-    ``variants(doc_id, image_id, transform, hash)``; images with one hash under
-    one transform are represented by their first.
-    """
-    groups = variants.groupBy("doc_id", "transform", "hash").agg(
-        F.min("image_id").alias("image_id"), F.count(F.lit(1)).alias("copies")
-    )
-    turned = groups.filter("transform <> 'identity'")
-    plain = groups.filter("transform = 'identity'")
-    near = hash_pairs(
-        turned.select("doc_id", "hash").distinct(),
-        plain.select("doc_id", "hash").distinct(),
-        radius,
-        scope=["doc_id"],
-    )
-    left = turned.select(
-        "doc_id", "transform", F.col("hash").alias("hash_a"), F.col("image_id").alias("turned")
-    )
-    right = plain.select("doc_id", F.col("hash").alias("hash_b"), F.col("image_id").alias("plain"))
-    hits = (
-        near.join(left, ["doc_id", "hash_a"])
-        .join(right, ["doc_id", "hash_b"])
-        .filter("turned <> plain")
-        .select(
-            "doc_id",
-            F.least("turned", "plain").alias("image_a"),
-            F.greatest("turned", "plain").alias("image_b"),
-            "distance",
-            "transform",
-        )
-        .join(_pair_key(flagged), ["doc_id", "image_a", "image_b"], "left_anti")
-    )
-    return (
-        hits.groupBy("doc_id", "image_a", "image_b")
-        .agg(F.min(F.struct("distance", "transform")).alias("best"))
-        .select(
-            "doc_id",
-            "image_a",
-            "image_b",
-            F.col("best.distance").alias("distance"),
-            F.col("best.transform").alias("transform"),
-            F.when(F.col("best.distance") <= HIGH_BITS, "high").otherwise("medium").alias("severity"),
-        )
-    )
-
-
-def part_matches(
-    parts: DataFrame, flagged: DataFrame, radius: int, min_std: float, high_bits: int | None = None
-) -> DataFrame:
-    """Similar parts (cells or strips) of different images of a document.
-
-    ``parts(doc_id, image_id, part, hash, std)``; flat parts are ignored.
-    """
-    useful = parts.filter(F.col("std") >= min_std)
-    groups = useful.groupBy("doc_id", "hash").agg(
-        F.min(F.struct("image_id", "part")).alias("first"),
-        F.count_distinct("image_id").alias("images"),
-    )
-    near = hash_pairs(groups.select("doc_id", "hash"), None, radius, scope=["doc_id"])
-    one = groups.select("doc_id", F.col("hash").alias("hash_a"), F.col("first").alias("first_a"))
-    two = groups.select("doc_id", F.col("hash").alias("hash_b"), F.col("first").alias("first_b"))
-    pairs = (
-        near.join(one, ["doc_id", "hash_a"])
-        .join(two, ["doc_id", "hash_b"])
-        .filter("first_a.image_id <> first_b.image_id")
-        .select("doc_id", "first_a", "first_b", "distance")
-    )
-    members = useful.select(
-        "doc_id",
-        "hash",
-        F.struct("image_id", "part").alias("first_b"),
-        F.pmod(F.xxhash64("image_id"), F.lit(64)).alias("_chunk"),
-    )
-    shared = groups.filter("images > 1").select("doc_id", "hash", F.col("first").alias("first_a"))
-    copies = (
-        attach_group_values(members, shared, ["doc_id", "hash"])
-        .filter("first_a.image_id <> first_b.image_id")
-        .select("doc_id", "first_a", "first_b", F.lit(0).alias("distance"))
-    )
-    swap = F.col("first_a.image_id") > F.col("first_b.image_id")
-    hits = pairs.unionByName(copies).select(
-        "doc_id",
-        F.least("first_a.image_id", "first_b.image_id").alias("image_a"),
-        F.greatest("first_a.image_id", "first_b.image_id").alias("image_b"),
-        "distance",
-        F.when(swap, F.col("first_b.part")).otherwise(F.col("first_a.part")).alias("part_a"),
-        F.when(swap, F.col("first_a.part")).otherwise(F.col("first_b.part")).alias("part_b"),
-    )
-    severity = (
-        F.lit("medium")
-        if high_bits is None
-        else F.when(F.col("best.distance") <= high_bits, "high").otherwise("medium")
-    )
-    return (
-        hits.join(_pair_key(flagged), ["doc_id", "image_a", "image_b"], "left_anti")
-        .groupBy("doc_id", "image_a", "image_b")
-        .agg(F.min(F.struct("distance", "part_a", "part_b")).alias("best"))
-        .select("doc_id", "image_a", "image_b", "best.*", severity.alias("severity"))
-    )
-
-
-def duplicate_passes(
-    images: DataFrame, variants: DataFrame, cells: DataFrame, strips: DataFrame
-) -> DataFrame:
-    """Primary, secondary, geometric, region and strip pass, each on what is left (G1)."""
-    primary = match_support(similar_images(images))
-    second = cut_lineage(secondary_matches(images))
-    whole = cut_lineage(_pair_key(primary).unionByName(_pair_key(second)))
-    turned = cut_lineage(geometric_matches(variants, whole))
-    whole = whole.unionByName(_pair_key(turned))
-    region = part_matches(cells, whole, REGION, REGION_MIN_STD)
-    strip = part_matches(strips, whole, STRIP, STRIP_MIN_STD, STRIP_HIGH_BITS)
-    out = None
-    for name, df in (
-        ("primary", primary),
-        ("secondary", second),
-        ("geometric", turned),
-        ("region", region),
-        ("loading_control", strip),
-    ):
-        part = df.select(
-            "doc_id", F.lit(name).alias("pass"), "image_a", "image_b", "distance", "severity"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def algorithm_matches(hashes: DataFrame, radius: int = PRIMARY) -> DataFrame:
     """Pair scan per hash algorithm (J10): ``hashes(doc_id, algo, image_id, phash)``."""
     edges = similar_images(hashes, radius, scope=["doc_id", "algo"])
@@ -405,77 +270,6 @@ def algorithm_matches(hashes: DataFrame, radius: int = PRIMARY) -> DataFrame:
     )
 
 
-def page_unit_matches(units: DataFrame, threshold: int = PRIMARY) -> DataFrame:
-    """Best match of each page pair and algorithm among page units.
-
-    ``units(doc_id, algo, kind, page, hash)`` with kind region, tile or panel.
-    """
-    soft = max(threshold, 10)
-    groups = units.groupBy("doc_id", "algo", "hash", "page").agg(
-        F.max((F.col("kind") == "region").cast("int")).alias("region")
-    )
-    per_hash = groups.groupBy("doc_id", "algo", "hash").agg(
-        F.min("page").alias("page"), F.count(F.lit(1)).alias("pages"), F.max("region").alias("region")
-    )
-    near = hash_pairs(
-        per_hash.select("doc_id", "algo", "hash"), None, soft, scope=["doc_id", "algo"]
-    )
-    end = lambda s: per_hash.select(
-        "doc_id",
-        "algo",
-        F.col("hash").alias(f"hash_{s}"),
-        F.col("page").alias(f"page_{s}"),
-        F.col("region").alias(f"region_{s}"),
-    )
-    crossing = near.join(end("a"), ["doc_id", "algo", "hash_a"]).join(
-        end("b"), ["doc_id", "algo", "hash_b"]
-    )
-    first = per_hash.filter("pages > 1").select(
-        "doc_id", "algo", "hash", F.col("page").alias("page_a"), F.col("region").alias("region_a")
-    )
-    member = groups.withColumn("_chunk", F.pmod(F.xxhash64("page"), F.lit(64)))
-    copies = (
-        attach_group_values(member, first, ["doc_id", "algo", "hash"])
-        .filter("page <> page_a")
-        .select(
-            "doc_id",
-            "algo",
-            "page_a",
-            F.col("page").alias("page_b"),
-            "region_a",
-            F.col("region").alias("region_b"),
-            F.lit(0).alias("distance"),
-        )
-    )
-    hits = (
-        crossing.filter("page_a <> page_b")
-        .select("doc_id", "algo", "page_a", "page_b", "region_a", "region_b", "distance")
-        .unionByName(copies)
-    )
-    primary = (
-        (F.col("region_a") == 1)
-        & (F.col("region_b") == 1)
-        & (F.col("algo") == "phash")
-        & (F.col("distance") <= threshold)
-    )
-    keep = primary | (
-        F.when(F.col("algo") == "ahash", F.col("distance") <= 4).otherwise(F.col("distance") <= soft)
-    )
-    return (
-        hits.filter(keep)
-        .groupBy(
-            "doc_id",
-            "algo",
-            F.least("page_a", "page_b").alias("page_a"),
-            F.greatest("page_a", "page_b").alias("page_b"),
-        )
-        .agg(
-            F.min("distance").alias("distance"),
-            F.max(primary.cast("int")).alias("primary"),
-        )
-    )
-
-
 def cross_paper_matches(
     images: DataFrame, index: DataFrame, radius: int = 6, limit: int = 8
 ) -> DataFrame:

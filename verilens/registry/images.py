@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import image_graph as M
 from ..operators import images as G
 from . import corpus as X
 from .columns import rounded, with_sql
@@ -106,80 +107,130 @@ def j6(spark, sf_dir):
     return G.secondary_matches(X.images(spark, sf_dir))
 
 
-GEO = """vg AS (SELECT doc_id, transform, hash, min(image_id) AS image_id FROM variants GROUP BY ALL),
-geo AS (SELECT a.doc_id, least(a.image_id, b.image_id) AS image_a, greatest(a.image_id, b.image_id) AS image_b,
- min(bit_count(xor(a.hash, b.hash))) AS distance FROM vg a JOIN vg b ON a.doc_id = b.doc_id AND a.transform <> 'identity'
- AND b.transform = 'identity' AND a.image_id <> b.image_id AND bit_count(xor(a.hash, b.hash)) <= 10
- WHERE NOT EXISTS (SELECT 1 FROM prim p WHERE p.image_a = least(a.image_id, b.image_id) AND p.image_b = greatest(a.image_id, b.image_id))
- GROUP BY ALL)"""
+# Plain pairs of images with the distances of every pass; results are counted per pair of image classes.
+def plain_pairs_sql(source: str = "images", blots: str = "images") -> str:
+    return f"""ip AS (SELECT a.doc_id, a.image_id AS i, b.image_id AS j, coalesce(bit_count(xor(a.phash, b.phash)), 99) AS pd,
+ coalesce(least(bit_count(xor(a.ahash, b.ahash)), bit_count(xor(a.dhash, b.dhash))), 99) AS sd
+ FROM {source} a JOIN {source} b ON a.doc_id = b.doc_id AND a.image_id < b.image_id),
+gd AS (SELECT a.doc_id, least(a.image_id, b.image_id) AS i, greatest(a.image_id, b.image_id) AS j, min(bit_count(xor(a.hash, b.hash))) AS gd
+ FROM variants a JOIN variants b ON a.doc_id = b.doc_id AND a.image_id <> b.image_id AND a.transform <> 'identity' AND b.transform = 'identity' GROUP BY ALL),
+rd AS (SELECT a.doc_id, a.image_id AS i, b.image_id AS j, min(bit_count(xor(a.hash, b.hash))) AS rd FROM parts a JOIN parts b
+ ON a.doc_id = b.doc_id AND a.image_id < b.image_id AND a.std >= 18.0 AND b.std >= 18.0 GROUP BY ALL),
+lp AS (SELECT p.* FROM parts p JOIN {blots} b ON p.image_id = b.image_id AND p.doc_id = b.doc_id WHERE p.std >= 12.0),
+ld AS (SELECT a.doc_id, a.image_id AS i, b.image_id AS j, min(bit_count(xor(a.hash, b.hash))) AS ld FROM lp a JOIN lp b
+ ON a.doc_id = b.doc_id AND a.image_id < b.image_id GROUP BY ALL),
+dist AS (SELECT ip.*, coalesce(gd, 99) AS gd, coalesce(rd, 99) AS rd, coalesce(ld, 99) AS ld FROM ip LEFT JOIN gd USING (doc_id, i, j)
+ LEFT JOIN rd USING (doc_id, i, j) LEFT JOIN ld USING (doc_id, i, j))"""
+
+
+def classes_sql(source: str = "images", cells: bool = False, strips: bool = False) -> str:
+    """cl: the class of each image, its first image with the same hashes."""
+    facets = ["(SELECT list(DISTINCT (transform, hash) ORDER BY (transform, hash)) FROM variants v WHERE v.doc_id = m.doc_id AND v.image_id = m.image_id) AS vs"]
+    facets += ["(SELECT list(DISTINCT (part, hash) ORDER BY (part, hash)) FROM parts p WHERE p.doc_id = m.doc_id AND p.image_id = m.image_id AND p.std >= 18.0) AS cs"] * cells
+    facets += ["(SELECT list(DISTINCT (part, hash) ORDER BY (part, hash)) FROM lp p WHERE p.doc_id = m.doc_id AND p.image_id = m.image_id) AS ls"] * strips
+    names = ["phash", "ahash", "dhash", "vs"] + ["cs"] * cells + ["ls"] * strips
+    return f"""sg AS (SELECT m.doc_id, m.image_id, m.phash, m.ahash, m.dhash, {", ".join(facets)} FROM {source} m),
+cl AS (SELECT doc_id, image_id, min(image_id) OVER (PARTITION BY doc_id, {", ".join(names)}) AS c FROM sg)"""
+
+
+def by_class_sql(found: str, lead: str = "") -> str:
+    """Rows of ``found`` (doc_id, i, j, distance, severity) per pair of classes."""
+    return f"""SELECT f.doc_id, {lead}least(a.c, b.c) AS class_a, greatest(a.c, b.c) AS class_b, min(distance) AS distance, min(severity) AS severity,
+ count(*) AS pairs FROM ({found}) f JOIN cl a ON a.doc_id = f.doc_id AND a.image_id = i JOIN cl b ON b.doc_id = f.doc_id AND b.image_id = j GROUP BY ALL"""
+
+
+LEFT = "pd > 8 AND sd > 12"
+CLASS_COLUMNS = ("doc_id", "class_a", "class_b", "distance", "severity", "pairs")
 
 
 @add(
     "j7_geometric_matches",
     with_sql(
         X.IMAGES_SQL,
-        PRIMARY,
         X.VARIANTS_SQL,
-        GEO,
-        select="SELECT *, CASE WHEN distance <= 4 THEN 'high' ELSE 'medium' END AS severity FROM geo",
+        X.PARTS_SQL,
+        plain_pairs_sql(),
+        classes_sql(),
+        select=by_class_sql(
+            f"SELECT doc_id, i, j, gd AS distance, CASE WHEN gd <= 4 THEN 'high' ELSE 'medium' END AS severity FROM dist WHERE gd <= 10 AND {LEFT}"
+        ),
     ),
 )
 def j7(spark, sf_dir):
-    primary = G.similar_images(X.images(spark, sf_dir))
-    return G.geometric_matches(X.image_variants(spark, sf_dir), primary).drop("transform")
-
-
-def parts_sql(radius: int, std: float, high: str) -> str:
-    return f"""useful AS (SELECT * FROM parts WHERE std >= {std}),
-pg AS (SELECT doc_id, hash, min((image_id, part)) AS f FROM useful GROUP BY ALL),
-raw AS (SELECT a.doc_id, a.f[1] AS ia, b.f[1] AS ib, bit_count(xor(a.hash, b.hash)) AS distance FROM pg a JOIN pg b
- ON a.doc_id = b.doc_id AND a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= {radius}
- UNION ALL SELECT a.doc_id, a.f[1], b.image_id, 0 FROM pg a JOIN useful b ON a.doc_id = b.doc_id AND a.hash = b.hash),
-best AS (SELECT doc_id, least(ia, ib) AS image_a, greatest(ia, ib) AS image_b, min(distance) AS distance FROM raw r WHERE ia <> ib
- AND NOT EXISTS (SELECT 1 FROM prim p WHERE p.image_a = least(ia, ib) AND p.image_b = greatest(ia, ib)) GROUP BY ALL),
-fin AS (SELECT *, {high} AS severity FROM best)"""
+    found = M.classes(M.signatures(X.images(spark, sf_dir), X.image_variants(spark, sf_dir)))
+    return M.geometric_classes(found).select(*CLASS_COLUMNS)
 
 
 @add(
     "j8_region_matches",
     with_sql(
         X.IMAGES_SQL,
-        PRIMARY,
+        X.VARIANTS_SQL,
         X.PARTS_SQL,
-        parts_sql(2, 18.0, "'medium'"),
-        select="SELECT * FROM fin",
+        plain_pairs_sql(),
+        classes_sql(cells=True),
+        select=by_class_sql(
+            f"SELECT doc_id, i, j, rd AS distance, 'medium' AS severity FROM dist WHERE rd <= 2 AND gd > 10 AND {LEFT}"
+        ),
     ),
 )
 def j8(spark, sf_dir):
-    primary = G.similar_images(X.images(spark, sf_dir))
-    out = G.part_matches(X.image_parts(spark, sf_dir), primary, G.REGION, G.REGION_MIN_STD)
-    return out.drop("part_a", "part_b")
+    variants, parts = X.image_variants(spark, sf_dir), X.image_parts(spark, sf_dir)
+    found = M.classes(M.signatures(X.images(spark, sf_dir), variants, cells=parts))
+    return M.part_classes(found, "cells", G.REGION).select(*CLASS_COLUMNS)
 
 
 @add(
     "j9_loading_control_strips",
     with_sql(
         X.IMAGES_SQL,
-        PRIMARY,
+        X.VARIANTS_SQL,
         X.PARTS_SQL,
-        parts_sql(5, 12.0, "CASE WHEN distance <= 2 THEN 'high' ELSE 'medium' END"),
-        select="SELECT * FROM fin",
+        plain_pairs_sql(),
+        classes_sql(strips=True),
+        select=by_class_sql(
+            "SELECT doc_id, i, j, ld AS distance, CASE WHEN ld <= 2 THEN 'high' ELSE 'medium' END AS severity "
+            f"FROM dist WHERE ld <= 5 AND gd > 10 AND {LEFT}"
+        ),
     ),
 )
 def j9(spark, sf_dir):
-    primary = G.similar_images(X.images(spark, sf_dir))
-    out = G.part_matches(
-        X.image_parts(spark, sf_dir), primary, G.STRIP, G.STRIP_MIN_STD, G.STRIP_HIGH_BITS
-    )
-    return out.drop("part_a", "part_b")
+    variants, parts = X.image_variants(spark, sf_dir), X.image_parts(spark, sf_dir)
+    found = M.classes(M.signatures(X.images(spark, sf_dir), variants, strips=parts))
+    return M.part_classes(found, "strips", G.STRIP, G.STRIP_HIGH_BITS).select(*CLASS_COLUMNS)
+
 
+#: Each pass on the plain pairs that the passes before it left; the support of a primary pair counts images.
+PASSES = """prim AS (SELECT doc_id, i, j, pd FROM dist WHERE pd <= 8),
+touch AS (SELECT doc_id, i, j FROM prim UNION SELECT doc_id, j, i FROM prim UNION SELECT doc_id, i, i FROM prim UNION SELECT doc_id, j, j FROM prim),
+span AS (SELECT p.doc_id, p.i, p.j, p.pd, count(DISTINCT t.j) AS span FROM prim p JOIN touch t ON t.doc_id = p.doc_id AND (t.i = p.i OR t.i = p.j) GROUP BY ALL),
+hits AS (SELECT doc_id, 'primary' AS pass, i, j, pd AS distance, CASE WHEN span >= 5 THEN 'low' WHEN span > 2 OR pd > 4 THEN 'medium' ELSE 'high' END AS severity FROM span
+ UNION ALL SELECT doc_id, 'secondary', i, j, sd, CASE WHEN sd <= 4 THEN 'high' ELSE 'medium' END FROM dist WHERE sd <= 12 AND pd > 8
+ UNION ALL SELECT doc_id, 'geometric', i, j, gd, CASE WHEN gd <= 4 THEN 'high' ELSE 'medium' END FROM dist WHERE gd <= 10 AND pd > 8 AND sd > 12
+ UNION ALL SELECT doc_id, 'region', i, j, rd, 'medium' FROM dist WHERE rd <= 2 AND pd > 8 AND sd > 12 AND gd > 10
+ UNION ALL SELECT doc_id, 'loading_control', i, j, ld, CASE WHEN ld <= 2 THEN 'high' ELSE 'medium' END FROM dist WHERE ld <= 5 AND pd > 8 AND sd > 12 AND gd > 10)"""
 
-@add("g1_duplicate_passes")
+
+@add(
+    "g1_duplicate_passes",
+    with_sql(
+        X.IMAGES_SQL,
+        X.VARIANTS_SQL.replace("variants AS (", "all_variants AS (", 1),
+        X.PARTS_SQL.replace("parts AS (", "all_parts AS (", 1),
+        "usable AS (SELECT * FROM images WHERE width >= 64 AND height >= 64 AND bytes_size >= 5120)",
+        "blots AS (SELECT * FROM usable WHERE width >= 80 AND height >= 60 AND bytes_size >= 8192)",
+        "variants AS (SELECT v.* FROM all_variants v SEMI JOIN usable USING (doc_id, image_id))",
+        "parts AS (SELECT p.* FROM all_parts p SEMI JOIN usable USING (doc_id, image_id))",
+        plain_pairs_sql("usable", "blots"),
+        PASSES,
+        classes_sql("usable", cells=True, strips=True),
+        select=by_class_sql("SELECT * FROM hits", "pass, "),
+    ),
+)
 def g1(spark, sf_dir):
     parts = X.image_parts(spark, sf_dir)
-    return G.duplicate_passes(
-        X.images(spark, sf_dir), X.image_variants(spark, sf_dir), parts, parts
-    )
+    out, _ = M.duplicate_classes(X.images(spark, sf_dir), X.image_variants(spark, sf_dir), parts, parts)
+    return out
 
 
 ALGOS = (
@@ -226,24 +277,30 @@ def page_units(spark, sf_dir):
     )
 
 
+#: Plain pairs of pages by their best pair of units, counted per pair of page classes.
+PAGES = """um AS (SELECT doc_id, algo, page, hash, max(region) AS region FROM units WHERE hash IS NOT NULL GROUP BY ALL),
+ps AS (SELECT doc_id, algo, page, list((hash, region) ORDER BY hash) AS u FROM um GROUP BY ALL),
+pc AS (SELECT doc_id, algo, page, min(page) OVER (PARTITION BY doc_id, algo, u) AS c FROM ps),
+hits AS (SELECT a.doc_id, a.algo, a.page AS i, b.page AS j, bit_count(xor(a.hash, b.hash)) AS distance,
+ CASE WHEN a.region = 1 AND b.region = 1 AND a.algo = 'phash' AND bit_count(xor(a.hash, b.hash)) <= 8 THEN 1 ELSE 0 END AS prim
+ FROM um a JOIN um b ON a.doc_id = b.doc_id AND a.algo = b.algo AND a.page < b.page),
+best AS (SELECT doc_id, algo, i, j, min(distance) AS distance, max(prim) AS prim FROM hits
+ WHERE prim = 1 OR distance <= CASE WHEN algo = 'ahash' THEN 4 ELSE 10 END GROUP BY ALL)"""
+
+
 @add(
     "j11_j12_page_units",
     with_sql(
         X.IMAGES_SQL,
         UNITS,
-        """ug AS (SELECT doc_id, algo, hash, page, max(region) AS region FROM units GROUP BY ALL),
-uh AS (SELECT doc_id, algo, hash, min(page) AS page, max(region) AS region FROM ug GROUP BY ALL),
-hits AS (SELECT a.doc_id, a.algo, a.page AS pa, b.page AS pb, a.region AS ra, b.region AS rb, bit_count(xor(a.hash, b.hash)) AS distance
- FROM uh a JOIN uh b ON a.doc_id = b.doc_id AND a.algo = b.algo AND a.hash < b.hash AND a.page <> b.page AND bit_count(xor(a.hash, b.hash)) <= 10
- UNION ALL SELECT a.doc_id, a.algo, a.page, b.page, a.region, b.region, 0 FROM uh a JOIN ug b ON a.doc_id = b.doc_id AND a.algo = b.algo
- AND a.hash = b.hash AND a.page <> b.page),
-flagged AS (SELECT *, CASE WHEN ra = 1 AND rb = 1 AND algo = 'phash' AND distance <= 8 THEN 1 ELSE 0 END AS prim FROM hits)""",
-        select="SELECT doc_id, algo, least(pa, pb) AS page_a, greatest(pa, pb) AS page_b, min(distance) AS distance, max(prim) AS \"primary\" "
-        "FROM flagged WHERE prim = 1 OR (algo = 'ahash' AND distance <= 4) OR (algo <> 'ahash' AND distance <= 10) GROUP BY doc_id, algo, least(pa, pb), greatest(pa, pb)",
+        PAGES,
+        select="SELECT b.doc_id, b.algo, least(x.c, y.c) AS page_a, greatest(x.c, y.c) AS page_b, min(distance) AS distance, max(prim) AS \"primary\", "
+        "count(*) AS pairs FROM best b JOIN pc x ON x.doc_id = b.doc_id AND x.algo = b.algo AND x.page = i "
+        "JOIN pc y ON y.doc_id = b.doc_id AND y.algo = b.algo AND y.page = j GROUP BY ALL",
     ),
 )
 def j11(spark, sf_dir):
-    return G.page_unit_matches(page_units(spark, sf_dir))
+    return M.page_class_matches(page_units(spark, sf_dir))
 
 
 @add(
