@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..model import severity_rank
 from ..plans import ranks as R
+from ..session import cut_lineage
 from .columns import COLUMN, TABLE, Thresholds, _mode_order
 
 # Check names of spreadsheet-style fabrication and their pattern tags.
@@ -69,18 +70,6 @@ def offset_severity(offset: Column, n: Column, profile: Thresholds = Thresholds(
     )
 
 
-def _pairs(items: Column) -> Column:
-    """Every (a, b) of a sorted array with a before b."""
-    return F.flatten(
-        F.transform(
-            items,
-            lambda a, i: F.transform(
-                F.slice(items, i + 2, F.size(items)), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )
-
-
 def _exploded_pairs(rows: DataFrame, keep: list[str]) -> DataFrame:
     """One row ``p(a, b)`` per pair of ``items``, by two generators inside codegen."""
     firsts = rows.select(*keep, "items", F.posexplode("items").alias("_i", "_a"))
@@ -90,14 +79,55 @@ def _exploded_pairs(rows: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+#: Tables of one block when tables of a document are paired.
+TABLE_BLOCK = 4
+
+
+def table_blocks(numeric: DataFrame) -> DataFrame:
+    """Tables of each document in blocks of a few, every two blocks together once (and each with itself).
+
+    Adds ``_ours``, the number of a cell's own block, and ``_low``, ``_high``, the two
+    blocks that a copy of the cell meets in.
+    """
+    tables = numeric.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("_cells")).drop("_cells")
+    rank = W.partitionBy("doc_id").orderBy("table_id")
+    placed = tables.select(
+        *TABLE,
+        F.floor((F.row_number().over(rank) - 1) / TABLE_BLOCK).cast("int").alias("_ours"),
+        F.floor((F.count(F.lit(1)).over(W.partitionBy("doc_id")) - 1) / TABLE_BLOCK).cast("int").alias("_last"),
+    )
+    met = placed.select(*TABLE, "_ours", F.explode(F.sequence(F.lit(0), "_last")).alias("_other"))
+    return R.attach_group_values(
+        numeric.withColumn("_chunk", F.floor(F.col("pos") / R.BLOCK)),
+        met.groupBy(*TABLE).agg(F.first("_ours").alias("_ours"), F.collect_list("_other").alias("_others")),
+        TABLE,
+    ).withColumn("_other", F.explode("_others")).select(
+        *[c for c in numeric.columns if c != "_chunk"],
+        "_ours",
+        F.least("_ours", "_other").alias("_low"),
+        F.greatest("_ours", "_other").alias("_high"),
+    )
+
+
 def _positional_pairs(numeric: DataFrame, across: bool) -> DataFrame:
-    """Pairs of values at one position: columns of a table, or of two tables of a document."""
-    group = ["doc_id"] if across else TABLE
-    item = F.struct("table_id", "col_idx", "header", "num")
-    rows = numeric.groupBy(*group, "pos").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    pairs = _exploded_pairs(rows, ["doc_id", "pos"])
+    """Pairs of values at one position: columns of a table, or of two tables of a document.
+
+    Across tables, a position's cells come two blocks of tables at a time, so no array
+    holds all tables of a document.
+    """
     if across:
-        pairs = pairs.filter("p.a.table_id < p.b.table_id")
+        item = F.struct("table_id", "col_idx", "header", "num", "_ours")
+        keys = ["doc_id", "_low", "_high", "pos"]
+        rows = table_blocks(numeric).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+        pairs = _exploded_pairs(rows, ["doc_id", "pos", "_low", "_high"]).filter(
+            (F.col("p.a.table_id") < F.col("p.b.table_id"))
+            & (F.least("p.a._ours", "p.b._ours") == F.col("_low"))
+            & (F.greatest("p.a._ours", "p.b._ours") == F.col("_high"))
+        )
+    else:
+        item = F.struct("table_id", "col_idx", "header", "num")
+        rows = numeric.groupBy(*TABLE, "pos").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        pairs = _exploded_pairs(rows, ["doc_id", "pos"])
     return pairs.select(
         "doc_id",
         F.col("p.a.table_id").alias("table_a"),
@@ -123,13 +153,9 @@ def pair_profile(
     First grouped by (pair, difference), which spreads a hot pair, then by pair.
     """
     pairs = _positional_pairs(numeric.filter(F.col("n") >= profile.min_column), across)
-    ratio = F.when(F.col("a") != 0, (F.col("b") / F.when(F.col("a") != 0, F.col("a"))))
-    ratio = F.round(ratio, 6).cast("decimal(38,6)")
-    usable = F.when((F.abs(ratio) <= 1000000000000), ratio)
-    usable = F.when(F.abs((F.col("b").cast("double") / F.nullif(F.col("a").cast("double"), F.lit(0.0)))) >= 1e-12, usable)
     by_diff = (
         pairs.withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
-        .withColumn("ratio", usable)
+        .withColumn("ratio", _usable_ratio())
         .withColumn("total", F.round(F.col("a") + F.col("b"), 6))
         .groupBy(*PAIR, "diff")
         .agg(
@@ -174,6 +200,132 @@ def pair_profile(
     ).filter(F.col("n") >= profile.min_column)
 
 
+#: Bits of a difference's hash that vote; two 32-bit counters share one sum.
+VOTING_BITS = 16
+
+
+def _usable_ratio() -> Column:
+    ratio = F.when(F.col("a") != 0, (F.col("b") / F.when(F.col("a") != 0, F.col("a"))))
+    ratio = F.round(ratio, 6).cast("decimal(38,6)")
+    usable = F.when((F.abs(ratio) <= 1000000000000), ratio)
+    size = F.abs((F.col("b").cast("double") / F.nullif(F.col("a").cast("double"), F.lit(0.0))))
+    return F.when(size >= 1e-12, usable)
+
+
+def _ballots() -> list[Column]:
+    """Sums of the low and the high bit of each pair of voting bits."""
+    bit = lambda k: F.shiftright("_vote", k).bitwiseAND(F.lit(1).cast("long"))
+    return [
+        F.sum(bit(k) + F.shiftleft(bit(k + 1), 32)).alias(f"_v{k}") for k in range(0, VOTING_BITS, 2)
+    ]
+
+
+def majority(n: Column) -> tuple[Column, Column]:
+    """(most rows that one value can have, the voting bits it would have) from the ballots.
+
+    A value held by more than half of the rows decides every bit, so its rows are at
+    most those of the larger side of any bit; ballots of parts of the rows add up.
+    """
+    bound, bits = n, F.lit(0).cast("long")
+    for k in range(VOTING_BITS):
+        packed = F.col(f"_v{k - k % 2}")
+        ones = F.shiftright(packed, 32) if k % 2 else packed.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+        bound = F.least(bound, F.greatest(ones, n - ones))
+        bits = bits.bitwiseOR(F.when(2 * ones > n, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return bound, bits
+
+
+def pair_votes(
+    numeric: DataFrame, *, across: bool = False, profile: Thresholds = Thresholds(), share: float = 0.90
+) -> DataFrame:
+    """What the pair checks need of ``pair_profile``, with one small row per pair and task shuffled.
+
+    Whether all differences are equal follows from their extremes.  For the others a
+    majority vote on the bits of each difference's hash bounds the most frequent one;
+    only pairs whose bound reaches ``share`` are counted by difference, exactly, in a
+    second pass over their own columns.  ``offsets`` is 1 or 2 (several);
+    ``modal_offset`` and ``modal_count`` are given for single offsets and those pairs.
+    """
+    kept = numeric.filter(F.col("n") >= profile.min_column)
+    pairs = _positional_pairs(kept, across)
+    valued = (
+        pairs.withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
+        .withColumn("ratio", _usable_ratio())
+        .withColumn("total", F.round(F.col("a") + F.col("b"), 6))
+        .withColumn("_vote", F.xxhash64("diff"))
+    )
+    ratio_pos = F.when(F.col("ratio").isNotNull(), F.col("pos"))
+    voted = cut_lineage(
+        valued.groupBy(*PAIR)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("diff").alias("diff_lo"),
+            F.max("diff").alias("diff_hi"),
+            F.count_if(F.col("a") == F.col("b")).alias("equal"),
+            F.min("total").alias("total_lo"),
+            F.max("total").alias("total_hi"),
+            F.count("ratio").alias("ratios"),
+            F.min("ratio").alias("ratio_lo"),
+            F.max("ratio").alias("ratio_hi"),
+            F.min_by("ratio", ratio_pos).alias("ratio"),
+            *_ballots(),
+        )
+        .filter(F.col("n") >= profile.min_column)
+    )
+    bound, bits = majority(F.col("n"))
+    single = F.col("diff_lo") == F.col("diff_hi")
+    open_ = voted.filter(~single & (bound >= share * F.col("n"))).select(*PAIR, bits.alias("_bits"))
+    plain = voted.select(
+        *PAIR,
+        "n",
+        F.when(single, 1).otherwise(2).alias("offsets"),
+        F.when(single, F.col("diff_lo")).alias("modal_offset"),
+        F.when(single, F.col("n")).alias("modal_count"),
+        "equal",
+        "total_lo",
+        "total_hi",
+        "ratios",
+        "ratio_lo",
+        "ratio_hi",
+        "ratio",
+    )
+    if open_.isEmpty():
+        return plain
+    counted = _counted_offsets(kept, open_, across)
+    return (
+        plain.join(counted, PAIR, "left")
+        .withColumn("modal_offset", F.coalesce("modal_offset", "_offset"))
+        .withColumn("modal_count", F.coalesce("modal_count", "_count"))
+        .drop("_offset", "_count")
+    )
+
+
+def _counted_offsets(kept: DataFrame, open_: DataFrame, across: bool) -> DataFrame:
+    """(PAIR, _offset, _count): the most frequent difference with the voted bits of the named pairs."""
+    ends = open_.select(
+        "doc_id",
+        F.explode(
+            F.array(
+                F.struct(F.col("table_a").alias("table_id"), F.col("col_a").alias("col_idx")),
+                F.struct(F.col("table_b").alias("table_id"), F.col("col_b").alias("col_idx")),
+            )
+        ).alias("e"),
+    ).select("doc_id", "e.*").distinct()
+    chunked = kept.withColumn("_chunk", F.floor(F.col("pos") / R.BLOCK))
+    cells = R.attach_group_values(chunked, ends, ["doc_id", "table_id", "col_idx"])
+    pairs = _positional_pairs(cells, across).withColumn("_chunk", F.floor(F.col("pos") / R.BLOCK))
+    diffs = R.attach_group_values(pairs, open_, PAIR).withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
+    voted = F.xxhash64("diff").bitwiseAND(F.lit((1 << VOTING_BITS) - 1).cast("long"))
+    by_diff = (
+        diffs.filter(voted == F.col("_bits"))
+        .groupBy(*PAIR, "diff")
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min("pos").alias("first_pos"))
+    )
+    return by_diff.groupBy(*PAIR).agg(
+        F.max_by("diff", _mode_order("cnt", "first_pos")).alias("_offset"), F.max("cnt").alias("_count")
+    )
+
+
 def pair_checks(profiled: DataFrame, profile: Thresholds = Thresholds()) -> DataFrame:
     """Turn pair profiles into checks (C1-C5 inside a table, C13 across tables)."""
     n = F.col("n")

@@ -88,7 +88,7 @@ def check_columns(df):
 
 @add("c1_c5_pair_checks", with_sql(LINE, X.NUMERIC_SQL, pairs_sql(False), CHECKS, select=CHECK_SELECT))
 def c1(spark, sf_dir):
-    return check_columns(L.pair_checks(L.pair_profile(line_numeric(spark, sf_dir))))
+    return check_columns(L.pair_checks(L.pair_votes(line_numeric(spark, sf_dir))))
 
 
 # A third of the suppliers repeat the price column of their neighbour on the same row number.
@@ -118,7 +118,7 @@ def copied_numeric(spark, sf_dir):
 @add("j2_c13_cross_table_checks", with_sql(COPIED, X.NUMERIC_SQL, pairs_sql(True), CHECKS, select=CHECK_SELECT))
 def c13(spark, sf_dir):
     return check_columns(
-        L.pair_checks(L.pair_profile(copied_numeric(spark, sf_dir), across=True))
+        L.pair_checks(L.pair_votes(copied_numeric(spark, sf_dir), across=True))
     )
 
 
@@ -151,7 +151,7 @@ TAIL_SELECT = f'SELECT {PAIR}, tail_pairs AS n, matching AS matched, "check", se
 
 def tail_columns(cells, numeric, across=False):
     tails = L.tail_profile(L.text_cells(cells, chunk_size=X.LINE_CHUNK), across=across)
-    out = L.tail_checks(tails, L.pair_profile(numeric, across=across))
+    out = L.tail_checks(tails, L.pair_votes(numeric, across=across))
     return out.select(
         "doc_id", "table_a", "table_b", "col_a", "col_b", "n", "matched", "check", "severity"
     )
@@ -237,7 +237,7 @@ def replica_cells(spark, sf_dir):
 )
 def c11(spark, sf_dir):
     numeric = C.decimal_cells(replica_cells(spark, sf_dir), chunk_size=X.LINE_CHUNK)
-    out = L.identical_replicates(L.pair_profile(numeric), numeric)
+    out = L.identical_replicates(L.pair_votes(numeric), numeric)
     return out.select("doc_id", "table_id", "layout", "first_col", "columns")
 
 
@@ -334,7 +334,7 @@ def c14(spark, sf_dir):
 def pair_findings(spark, sf_dir):
     """Pair, tail and triple checks of the supplier tables as (doc, check, severity, tables)."""
     cells, numeric = X.line_cells(spark, sf_dir), line_numeric(spark, sf_dir)
-    profiled = L.pair_profile(numeric)
+    profiled = L.pair_votes(numeric)
     pairs = L.pair_checks(profiled)
     tails = L.tail_checks(
         L.tail_profile(L.text_cells(cells, chunk_size=X.LINE_CHUNK)), profiled
@@ -391,7 +391,7 @@ def c15(spark, sf_dir):
     ),
 )
 def c16(spark, sf_dir):
-    checks = L.pair_checks(L.pair_profile(line_numeric(spark, sf_dir)))
+    checks = L.pair_checks(L.pair_votes(line_numeric(spark, sf_dir)))
     return checks.groupBy("doc_id", "check", L.pattern_tag(F.col("check")).alias("pattern")).agg(
         F.count(F.lit(1)).alias("findings")
     )

@@ -49,7 +49,7 @@ def table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     ]
     numeric = C.decimal_cells(cells, chunk_size=X.LINE_CHUNK)
-    pairs = L.pair_checks(L.pair_profile(numeric)).withColumns(
+    pairs = L.pair_checks(L.pair_votes(numeric)).withColumns(
         {
             "table_id": F.col("table_a"),
             "left_column": F.col("header_a"),
