@@ -119,3 +119,41 @@ def test_zero_spread_and_profile(spark):
     profile = {r.header: r for r in A.column_profile(cells).collect()}
     assert profile["label"].dtype == "string" and profile["label"].missing == 1
     assert profile["group SD"].dtype == "float" and profile["group SD"].duplicates == 1
+
+
+def test_votes_equal_the_full_profile(spark):
+    """The vote and its second pass give the checks of the profile by difference, in and across tables."""
+    rng = random.Random(12)
+    rows = []
+    series = [[rng.randrange(1000) for _ in range(40)] for _ in range(4)]
+    for table in range(7):
+        base = series[table % 4]
+        shares = [1.0, 0.95, 0.9, 0.89, 0.5]
+        columns = [base] + [[v + 7 if rng.random() < s else rng.randrange(999) for v in base] for s in shares]
+        exact = [v + 3 for v in base]
+        for i in rng.sample(range(40), 4):  # 36 of 40: the share is just reached
+            exact[i] += rng.randrange(1, 50)
+        for c, values in enumerate([*columns, exact]):
+            rows += [(1, table, r, c, f"h{c}", f"{v}.25") for r, v in enumerate(values)]
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    numeric = C.decimal_cells(cells).cache()
+    texts = L.text_cells(cells)
+    for across in (False, True):
+        full = L.pair_profile(numeric, across=across)
+        votes = L.pair_votes(numeric, across=across)
+        wanted = sorted(map(tuple, L.pair_checks(full).collect()), key=str)
+        assert sorted(map(tuple, L.pair_checks(votes).collect()), key=str) == wanted
+        assert any("partial_fixed_offset" in str(r) for r in wanted)
+        tails = L.tail_checks(L.tail_profile(texts, across=across), full)
+        got = L.tail_findings(texts, numeric, across=across)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, tails.collect()), key=str)
+
+
+def test_blocks_pair_every_two_tables_once(spark):
+    rows = [(1, t, 0, 0, "h", str(t)) for t in range(13)]
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    numeric = C.decimal_cells(cells, min_values=1)
+    got = [(r.table_a, r.table_b) for r in L._positional_pairs(numeric, True).collect()]
+    assert sorted(got) == [(a, b) for a in range(13) for b in range(a + 1, 13)]
+    items = L.table_blocks(numeric).groupBy("_low", "_high", "pos").count().agg({"count": "max"}).first()[0]
+    assert items <= 2 * L.TABLE_BLOCK

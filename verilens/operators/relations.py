@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..model import severity_rank
 from ..plans import ranks as R
-from ..session import cut_lineage
+from ..session import written
 from .columns import COLUMN, TABLE, Thresholds, _mode_order
 
 # Check names of spreadsheet-style fabrication and their pattern tags.
@@ -246,7 +246,9 @@ def pair_votes(
     second pass over their own columns.  ``offsets`` is 1 or 2 (several);
     ``modal_offset`` and ``modal_count`` are given for single offsets and those pairs.
     """
-    kept = numeric.filter(F.col("n") >= profile.min_column)
+    kept = written(  # read by both passes
+        numeric.filter(F.col("n") >= profile.min_column).select(*COLUMN, "pos", "num")
+    )
     pairs = _positional_pairs(kept, across)
     valued = (
         pairs.withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
@@ -255,7 +257,7 @@ def pair_votes(
         .withColumn("_vote", F.xxhash64("diff"))
     )
     ratio_pos = F.when(F.col("ratio").isNotNull(), F.col("pos"))
-    voted = cut_lineage(
+    voted = written(
         valued.groupBy(*PAIR)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -300,21 +302,18 @@ def pair_votes(
     )
 
 
+def _pairs_of(kept: DataFrame, named: DataFrame, across: bool) -> DataFrame:
+    """Positional pairs of the named column pairs only, with the columns of ``named``; reads just their cells."""
+    end = lambda s: F.struct(F.col(f"table_{s}").alias("table_id"), F.col(f"col_{s}").alias("col_idx"))
+    ends = named.select("doc_id", F.explode(F.array(end("a"), end("b"))).alias("e")).select("doc_id", "e.*").distinct()
+    chunk = F.floor(F.col("pos") / R.BLOCK)
+    cells = R.attach_group_values(kept.withColumn("_chunk", chunk), ends, ["doc_id", "table_id", "col_idx"])
+    return R.attach_group_values(_positional_pairs(cells, across).withColumn("_chunk", chunk), named, PAIR)
+
+
 def _counted_offsets(kept: DataFrame, open_: DataFrame, across: bool) -> DataFrame:
     """(PAIR, _offset, _count): the most frequent difference with the voted bits of the named pairs."""
-    ends = open_.select(
-        "doc_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("table_a").alias("table_id"), F.col("col_a").alias("col_idx")),
-                F.struct(F.col("table_b").alias("table_id"), F.col("col_b").alias("col_idx")),
-            )
-        ).alias("e"),
-    ).select("doc_id", "e.*").distinct()
-    chunked = kept.withColumn("_chunk", F.floor(F.col("pos") / R.BLOCK))
-    cells = R.attach_group_values(chunked, ends, ["doc_id", "table_id", "col_idx"])
-    pairs = _positional_pairs(cells, across).withColumn("_chunk", F.floor(F.col("pos") / R.BLOCK))
-    diffs = R.attach_group_values(pairs, open_, PAIR).withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
+    diffs = _pairs_of(kept, open_, across).withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
     voted = F.xxhash64("diff").bitwiseAND(F.lit((1 << VOTING_BITS) - 1).cast("long"))
     by_diff = (
         diffs.filter(voted == F.col("_bits"))
@@ -326,6 +325,22 @@ def _counted_offsets(kept: DataFrame, open_: DataFrame, across: bool) -> DataFra
     )
 
 
+def pair_extents(
+    numeric: DataFrame, named: DataFrame, *, across: bool = False, profile: Thresholds = Thresholds()
+) -> DataFrame:
+    """(PAIR, n, offsets, modal_offset) of the named pairs: 1 and the offset where all differences are equal, else 2."""
+    kept = numeric.filter(F.col("n") >= profile.min_column).select(*COLUMN, "pos", "num")
+    low, high = F.col("diff_lo"), F.col("diff_hi")
+    return (
+        _pairs_of(kept, named.select(*PAIR), across)
+        .withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
+        .groupBy(*PAIR)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("diff").alias("diff_lo"), F.max("diff").alias("diff_hi"))
+        .filter(F.col("n") >= profile.min_column)
+        .select(*PAIR, "n", F.when(low == high, 1).otherwise(2).alias("offsets"), F.when(low == high, low).alias("modal_offset"))
+    )
+
+
 def pair_checks(profiled: DataFrame, profile: Thresholds = Thresholds()) -> DataFrame:
     """Turn pair profiles into checks (C1-C5 inside a table, C13 across tables)."""
     n = F.col("n")
@@ -425,7 +440,11 @@ def tail_profile(texts: DataFrame, *, across: bool = False) -> DataFrame:
     if across:
         pairs = pairs.filter("p.a.table_id < p.b.table_id")
     both = F.col("p.a.tail").isNotNull() & F.col("p.b.tail").isNotNull()
-    changes = N.integer_digit_changes(F.col("p.a.whole"), F.col("p.b.whole"))
+    # digits of one length are one edit apart when one digit differs
+    whole_a, whole_b = F.col("p.a.whole"), F.col("p.b.whole")
+    changed = (whole_a != "") & (F.length(whole_a) == F.length(whole_b)) & (F.levenshtein(whole_a, whole_b, 1) == 1)
+    # a pair with one differing tail is not perfect, so its digits no longer matter
+    one_digit = F.when(both & (F.col("p.a.tail") != F.col("p.b.tail")), False).otherwise(F.coalesce(changed, F.lit(False)))
     return pairs.groupBy(
         "doc_id",
         F.col("p.a.table_id").alias("table_a"),
@@ -438,7 +457,7 @@ def tail_profile(texts: DataFrame, *, across: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("text_pairs"),
         F.count_if(both).alias("tail_pairs"),
         F.count_if(both & (F.col("p.a.tail") == F.col("p.b.tail"))).alias("matching"),
-        F.every(F.coalesce(changes == 1, F.lit(False))).alias("one_digit_changed"),
+        F.every(one_digit).alias("one_digit_changed"),
     )
 
 
@@ -493,6 +512,17 @@ def tail_checks(
     ).select(*PAIR, "n", "matched", "h.*")
 
 
+def tail_findings(
+    texts: DataFrame, numeric: DataFrame, *, across: bool = False, profile: Thresholds = Thresholds()
+) -> DataFrame:
+    """Tail checks where only pairs with matching tails are looked up among the numbers."""
+    share = F.col("matching") / F.col("tail_pairs")
+    tails = written(
+        tail_profile(texts, across=across).filter((F.col("tail_pairs") >= profile.min_column) & (share >= profile.concentration))
+    )
+    return tail_checks(tails, pair_extents(numeric, tails, across=across, profile=profile), profile)
+
+
 # --------------------------------------------------------------------------- triples
 
 

@@ -150,8 +150,7 @@ TAIL_SELECT = f'SELECT {PAIR}, tail_pairs AS n, matching AS matched, "check", se
 
 
 def tail_columns(cells, numeric, across=False):
-    tails = L.tail_profile(L.text_cells(cells, chunk_size=X.LINE_CHUNK), across=across)
-    out = L.tail_checks(tails, L.pair_votes(numeric, across=across))
+    out = L.tail_findings(L.text_cells(cells, chunk_size=X.LINE_CHUNK), numeric, across=across)
     return out.select(
         "doc_id", "table_a", "table_b", "col_a", "col_b", "n", "matched", "check", "severity"
     )
@@ -334,11 +333,8 @@ def c14(spark, sf_dir):
 def pair_findings(spark, sf_dir):
     """Pair, tail and triple checks of the supplier tables as (doc, check, severity, tables)."""
     cells, numeric = X.line_cells(spark, sf_dir), line_numeric(spark, sf_dir)
-    profiled = L.pair_votes(numeric)
-    pairs = L.pair_checks(profiled)
-    tails = L.tail_checks(
-        L.tail_profile(L.text_cells(cells, chunk_size=X.LINE_CHUNK)), profiled
-    )
+    pairs = L.pair_checks(L.pair_votes(numeric))
+    tails = L.tail_findings(L.text_cells(cells, chunk_size=X.LINE_CHUNK), numeric)
     triples = L.column_triples(numeric)
     both = F.array_distinct(F.array("table_a", "table_b")).alias("tables")
     return (
