@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from verilens.operators import audit, consistency, findings, lookups, text
+from verilens.operators import audit, columns, consistency, findings, lookups, relations, text
 from verilens.operators import images as pictures
 
 CELLS = "doc_id long, table_id long, row_idx long, col_idx int, header string, text string"
@@ -74,3 +74,56 @@ def test_secondary_matches_leave_primary_ones(spark):
     found = {(r.image_a, r.image_b, r.copies_b) for r in pictures.secondary_matches(images).collect()}
     # 2 and 3 share a perceptual hash with 1; 5 is a copy of 4
     assert found == {(1, 4, 2), (2, 4, 2), (3, 4, 2)}
+
+
+def test_byline_ends_at_its_marker(spark):
+    """Addresses far behind 5,000 characters count; those behind the abstract don't."""
+    long_list = ", ".join(f"Given Family {i}" for i in range(1, 600))
+    paper = long_list + "\nlast@gmail.com last@gmail.com\nAbstract\nother@qq.com"
+    docs = spark.createDataFrame([(1, paper), (2, "no marker " * 900 + "a@b.org")], "doc_id long, text string")
+    got = {r.doc_id: r for r in text.byline_emails(docs).collect()}
+    assert (got[1].emails, got[1].duplicates, got[1].free_mail) == (2, 1, 2)
+    assert got[2].emails == 1
+
+
+def name_of(i):
+    return f"Given{chr(97 + i % 26)}{chr(97 + i // 26)} Family{chr(97 + i % 26)}"
+
+
+def test_authors_of_long_and_plain_lists(spark):
+    indexed = ", ".join(f"{name_of(i)} {i + 1}" for i in range(99))
+    filler = "x" * 5000
+    stacked = f"{name_of(0)} 1,2,13, {name_of(1)} 2,3,4, {name_of(2)} 5"
+    plain = "; ".join(name_of(i) for i in range(7))
+    repeated = f"{name_of(0)} and {name_of(1)} then {'y' * 230} {name_of(0)}"
+    rows = [
+        (1, indexed + filler + "\nUniversity of Somewhere, City"),
+        (2, stacked + "\nInstitute of Things, Town"),
+        (3, plain),
+        (4, repeated),
+        (5, plain + "\n1. Introduction\n" + ", ".join(f"{name_of(i)} 3" for i in range(9))),
+    ]
+    got = {r.doc_id: r for r in text.authorship(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].authors, got[1].affiliations, got[1].severity) == (99, 1, "high")
+    assert (got[2].authors, got[2].stacked_authors, got[2].stacking_severity) == (3, 2, "medium")
+    assert (got[3].authors, got[3].stacked_authors, got[3].stacking_severity) == (7, 0, None)
+    # the gap runs from the end of one name to the start of the next, also for a name seen before
+    assert got[4].authors == 2
+    assert got[5].authors == 7
+
+
+def test_every_holder_of_a_run_is_linked(spark):
+    values = [3.25, 8.5, 1.75, 9.25, 4.5, 6.75, 2.25]
+    rows = [(1, t, r, 0, "h", str(v)) for t in range(4) for r, v in enumerate(values)]
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    found = relations.sequence_reuse(columns.decimal_cells(cells)).collect()
+    assert {(r.table_a, r.table_b, r.windows, r.max_loci) for r in found} == {(0, t, 3, 4) for t in (1, 2, 3)}
+
+
+def test_all_matching_papers_are_listed(spark):
+    images = spark.createDataFrame([(0, 1, 5, 300, 200, 20_000)], "doc_id long, image_id long, phash long, width int, height int, bytes_size long")
+    index = spark.createDataFrame([(p, 5 ^ (1 << (p % 3 + 8))) for p in range(1, 13)], "paper_id long, phash long")
+    edges = pictures.cross_paper_edges(images, index).collect()
+    assert {(r.paper_id, r.distance) for r in edges} == {(p, 1) for p in range(1, 13)}
+    nearest = pictures.cross_paper_matches(images, index).first()
+    assert (nearest.papers, nearest.hits) == (12, 8)

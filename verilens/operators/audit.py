@@ -181,9 +181,9 @@ def yellow_like(fill: Column) -> Column:
 
 
 def highlight_rollup(highlights: DataFrame) -> DataFrame:
-    """Highlighted and yellow cells per table."""
+    """Highlighted and yellow cells per table (A25); cells without ``fill`` are not highlighted."""
     yellow = yellow_like(F.col("fill"))
-    out = highlights.groupBy(*TABLE).agg(
+    out = highlights.filter("fill IS NOT NULL").groupBy(*TABLE).agg(
         F.count(F.lit(1)).alias("cells"),
         F.count_if(yellow).alias("yellow"),
         F.count_distinct("fill").alias("fills"),
@@ -195,7 +195,8 @@ def highlight_rollup(highlights: DataFrame) -> DataFrame:
 
 def highlight_checks(highlights: DataFrame) -> DataFrame:
     """Repeats, zero variance and arithmetic progression of highlighted cells."""
-    numeric = highlights.withColumn("num", N.exact_decimal(F.col("value"))).filter("num IS NOT NULL")
+    filled = highlights.filter("fill IS NOT NULL")
+    numeric = filled.withColumn("num", N.exact_decimal(F.col("value"))).filter("num IS NOT NULL")
     column = [*TABLE, "col_idx"]
     placed = R.with_positions(numeric, column, "row_idx", chunk_size=1 << 44)
     counts = placed.groupBy(*column, "num").agg(F.count(F.lit(1)).alias("c"))

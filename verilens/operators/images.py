@@ -270,13 +270,10 @@ def algorithm_matches(hashes: DataFrame, radius: int = PRIMARY) -> DataFrame:
     )
 
 
-def cross_paper_matches(
-    images: DataFrame, index: DataFrame, radius: int = 6, limit: int = 8
-) -> DataFrame:
-    """Nearest papers of the fingerprint index for each image.
+def cross_paper_edges(images: DataFrame, index: DataFrame, radius: int = 6) -> DataFrame:
+    """Every paper that holds a hash near one of the usable images: (hash_a, paper_id, distance).
 
-    ``index(paper_id, phash)``.  ``hits`` lists the ``limit`` nearest other
-    papers; ``papers`` counts all of them.
+    One row per image hash and paper; ``cross_paper_matches`` ranks them for each image.
     """
     usable = images.filter((F.col("width") >= 64) & (F.col("height") >= 64) & F.col("phash").isNotNull())
     queries = usable.select(F.col("phash").alias("hash")).distinct()
@@ -285,13 +282,25 @@ def cross_paper_matches(
     same = queries.join(entries.select("hash").distinct(), "hash", "left_semi").select(
         F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance")
     )
-    papers = (
+    return (
         near.unionByName(same)
         .dropDuplicates(["hash_a", "hash_b"])
         .join(entries.withColumnRenamed("hash", "hash_b"), "hash_b")
         .groupBy("hash_a", "paper_id")
         .agg(F.min("distance").alias("distance"))
     )
+
+
+def cross_paper_matches(
+    images: DataFrame, index: DataFrame, radius: int = 6, limit: int = 8
+) -> DataFrame:
+    """Nearest papers of the fingerprint index for each image, a ranking over ``cross_paper_edges``.
+
+    ``index(paper_id, phash)``.  ``hits`` counts the ``limit`` nearest other papers,
+    ``papers`` all of them; the edges list them all.
+    """
+    usable = images.filter((F.col("width") >= 64) & (F.col("height") >= 64) & F.col("phash").isNotNull())
+    papers = cross_paper_edges(images, index, radius)
     # One query hash may sit in every paper: keep only the nearest of each part before ranking.
     part = F.pmod(F.xxhash64("paper_id"), F.lit(32))
     by_part = W.partitionBy("hash_a", "_part").orderBy("distance", "paper_id")

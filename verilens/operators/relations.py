@@ -739,10 +739,9 @@ def value_windows(numeric: DataFrame, width: int = 5, block: int = R.BLOCK) -> D
 
 
 def sequence_reuse(numeric: DataFrame, width: int = 5, block: int = R.BLOCK) -> DataFrame:
-    """Identical value runs in two columns of a document, one row per column pair.
+    """Identical value runs in columns of a document, one row per column pair.
 
-    The pair is made of the first two columns that hold a run, in table and
-    column order, as loci are met in that order.
+    Each run links its first column, in table and column order, to every other holder.
     """
     windows = value_windows(numeric, width, block)
     loci = windows.groupBy("doc_id", "win", "table_id", "col_idx", "header").agg(
@@ -752,16 +751,14 @@ def sequence_reuse(numeric: DataFrame, width: int = 5, block: int = R.BLOCK) ->
     first = loci.groupBy("doc_id", "win").agg(
         F.count(F.lit(1)).alias("loci"),
         F.min(locus).alias("a"),
-        F.max(F.struct("table_id", "col_idx")).alias("last"),
     ).filter("loci >= 2")
     spread = loci.withColumn("_chunk", F.pmod(F.xxhash64("table_id", "col_idx"), F.lit(64)))
-    second = (
+    others = (
         R.attach_group_values(spread, first.select("doc_id", "win", "a", "loci"), ["doc_id", "win"])
         .filter(
             (F.col("table_id") != F.col("a.table_id")) | (F.col("col_idx") != F.col("a.col_idx"))
         )
-        .groupBy("doc_id", "win")
-        .agg(F.first("a").alias("a"), F.min(locus).alias("b"), F.max("loci").alias("loci"))
+        .select("doc_id", "a", locus.alias("b"), "loci")
     )
     pair = [
         "doc_id",
@@ -773,7 +770,7 @@ def sequence_reuse(numeric: DataFrame, width: int = 5, block: int = R.BLOCK) ->
         F.col("b.header").alias("header_b"),
     ]
     return (
-        second.groupBy(*pair)
+        others.groupBy(*pair)
         .agg(
             F.count(F.lit(1)).alias("windows"),
             F.min("a.start").alias("first_start"),

@@ -463,10 +463,20 @@ def missing_statements(docs: DataFrame) -> DataFrame:
     )
 
 
+# Where a byline ends, and the words before which it may start.
+BYLINE_END = r"(?i)(?:^|\n)[ \t]*(?:\d+\.?[ \t]*)?(?:abstract|summary|introduction|background|keywords)\b"
+CORRESPONDENCE = ("*CORRESPONDENCE", "CORRESPONDENCE", "CITATION")
+
+
+def before_body(text: Column) -> Column:
+    """The text up to its abstract, introduction or first such heading; all of it without one."""
+    return F.split(text, BYLINE_END, 2)[0]
+
+
 def byline_emails(docs: DataFrame) -> DataFrame:
-    """E-mail checks of the byline, the first 5000 characters by rule."""
+    """E-mail checks of the byline, all text before the abstract or first heading."""
     found = docs.select(
-        "doc_id", F.explode_outer(find_all(F.lower(F.substring("text", 1, 5000)), EMAIL)).alias("email")
+        "doc_id", F.explode_outer(find_all(F.lower(before_body(F.col("text"))), EMAIL)).alias("email")
     )
     addresses = found.groupBy("doc_id", "email").agg(F.count("email").alias("c"))
     domains = addresses.withColumn("domain", F.substring_index("email", "@", -1))
@@ -495,26 +505,35 @@ def byline_emails(docs: DataFrame) -> DataFrame:
     )
 
 
+# Affiliation words, author names with index marks, plain author names, parts of other titles.
 AFFILIATION = (
-    r"(?i)\b(university|institute|college|hospital|department|school|faculty|laboratory|centre|center|academy)\b"
-)
-INDEXED_AUTHOR = (
-    r"([A-Z][A-Za-zÀ-ɏ'\-]+(?:\s+[A-Z][A-Za-zÀ-ɏ'\-]+){0,3})\s*(\d(?:\s*,\s*\d)*)"
+    r"(?i)\b(department of|university of|hospital|institute of|school of|college of|college|academy of|faculty of"
+    r"|research center|research institute|center for|laboratory of|medical center|clinic of|school)\b"
 )
-
-
-def byline(text: Column, max_chars: int = 4000) -> Column:
-    """The author block: from the first indexed author line, else the head."""
-    at = F.regexp_instr(
-        text,
-        F.lit(
-            r"(?s)(?:[A-Z][A-Za-zÀ-ɏ'\-]+(?:\s+[A-Z][A-Za-zÀ-ɏ'\-]+){0,3}\s*\d)"
-            r".{0,1200}?(?:University|Institute|College|Hospital|Department)"
-        ),
-    )
-    return F.when(at > 0, F.substring(text, F.greatest(at - 80, F.lit(1)), F.lit(max_chars))).otherwise(
-        F.substring(text, 1, max_chars)
-    )
+NAME = r"[A-Z][A-Za-zÀ-ɏ'\-]+"
+FIRST_AUTHOR = NAME + r"(?:\s+" + NAME + r"){0,3}\s*\d"
+AUTHOR_PLACE = r"University|Institute|College|Hospital|Department"
+INDEXED_AUTHOR = r"(?<![A-Za-z])(" + NAME + r"(?:\s+" + NAME + r"){1,3})\s*(\d{1,2}(?:\s*,\s*\d{1,2})*)"
+PLAIN_AUTHOR = r"\b" + NAME + r"(?:\s+" + NAME + r"){1,3}(?:\s*[*,†‡]?\s*(?:\d{1,2})?\b)*"
+NOT_AUTHOR = (
+    "university", "department", "school of", "institute", "faculty", "hospital", "evidence", "efficiency",
+    "countries", "financing", "retracted", "of technology", "of management", "of economics",
+)
+AUTHOR_GAP = 220
+
+
+def byline(text: Column) -> Column:
+    """The author block (T8): from the first indexed author before an affiliation, else from the
+    correspondence note, else from the start; up to the abstract or first heading behind it."""
+    at = F.regexp_instr(text, F.lit(FIRST_AUTHOR))
+    behind = F.substring(text, at, F.length(text))
+    lead = F.substring(text, F.greatest(at - 80, F.lit(1)), F.least(F.lit(80), at - 1))
+    out = before_body(text)
+    for marker in reversed(CORRESPONDENCE):
+        note = F.instr(F.upper(text), marker)
+        early = (note > 0) & (note - 1 < F.floor(F.length(text) / 2))
+        out = F.when(early, before_body(F.substring(text, note, F.length(text)))).otherwise(out)
+    return F.when((at > 0) & behind.rlike(AUTHOR_PLACE), F.concat(lead, before_body(behind))).otherwise(out)
 
 
 def affiliations(text: Column) -> Column:
@@ -530,50 +549,52 @@ def affiliations(text: Column) -> Column:
     return F.array_distinct(F.filter(norm, lambda c: F.length(c) >= 10))
 
 
-def authorship(docs: DataFrame) -> DataFrame:
-    """Authors, affiliations and their ratio.
+def indexed_authors(block: Column) -> Column:
+    """Distinct names with index marks that are no part of a title or affiliation."""
+    names = F.transform(find_all(block, INDEXED_AUTHOR, 1), lambda x: F.regexp_replace(x, r"\s+", " "))
+    is_title = lambda x: F.lower(x).rlike("|".join(NOT_AUTHOR))
+    return F.array_distinct(F.filter(names, lambda x: (F.length(x) >= 4) & ~is_title(x)))
+
 
-    Indexed authors count as one cluster while they follow each other within
-    220 characters; the first cluster is the byline.
+def plain_authors(block: Column) -> Column:
+    """Names of the first list whose neighbours are at most 220 characters apart.
+
+    What lies between two names is what splitting at names leaves, so gaps run from
+    the end of one name to the start of the next, wherever names repeat.
     """
+    names = F.size(find_all(block, PLAIN_AUTHOR, 0))
+    between = F.slice(F.split(block, PLAIN_AUTHOR, -1), 2, F.greatest(names - 1, F.lit(0)))
+    far = F.array_position(F.transform(between, lambda x: F.length(x) > AUTHOR_GAP), True)
+    return F.when(far > 0, far).otherwise(names).cast("int")
+
+
+def authorship(docs: DataFrame) -> DataFrame:
+    """Authors, affiliations, their ratio and stacked index marks."""
     region = docs.select("doc_id", byline(F.col("text")).alias("b"))
-    names = find_all(F.col("b"), INDEXED_AUTHOR, 1)
     marks = find_all(F.col("b"), INDEXED_AUTHOR, 2)
-    spots = F.transform(
-        F.arrays_zip(names.alias("name"), marks.alias("mark")),
-        lambda z: F.struct(
-            F.instr(F.col("b"), z["name"]).alias("at"), z["name"].alias("name"), z["mark"].alias("mark")
-        ),
-    )
-    first = F.aggregate(
-        F.array_sort(spots),
-        F.struct(
-            F.lit(-1).alias("last"),
-            F.lit(True).alias("open"),
-            F.slice(spots, 1, 0).alias("kept"),
-        ),
-        lambda s, x: F.when(
-            s["open"] & ((s["last"] < 0) | (x["at"] - s["last"] <= 220)),
-            F.struct(x["at"].alias("last"), F.lit(True).alias("open"), F.array_append(s["kept"], x).alias("kept")),
-        ).otherwise(F.struct(s["last"].alias("last"), F.lit(False).alias("open"), s["kept"].alias("kept"))),
-        lambda s: s["kept"],
-    )
+    indexed = F.size(indexed_authors(F.col("b")))
     counted = region.select(
         "doc_id",
-        F.size(F.array_distinct(F.transform(first, lambda x: x["name"]))).alias("authors"),
+        F.when(indexed > 0, indexed).otherwise(plain_authors(F.col("b"))).alias("authors"),
         F.size(affiliations(F.col("b"))).alias("affiliations"),
-        F.size(
-            F.filter(first, lambda x: F.size(F.split(x["mark"], ",")) >= 3)
-        ).alias("stacked_authors"),
+        F.size(F.filter(marks, lambda x: F.size(F.split(x, ",")) >= 3)).alias("stacked_authors"),
     )
-    n = F.col("authors")
+    n, stacked = F.col("authors"), F.col("stacked_authors")
     ratio = F.when((n > 0) & (F.col("affiliations") > 0), F.col("affiliations") / n)
     severity = (
         F.when((n >= 15) & (ratio <= 0.25), "high")
         .when(((n >= 8) & (ratio <= 0.35)) | ((n >= 6) & (ratio <= 0.30)), "medium")
         .when((n >= 4) & (ratio <= 0.40), "low")
     )
-    return counted.withColumn("ratio", F.round(ratio, 6)).withColumn("severity", severity)
+    stacking = F.when(
+        (stacked >= 1) & ((n >= 3) | (stacked >= 2)),
+        F.when((stacked >= 2) | (n >= 4), "medium").otherwise("low"),
+    )
+    return (
+        counted.withColumn("ratio", F.round(ratio, 6))
+        .withColumn("severity", severity)
+        .withColumn("stacking_severity", stacking)
+    )
 
 
 # The reviewer block, what is no name in it, and what a name looks like.

@@ -320,6 +320,21 @@ def j13(spark, sf_dir):
     return G.cross_paper_matches(images, index)
 
 
+@add(
+    "j13_cross_paper_edges",
+    with_sql(
+        X.IMAGES_SQL,
+        select="SELECT a.phash AS hash, b.doc_id AS paper, min(bit_count(xor(a.phash, b.phash))) AS distance "
+        "FROM (SELECT DISTINCT phash FROM images WHERE width >= 64 AND height >= 64) a "
+        "JOIN images b ON bit_count(xor(a.phash, b.phash)) <= 6 GROUP BY ALL",
+    ),
+)
+def j13_edges(spark, sf_dir):
+    images = X.images(spark, sf_dir)
+    edges = G.cross_paper_edges(images, images.select(F.col("doc_id").alias("paper_id"), "phash"))
+    return edges.select(F.col("hash_a").alias("hash"), F.col("paper_id").alias("paper"), "distance")
+
+
 @add(
     "j14_file_reuse",
     with_sql(

@@ -249,10 +249,10 @@ def c11(spark, sf_dir):
  ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS w FROM numeric WHERE n >= 3),
 loci AS (SELECT doc_id, w, table_id, col_idx, min(pos) AS start FROM win WHERE len(w) = 5 AND len(list_distinct(w)) > 1 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY table_id, col_idx) AS r, count(*) OVER (PARTITION BY doc_id, w) AS l FROM loci),
-two AS (SELECT a.doc_id, a.table_id AS table_a, b.table_id AS table_b, a.col_idx AS col_a, b.col_idx AS col_b, a.start, a.l
- FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.w = b.w AND a.r = 1 AND b.r = 2)""",
+star AS (SELECT a.doc_id, a.table_id AS table_a, b.table_id AS table_b, a.col_idx AS col_a, b.col_idx AS col_b, a.start, a.l
+ FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.w = b.w AND a.r = 1 AND b.r > 1)""",
         select=f"SELECT {PAIR}, count(*) AS windows, min(start) AS first_start, max(l) AS max_loci, "
-        "CASE WHEN table_a <> table_b THEN 'high' ELSE 'medium' END AS severity FROM two GROUP BY ALL",
+        "CASE WHEN table_a <> table_b THEN 'high' ELSE 'medium' END AS severity FROM star GROUP BY ALL",
     ),
 )
 def c12(spark, sf_dir):

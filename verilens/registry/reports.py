@@ -141,16 +141,16 @@ FILLS = ("yellow", "FFFF00", "#FFD966", "00B0F0", "FF0000")
 
 
 def highlights(spark, sf_dir):
-    """Line items with a discount of 10 % are highlighted in column 0."""
+    """All line items; those with a discount of 10 % are filled in column 0."""
     fill = F.element_at(F.array(*[F.lit(f) for f in FILLS]), (F.col("l_suppkey") % 5 + 1).cast("int"))
     row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << 24) + F.col("l_partkey")
-    return X.read(spark, sf_dir, "lineitem").filter("round(l_discount * 100) = 10").select(
+    return X.read(spark, sf_dir, "lineitem").select(
         F.floor(F.col("l_suppkey") / 4).alias("doc_id"),
         F.col("l_suppkey").alias("table_id"),
         row.alias("row_idx"),
         F.lit(0).alias("col_idx"),
         F.when(F.col("l_suppkey") % 7 == 0, "5").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("value"),
-        fill.alias("fill"),
+        F.when(F.expr("round(l_discount * 100) = 10"), fill).alias("fill"),
     )
 
 
@@ -449,8 +449,8 @@ def t23(spark, sf_dir):
 
 @add(
     "t24_supplements",
-    """WITH d AS (SELECT s_suppkey AS k FROM supplier), a AS (SELECT l_suppkey AS k, count(*) AS files, sum(CAST(l_quantity AS BIGINT)) AS bytes,
- count(*) FILTER (l_linenumber = 7 AND l_quantity = 50) AS suspicious FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY ALL)
+    """WITH d AS (SELECT s_suppkey AS k FROM supplier), a AS (SELECT l_suppkey + CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS k, count(*) AS files, sum(CAST(l_quantity AS BIGINT)) AS bytes,
+ count(*) FILTER (l_linenumber = 7 AND l_quantity = 50) AS suspicious FROM lineitem GROUP BY ALL)
  SELECT d.k AS doc_id, d.k % 2 = 0 AS claimed, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, coalesce(suspicious, 0) AS suspicious,
  CASE WHEN coalesce(suspicious, 0) > 0 THEN 'high' WHEN d.k % 2 = 0 AND files IS NULL THEN 'medium' END AS severity FROM d LEFT JOIN a USING (k)""",
 )
@@ -459,8 +459,9 @@ def t24(spark, sf_dir):
         F.col("s_suppkey").alias("doc_id"),
         F.when(F.col("s_suppkey") % 2 == 0, "See Supplementary Materials.").otherwise("Nothing.").alias("text"),
     )
-    files = X.read(spark, sf_dir, "lineitem").filter("l_suppkey % 3 <> 0").select(
-        F.col("l_suppkey").alias("doc_id"),
+    # every third supplier's files belong to the next one
+    files = X.read(spark, sf_dir, "lineitem").select(
+        (F.col("l_suppkey") + F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(0)).alias("doc_id"),
         F.col("l_quantity").cast("long").alias("size_bytes"),
         F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") == 50), "EXE").otherwise("csv").alias("ext"),
     )
@@ -517,18 +518,14 @@ _d = X._list(X.DETECTORS)
 GOLD = f"""u AS (SELECT DISTINCT user_id AS u FROM events),
 ex AS (SELECT CAST(u AS VARCHAR) AS case_id, unnest([{_d}[u % 8 + 1], {_d}[(u + 3) % 8 + 1], 'ref_duplicate']) AS det FROM u),
 ab AS (SELECT CAST(u AS VARCHAR) AS case_id, {_d}[(u + 5) % 8 + 1] AS det FROM u),
-fired AS (SELECT DISTINCT doc_id, detector FROM f WHERE e % 3 = 0),
+fired AS (SELECT DISTINCT doc_id, detector FROM f),
 e1 AS (SELECT case_id, count(*) AS expected, count(detector) AS found FROM ex LEFT JOIN fired ON doc_id = case_id AND detector = det GROUP BY ALL),
 a1 AS (SELECT case_id, count(*) AS absent, count(detector) AS false_alarms FROM ab LEFT JOIN fired ON doc_id = case_id AND detector = det GROUP BY ALL),
 cs AS (SELECT *, found * 1.0 / expected AS recall FROM e1 JOIN a1 USING (case_id))"""
 
 
-def third_of_findings(spark, sf_dir):
-    return X.findings(spark, sf_dir).filter(F.col("finding_id").cast("long") % 3 == 0)
-
-
 def recall_cases(spark, sf_dir):
-    return E.case_recall(gold(spark, sf_dir), third_of_findings(spark, sf_dir))
+    return E.case_recall(gold(spark, sf_dir), X.findings(spark, sf_dir))
 
 
 @add(
@@ -616,14 +613,14 @@ def e5(spark, sf_dir):
     "e6_regression_gates",
     with_sql(
         X.FINDINGS_SQL, GOLD,
-        "hi AS (SELECT doc_id AS case_id, count(*) FILTER (rank = 3) AS high FROM f WHERE e % 3 = 0 GROUP BY ALL)",
+        "hi AS (SELECT doc_id AS case_id, count(*) FILTER (rank = 3) AS high FROM f GROUP BY ALL)",
         "j AS (SELECT *, CASE WHEN CAST(case_id AS BIGINT) % 2 = 0 THEN 'core' ELSE 'controls' END AS benchmark FROM cs LEFT JOIN hi USING (case_id))",
         select="SELECT benchmark, count(*) AS cases, bool_and(found = expected) AS recall_ok, avg(coalesce(high, 0)) <= 2 AS budget_ok, sum(false_alarms) = 0 AS absent_ok FROM j GROUP BY benchmark",
     ),
 )
 def e6(spark, sf_dir):
     cases = recall_cases(spark, sf_dir).join(gold(spark, sf_dir).select("case_id", "benchmark"), "case_id")
-    return E.regression_gates(cases, third_of_findings(spark, sf_dir))
+    return E.regression_gates(cases, X.findings(spark, sf_dir))
 
 
 @add(

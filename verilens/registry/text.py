@@ -205,7 +205,7 @@ _FREE = ", ".join(f"'{d}'" for d in S.FREE_MAIL)
     "t7_t12_byline_emails",
     with_sql(
         X.PAPERS_SQL,
-        f"m AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 5000)), {quoted(S.EMAIL)})) AS email FROM papers)",
+        f"m AS (SELECT doc_id, unnest(regexp_extract_all(lower(string_split_regex(text, {quoted(S.BYLINE_END)})[1]), {quoted(S.EMAIL)})) AS email FROM papers)",
         "a AS (SELECT doc_id, email, count(*) AS c FROM m GROUP BY ALL)",
         "d AS (SELECT doc_id, regexp_extract(email, '@([^@]*)$', 1) AS domain, sum(c) AS c, count(*) FILTER (c > 1) AS rep FROM a GROUP BY ALL)",
         f"""p AS (SELECT q.doc_id, coalesce(sum(c), 0) AS emails, coalesce(max(c), 0) AS top_domain, coalesce(sum(rep), 0) AS duplicates,
@@ -218,7 +218,38 @@ def t7(spark, sf_dir):
     return S.byline_emails(X.papers(spark, sf_dir)).drop("checks")
 
 
-@add("t8_t13_authorship")
+_CUT = f"string_split_regex({{0}}, {quoted(S.BYLINE_END)})[1]"
+#: The same name without a look-behind; on these texts no capital follows a letter.
+_INDEXED = quoted(S.INDEXED_AUTHOR.removeprefix("(?<![A-Za-z])"))
+_BLOCK = _CUT.format("text")
+for _marker in reversed(S.CORRESPONDENCE):
+    _spot = f"instr(upper(text), '{_marker}')"
+    _BLOCK = f"CASE WHEN {_spot} > 0 AND {_spot} - 1 < length(text) // 2 THEN {_CUT.format(f'substr(text, {_spot})')} ELSE {_BLOCK} END"
+
+
+@add(
+    "t8_t13_authorship",
+    with_sql(
+        X.PAPERS_SQL,
+        f"""fa AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, {quoted(S.FIRST_AUTHOR)})
+ THEN length(string_split_regex(text, {quoted(S.FIRST_AUTHOR)})[1]) + 1 ELSE 0 END AS pos FROM papers)""",
+        f"""bl AS (SELECT doc_id, CASE WHEN pos > 0 AND regexp_matches(substr(text, pos), '{S.AUTHOR_PLACE}')
+ THEN substr(text, greatest(pos - 80, 1), least(80, pos - 1)) || {_CUT.format('substr(text, pos)')} ELSE {_BLOCK} END AS b FROM fa)""",
+        f"""nm AS (SELECT doc_id, b, list_distinct(list_filter(list_transform(regexp_extract_all(b, {_INDEXED}, 1), lambda x: regexp_replace(x, '\\s+', ' ', 'g')),
+ lambda x: length(x) >= 4 AND NOT regexp_matches(lower(x), '{"|".join(S.NOT_AUTHOR)}'))) AS names,
+ len(regexp_extract_all(b, {quoted(S.PLAIN_AUTHOR)})) AS plain,
+ list_transform(string_split_regex(b, {quoted(S.PLAIN_AUTHOR)}), lambda x: length(x)) AS gaps,
+ len(list_filter(regexp_extract_all(b, {_INDEXED}, 2), lambda x: len(string_split(x, ',')) >= 3)) AS stacked_authors,
+ len(list_distinct(list_filter(list_transform(list_filter(list_transform(string_split_regex(b, '[.\\n]'), lambda c: trim(c)),
+ lambda c: length(c) BETWEEN 8 AND 400 AND regexp_matches(c, {quoted(S.AFFILIATION)})),
+ lambda c: trim(regexp_replace(regexp_replace(lower(c), '[^a-z\\s]', ' ', 'g'), '\\s+', ' ', 'g'))), lambda c: length(c) >= 10))) AS affiliations FROM bl)""",
+        """au AS (SELECT *, CASE WHEN len(names) > 0 THEN len(names) ELSE coalesce(nullif(list_position(list_transform(gaps[2:plain], lambda g: g > 220), true), 0), plain) END AS authors FROM nm),
+ra AS (SELECT *, CASE WHEN authors > 0 AND affiliations > 0 THEN affiliations * 1.0 / authors END AS r FROM au)""",
+        select="""SELECT doc_id, authors::INT AS authors, affiliations::INT AS affiliations, stacked_authors::INT AS stacked_authors, round(r, 6) AS ratio,
+ CASE WHEN authors >= 15 AND r <= 0.25 THEN 'high' WHEN (authors >= 8 AND r <= 0.35) OR (authors >= 6 AND r <= 0.30) THEN 'medium' WHEN authors >= 4 AND r <= 0.40 THEN 'low' END AS severity,
+ CASE WHEN stacked_authors >= 1 AND (authors >= 3 OR stacked_authors >= 2) THEN CASE WHEN stacked_authors >= 2 OR authors >= 4 THEN 'medium' ELSE 'low' END END AS stacking_severity FROM ra""",
+    ),
+)
 def t9(spark, sf_dir):
     return S.authorship(X.papers(spark, sf_dir))
 
