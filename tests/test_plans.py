@@ -84,3 +84,36 @@ def test_group_values_reach_every_row(spark):
     df = spark.range(50).select(F.lit("h").alias("k"), (F.col("id") % 5).alias("_chunk"), "id")
     out = R.attach_group_values(df, spark.createDataFrame([("h", 7)], "k string, m int"), ["k"])
     assert out.count() == 50 and out.filter("m = 7").count() == 50
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(38,10)"])
+def test_narrow_columns_are_split_at_quantiles(spark, kind):
+    """Values of one magnitude bucket, skewed inside it, are ranked in small parts and equal sorted order."""
+    rng = random.Random(8)
+    values = [1000 + round(rng.random() ** 6, 6) for _ in range(3000)] + [1000.5] * 500 + [float(v) for v in range(-40, 40)]
+    rows = [(g, v) for g in ("a", "b") for v in values]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("v", F.col("v").cast(kind))
+    dist = R.value_distribution(df, ["k"], "v", full=100)
+    got = sorted((float(r.v), r.cnt, r.before, float("nan") if r.prev is None else float(r.prev), r.n) for r in dist.filter("k = 'a'").collect())
+    ordered, distinct = sorted(values), sorted(set(values))
+    first = {}
+    for i, v in enumerate(ordered):
+        first.setdefault(v, i)
+    assert [g[0] for g in got] == distinct
+    assert [g[1] for g in got] == [values.count(v) for v in distinct]
+    assert [g[2] for g in got] == [first[v] for v in distinct]
+    assert [g[3] for g in got[1:]] == distinct[:-1]
+    assert {g[4] for g in got} == {len(values)}
+    sizes = dist.groupBy("k", "_bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= 100
+    assert len(sizes) > 64
+
+
+def test_a_million_values_in_one_power_of_two(spark):
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), (1024 + F.col("id") * 1e-6).alias("v"))
+    dist = R.value_distribution(df, ["k"], "v", full=1 << 14)
+    parts = dist.groupBy("_bucket").count().agg(F.max("count"), F.count(F.lit(1)), F.sum("count")).first()
+    assert parts[0] <= 1 << 14
+    assert parts[1] >= 64
+    assert parts[2] == 1_000_000
+    assert dist.filter(F.col("before") != F.round((F.col("v") - 1024) * 1e6)).count() == 0

@@ -14,8 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 ROW_CHUNK = 1 << 20
 BLOCK = 1 << 16
+#: Distinct values of one bucket above which it is split again, and the parts it is split into.
+FULL = 1 << 16
+PARTS = 128
 
 
 def with_positions(
@@ -82,22 +87,54 @@ def magnitude_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
 
 
+def _split_full(dist: DataFrame, keys: list[str], value: str, full: int) -> DataFrame:
+    """Split every bucket of more than ``full`` distinct values at its sampled quantiles, until none is left.
+
+    ``_bucket`` becomes the path of splits; paths rise with the value.  Quantiles are
+    mergeable summaries of the bucket's own values, so splits only decide balance.
+    """
+    group = [*keys, "_bucket"]
+    quantiles = [k / PARTS for k in range(1, PARTS)]
+    while True:
+        sizes = dist.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > full)
+        if sizes.isEmpty():
+            return dist
+        if dict(dist.dtypes)["_bucket"] == "bigint":
+            path = dist.withColumn("_bucket", F.array("_bucket"))
+            sizes = sizes.withColumn("_bucket", F.array("_bucket"))
+        else:
+            path = dist
+        chunked = path.withColumn("_chunk", F.pmod(F.xxhash64(value), F.lit(64)))
+        inside = attach_group_values(chunked, sizes, group)
+        splits = inside.groupBy(*group).agg(F.percentile_approx(value, quantiles, 1000).alias("_splits"))
+        chunks = inside.select(*group, "_chunk").distinct()
+        part = F.size(F.filter("_splits", lambda s: s < F.col(value))).cast("long")
+        dist = written(
+            chunked.join(chunks.join(splits, group), [*group, "_chunk"], "left")
+            .withColumn("_bucket", F.when(F.col("_splits").isNotNull(), F.array_append("_bucket", part)).otherwise(F.col("_bucket")))
+            .drop("_splits", "_chunk")
+        )
+
+
 def value_distribution(
-    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, full: int = FULL
 ) -> DataFrame:
     """One row per distinct value: count, ranks below it, previous value, group size.
 
     Equal values are merged before any shuffle on the group, so a constant hot
-    column is one row; distinct values are ranked bucket by bucket.
+    column is one row; distinct values are ranked bucket by bucket with cumulated
+    bucket totals.  Buckets are magnitudes; one that holds too many distinct values
+    (a long column in a narrow range) is split at quantiles of its values.
     """
     keys = list(keys)
     df = df.drop("_bucket") if value != "_bucket" else df
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    dist = (
+    dist = written(
         df.groupBy(*keys, value)
         .agg(amount.alias("cnt"))
         .withColumn("_bucket", magnitude_bucket(F.col(value)))
     )
+    dist = _split_full(dist, keys, value, full)
     per_key = W.partitionBy(*keys)
     by_bucket = per_key.orderBy("_bucket")
     buckets = (
