@@ -157,3 +157,13 @@ def test_blocks_pair_every_two_tables_once(spark):
     assert sorted(got) == [(a, b) for a in range(13) for b in range(a + 1, 13)]
     items = L.table_blocks(numeric).groupBy("_low", "_high", "pos").count().agg({"count": "max"}).first()[0]
     assert items <= 2 * L.TABLE_BLOCK
+
+
+def test_highlight_offsets_and_constant_grid_columns(spark):
+    rows = [(1, 1, r, c, str(v), "yellow" if r != 2 else None) for r in range(6) for c, v in enumerate((r * r, r * r + 5, r, r * r))]
+    marked = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, value string, fill string")
+    got = {(r.col_a, r.col_b, float(r.offset), r.n, r.severity) for r in A.highlight_offsets(marked).collect()}
+    assert got == {(0, 1, 5.0, 5, "medium"), (0, 3, 0.0, 5, "high"), (1, 3, -5.0, 5, "medium")}
+    cells = [(1, 0, r, 0, "7.10") for r in range(4)] + [(1, 0, r, 1, str(r)) for r in range(4)] + [(1, 0, r, 2, "3") for r in range(3)]
+    grid = spark.createDataFrame(cells, "doc_id long, page long, grid_row long, grid_col int, text string")
+    assert [tuple(r) for r in A.constant_grid_columns(grid).collect()] == [(1, 0, 1, 4, 7.1)]

@@ -10,6 +10,7 @@ from ..functions import numbers as N
 from ..model import schema_hash
 from ..plans import ranks as R
 from .columns import COLUMN, TABLE
+from .relations import fixed_offsets
 
 
 def column_profile(cells: DataFrame) -> DataFrame:
@@ -222,6 +223,26 @@ def highlight_checks(highlights: DataFrame) -> DataFrame:
     )
 
 
+def highlight_offsets(highlights: DataFrame) -> DataFrame:
+    """Two highlighted columns of a table with one fixed offset over at least three cells.
+
+    Cells pair by their position among the highlighted numbers of their column.
+    """
+    filled = highlights.filter("fill IS NOT NULL").withColumn("num", N.exact_decimal(F.col("value")))
+    column = [*TABLE, "col_idx"]
+    placed = R.with_positions(filled.filter("num IS NOT NULL"), column, "row_idx", chunk_size=1 << 44)
+    found = fixed_offsets(placed.withColumn("header", F.concat(F.lit("col_"), F.col("col_idx") + 1)))
+    return found.select(
+        "doc_id",
+        F.col("table_a").alias("table_id"),
+        "col_a",
+        "col_b",
+        "n",
+        "offset",
+        F.when(F.col("offset") == 0, "high").otherwise("medium").alias("severity"),
+    )
+
+
 # --------------------------------------------------------------------------- OCR grids
 
 
@@ -256,6 +277,17 @@ def grid_stats(grid: DataFrame) -> DataFrame:
     )
 
 
+def constant_grid_columns(grid: DataFrame) -> DataFrame:
+    """Columns of recovered grids with at least four numbers, all equal to six places."""
+    num = F.round(N.strict_number(F.col("text")), 6)
+    return (
+        grid.groupBy("doc_id", "page", (F.col("grid_col") + 1).alias("column"))
+        .agg(F.count(num).alias("n"), F.min(num).alias("value"), F.max(num).alias("_hi"))
+        .filter((F.col("n") >= 4) & (F.col("value") == F.col("_hi")))
+        .drop("_hi")
+    )
+
+
 # --------------------------------------------------------------------------- scores
 
 # Finding weights, higher for local-feature kinds.

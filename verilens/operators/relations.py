@@ -325,6 +325,18 @@ def _counted_offsets(kept: DataFrame, open_: DataFrame, across: bool) -> DataFra
     )
 
 
+def fixed_offsets(numeric: DataFrame, min_values: int = 3) -> DataFrame:
+    """Column pairs of a table whose values differ by one offset at every common position: (PAIR, n, offset)."""
+    pairs = _positional_pairs(numeric.filter(F.col("n") >= min_values), False)
+    return (
+        pairs.withColumn("diff", F.round(F.col("b") - F.col("a"), 6))
+        .groupBy(*PAIR)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("diff").alias("offset"), F.max("diff").alias("_hi"))
+        .filter((F.col("n") >= min_values) & (F.col("offset") == F.col("_hi")))
+        .drop("_hi")
+    )
+
+
 def pair_extents(
     numeric: DataFrame, named: DataFrame, *, across: bool = False, profile: Thresholds = Thresholds()
 ) -> DataFrame:

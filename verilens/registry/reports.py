@@ -186,6 +186,28 @@ def a26(spark, sf_dir):
     return A.highlight_checks(highlights(spark, sf_dir)).drop("col_idx")
 
 
+@add(
+    "a26_highlight_offsets",
+    with_sql(
+        HIGH,
+        "w AS (SELECT doc_id, table_id, 0 AS col, row_idx, v FROM h UNION ALL SELECT doc_id, table_id, 1, row_idx, v + CASE WHEN table_id % 3 = 0 THEN 4 WHEN table_id % 3 = 1 THEN 0 ELSE row_idx % 3 END FROM h)",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY table_id, col ORDER BY row_idx) AS pos FROM w)",
+        select="""SELECT a.doc_id, a.table_id, a.col AS col_a, b.col AS col_b, count(*) AS n, min(b.v - a.v)::DOUBLE AS "offset",
+ CASE WHEN min(b.v - a.v) = 0 THEN 'high' ELSE 'medium' END AS severity FROM o a JOIN o b ON a.table_id = b.table_id AND a.doc_id = b.doc_id AND a.col < b.col AND a.pos = b.pos
+ GROUP BY ALL HAVING count(*) >= 3 AND min(b.v - a.v) = max(b.v - a.v)""",
+    ),
+)
+def a26_offsets(spark, sf_dir):
+    first = highlights(spark, sf_dir)
+    table = F.col("table_id") % 3
+    moved = F.when(table == 0, 4).when(table == 1, 0).otherwise(F.col("row_idx") % 3)
+    second = first.withColumns(
+        {"col_idx": F.lit(1), "value": (F.col("value").cast("long") + moved).cast("string")}
+    )
+    found = A.highlight_offsets(first.unionByName(second))
+    return found.withColumn("offset", F.col("offset").cast("double"))
+
+
 def detections(spark, sf_dir):
     """Words of event rows as OCR detections, one page per user and day hour."""
     e = F.col("event_id")
@@ -213,11 +235,38 @@ def a31(spark, sf_dir):
     return grid.groupBy("doc_id", "page", "grid_row").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@add("a30_grid_stats")
+GRID = (
+    "d AS (SELECT user_id AS doc_id, event_id // 2000 AS page, (event_id % 7) * 50.0 AS x, (event_id // 10) * 5.0 + event_id % 3 AS y, event_id FROM events)",
+    "j AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y, x) > 12 THEN 1 ELSE 0 END AS jump FROM d)",
+    "g AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id, page ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS grid_row FROM j)",
+    "k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, grid_row ORDER BY x) AS col FROM g)",
+)
+
+
+@add(
+    "a30_grid_stats",
+    with_sql(
+        *GRID,
+        "t AS (SELECT doc_id, page, count(*) AS cells, count(*) FILTER (event_id % 4 <> 0) AS numeric_cells, max(grid_row)::BIGINT + 1 AS rows, max(col)::INT AS cols FROM k GROUP BY ALL)",
+        select="SELECT *, rows >= 3 AND cols >= 2 AND numeric_cells / cells >= 0.3 AS table_like FROM t",
+    ),
+)
 def a30(spark, sf_dir):
     return A.grid_stats(A.ocr_grid(detections(spark, sf_dir)))
 
 
+@add(
+    "a30_constant_columns",
+    with_sql(
+        *GRID,
+        select='SELECT doc_id, page, col::INT AS "column", count(*) AS n, 4.5::DOUBLE AS "value" FROM k WHERE doc_id % 3 = 0 GROUP BY ALL HAVING count(*) >= 4',
+    ),
+)
+def a30_constant(spark, sf_dir):
+    text = F.when(F.col("doc_id") % 3 == 0, "4.50").otherwise(F.col("event_id").cast("string"))
+    return A.constant_grid_columns(A.ocr_grid(detections(spark, sf_dir).withColumn("text", text)))
+
+
 @add(
     "a29_forensics_score",
     with_sql(
