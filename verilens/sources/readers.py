@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import sys
 from collections.abc import Callable
 
@@ -13,66 +14,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import FINDINGS, short_id
+from . import records
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 csv.field_size_limit(sys.maxsize)
 
-DELIMITERS = (",", ";", "\t", "|")
 DATA_EXTENSIONS = ("csv", "tsv", "json", "jsonl", "parquet")
 
 
 def infer_delimiters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Most frequent delimiter of each file, from its first block (S2): (path, delimiter)."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        "value",
-    )
-    counts = F.array(
-        *[
-            F.struct(
-                (F.length("value") - F.length(F.replace("value", F.lit(d)))).alias("c"),
-                F.lit(-i).alias("order"),
-                F.lit(d).alias("d"),
-            )
-            for i, d in enumerate(DELIMITERS)
-        ]
-    )
-    per_line = lines.filter("block = 0 AND trim(value) <> ''").select("path", F.explode(counts).alias("x"))
-    totals = per_line.groupBy("path", "x.d", "x.order").agg(F.sum("x.c").alias("c"))
-    best = totals.groupBy("path").agg(F.max(F.struct("c", "order", "d")).alias("b"))
-    return best.select(
-        "path", F.when(F.col("b.c") > 0, F.col("b.d")).otherwise(F.lit(",")).alias("delimiter")
-    )
+    """Delimiter of each file, decided by its start (S2): (path, delimiter)."""
+    return records.scan_blocks(spark, paths).filter("block = 0").select("path", "delimiter")
 
 
-def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: DataFrame | str = ",") -> DataFrame:
+def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: DataFrame | str | None = ",") -> DataFrame:
     """All-string cells of delimited files of any width; blank rows dropped, ragged rows kept.
 
-    ``delimiters`` is one for all files or a table (path, delimiter).  The first row
-    of a file gives the headers; ``row_idx`` orders rows inside a file: the start of
-    the line's block plus its place in the block, so it does not depend on how files
-    are dealt out to tasks.
+    ``delimiters`` is one for all files, a table (path, delimiter), or None to decide by
+    the start of each file.  The first row of a file gives the headers, cells and headers
+    are trimmed, empty ones have no row.  Quoted fields may hold line breaks, also across
+    blocks; ``row_idx`` orders rows inside a file.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_id"),
-        "value",
-    )
-    blocks = lines.groupBy("path", "block").agg(F.min("_id").alias("_first"))
-    placed = lines.join(blocks, ["path", "block"])
-    if isinstance(delimiters, str):
-        placed = placed.withColumn("delimiter", F.lit(delimiters))
-    else:
-        placed = placed.join(delimiters, "path")
-    rows = placed.select(
-        "path",
-        (F.col("block") + F.col("_id") - F.col("_first")).alias("row_idx"),
-        _fields("value", "delimiter").alias("values"),
-    )
-    filled = rows.filter(F.exists("values", lambda v: F.coalesce(F.trim(v), F.lit("")) != ""))
-    heads = filled.groupBy("path").agg(F.min("row_idx").alias("head_row"), F.min_by("values", "row_idx").alias("headers"))
+    found = records.read_records(spark, paths, delimiters)
+    rows = found.select("path", "row_idx", _fields("record", "delimiter").alias("values"))
+    filled = rows.filter(F.exists("values", lambda v: v.isNotNull()))
+    heads = rows.groupBy("path").agg(F.min("row_idx").alias("head_row"), F.min_by("values", "row_idx").alias("headers"))
     cells = filled.join(heads, "path").filter("row_idx > head_row").select(
         "path", "row_idx", "headers", F.posexplode("values").alias("col_idx", "text")
     )
@@ -90,18 +56,18 @@ def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: Data
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _fields(lines: pd.Series, delimiters: pd.Series) -> pd.Series:
-    """Fields of single lines, quotes respected; empty fields are null."""
+def _fields(found: pd.Series, delimiters: pd.Series) -> pd.Series:
+    """Trimmed fields of single records, quotes respected; empty fields are null."""
     out = []
-    for line, delimiter in zip(lines, delimiters, strict=True):
-        fields = next(csv.reader([line], delimiter=delimiter), [])
-        out.append([f if f else None for f in fields])
+    for record, delimiter in zip(found, delimiters, strict=True):
+        fields = next(csv.reader(io.StringIO(record), delimiter=delimiter), [])
+        out.append([f.strip() or None for f in fields])
     return pd.Series(out, dtype=object)
 
 
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cells of all files, each read with its own delimiter (S1 with S2)."""
-    return read_csv_cells(spark, paths, infer_delimiters(spark, paths))
+    return read_csv_cells(spark, paths, None)
 
 
 def read_json_tables(spark: SparkSession, paths: str | list[str]) -> DataFrame:
