@@ -126,8 +126,11 @@ def test_screening_matches_before_append(spark, tmp_path):
         images = spark.readStream.schema(schema).parquet(str(folder))
         pipelines.screen_images(images, str(tmp_path / "index"), str(tmp_path / "hits"), str(tmp_path / "cp")).awaitTermination(120)
     hits = spark.read.parquet(str(tmp_path / "hits")).collect()
-    assert [(h.doc_id, h.matched_paper, h.distance) for h in hits] == [(2, 1, 1)]
-    assert spark.read.parquet(str(tmp_path / "index")).count() == 3
+    # the papers of the second batch meet the index and each other
+    assert {(h.doc_id, h.matched_paper, h.distance) for h in hits} == {(2, 1, 1), (1, 2, 1)}
+    edges = spark.read.parquet(str(tmp_path / "hits_edges")).filter("batch_id = 1").collect()
+    assert {(e.hash_a, e.paper_id, e.distance) for e in edges} == {(254, 1, 1), (254, 2, 0), (255, 1, 0), (255, 2, 1)}
+    assert spark.read.parquet(str(tmp_path / "index" / "papers")).count() == 3
 
 
 def test_state_expires_and_late_rows_are_left(spark, tmp_path):

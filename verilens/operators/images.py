@@ -299,8 +299,12 @@ def cross_paper_matches(
     ``index(paper_id, phash)``.  ``hits`` counts the ``limit`` nearest other papers,
     ``papers`` all of them; the edges list them all.
     """
+    return nearest_papers(images, cross_paper_edges(images, index, radius), limit)
+
+
+def nearest_papers(images: DataFrame, papers: DataFrame, limit: int = 8) -> DataFrame:
+    """Ranking of the other papers near each image over ``papers(hash_a, paper_id, distance)``."""
     usable = images.filter((F.col("width") >= 64) & (F.col("height") >= 64) & F.col("phash").isNotNull())
-    papers = cross_paper_edges(images, index, radius)
     # One query hash may sit in every paper: keep only the nearest of each part before ranking.
     part = F.pmod(F.xxhash64("paper_id"), F.lit(32))
     by_part = W.partitionBy("hash_a", "_part").orderBy("distance", "paper_id")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import image_graph as M
+from ..operators import fingerprint_index as I
 from ..operators import images as G
+from ..session import checkpoint_folder
 from . import corpus as X
 from .columns import rounded, with_sql
 
@@ -335,6 +339,29 @@ def j13_edges(spark, sf_dir):
     return edges.select(F.col("hash_a").alias("hash"), F.col("paper_id").alias("paper"), "distance")
 
 
+@add(
+    "r6_index_screening",
+    with_sql(
+        X.IMAGES_SQL,
+        "b AS (SELECT DISTINCT doc_id AS paper, doc_id % 2 AS batch, phash FROM images WHERE width >= 64 AND height >= 64)",
+        select="SELECT a.batch, a.phash AS hash, b.paper, min(bit_count(xor(a.phash, b.phash))) AS distance FROM (SELECT DISTINCT batch, phash FROM b) a "
+        "JOIN b ON b.batch <= a.batch AND bit_count(xor(a.phash, b.phash)) <= 6 GROUP BY ALL",
+    ),
+)
+def r6(spark, sf_dir):
+    """All images in two batches of papers: each meets the index of earlier batches and itself."""
+    images = X.images(spark, sf_dir)
+    path, out = f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}", None
+    for batch_id in (0, 1):
+        batch = images.filter(F.pmod("doc_id", F.lit(2)) == batch_id)
+        edges = I.batch_edges(batch, path, batch_id).select(
+            F.lit(batch_id).cast("long").alias("batch"), F.col("hash_a").alias("hash"), F.col("paper_id").alias("paper"), "distance"
+        )
+        out = edges if out is None else out.unionByName(edges)
+        I.append(batch, path, batch_id)
+    return out
+
+
 @add(
     "j14_file_reuse",
     with_sql(

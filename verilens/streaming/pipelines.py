@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.images import append_fingerprints, cross_paper_matches
+from ..operators import fingerprint_index
+from ..operators.images import append_fingerprints, nearest_papers
+from ..session import written
 
 
 def append_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -56,28 +58,26 @@ def sliding_counts(events: DataFrame, width: str = "60 seconds", step: str = "1
     )
 
 
-def screen_images(images: DataFrame, index_path: str, findings_path: str, checkpoint: str) -> StreamingQuery:
-    """Match new images to the fingerprint index, then add them to it.
+def screen_images(
+    images: DataFrame, index_path: str, findings_path: str, checkpoint: str, edges_path: str | None = None
+) -> StreamingQuery:
+    """Match new images to the fingerprint index and to each other, then add them to it.
 
-    A batch replayed after a failure writes its matches to the same folder and
-    is recognised in the index by its batch number.
+    Every near paper goes to ``edges_path`` (by default beside the findings) as
+    (hash_a, paper_id, distance), the ranking of the nearest ones to ``findings_path``.
+    A batch replayed after a failure writes to the same folders and is not matched to
+    what it added before, as only earlier batches of the index are read.
     """
+    edges_path = edges_path or f"{findings_path}_edges"
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            index = spark.read.parquet(index_path).filter(F.col("batch_id") < batch_id)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            index = None
-        if index is not None:
-            found = cross_paper_matches(batch, index)
-            found.write.mode("overwrite").parquet(f"{findings_path}/batch_id={batch_id}")
-        usable = batch.filter((F.col("width") >= 64) & (F.col("height") >= 64) & F.col("phash").isNotNull())
-        usable.select(
-            F.col("doc_id").alias("paper_id"), "page", "image_id", "phash"
-        ).write.mode("overwrite").parquet(f"{index_path}/batch_id={batch_id}")
+        rows = written(batch)
+        target = f"{edges_path}/batch_id={batch_id}"
+        edges = fingerprint_index.batch_edges(rows, index_path, batch_id)
+        edges.write.mode("overwrite").parquet(target)
+        near = batch.sparkSession.read.schema(edges.schema).parquet(target)
+        nearest_papers(rows, near).write.mode("overwrite").parquet(f"{findings_path}/batch_id={batch_id}")
+        fingerprint_index.append(rows, index_path, batch_id)
 
     return (
         images.writeStream.foreachBatch(one)
