@@ -48,17 +48,30 @@ def _slots(hash_: Column) -> Column:
     return F.array(*[band_slot(hash_, band) for band in range(len(BANDS))])
 
 
+def _parts(probing: bool) -> Column:
+    """For each band the groups of the other bits: mask, and the changes to enter (0: none)."""
+    table = []
+    for bits in BANDS:
+        groups = _cut([b for b in range(64) if b not in bits], GROUPS)
+        changes = [[0, *(_mask([b]) for b in part if probing)] for part in groups]
+        as_longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+        pairs = [(F.lit(_mask(part)).cast("long"), as_longs(own)) for part, own in zip(groups, changes, strict=True)]
+        table.append(F.array(*[F.struct(mask.alias("mask"), own.alias("changes")) for mask, own in pairs]))
+    return F.array(*table)
+
+
 def _rest(hash_: Column, probing: bool) -> Column:
     """Keys of the bits outside the slot's band, each with its one-bit changes if probing."""
-    band, choice = F.shiftright("slot", 10), None
-    for number, bits in enumerate(BANDS):
-        keys = []
-        for group, part in enumerate(_cut([b for b in range(64) if b not in bits], GROUPS)):
-            base = hash_.bitwiseAND(F.lit(_mask(part)).cast("long"))
-            changed = [base.bitwiseXOR(F.lit(_mask([b])).cast("long")) for b in part] if probing else []
-            keys += [F.struct(F.lit(group).alias("group"), k.alias("key")) for k in [base, *changed]]
-        choice = F.when(band == number, F.array(*keys)) if choice is None else choice.when(band == number, F.array(*keys))
-    return choice
+    parts = F.element_at(_parts(probing), F.shiftright("slot", 10) + 1)
+    return F.flatten(
+        F.transform(
+            parts,
+            lambda part, group: F.transform(
+                part["changes"],
+                lambda change: F.struct(group.alias("group"), hash_.bitwiseAND(part["mask"]).bitwiseXOR(change).alias("key")),
+            ),
+        )
+    )
 
 
 def usable(images: DataFrame) -> DataFrame:
