@@ -38,8 +38,9 @@ def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: Data
     found = records.read_records(spark, paths, delimiters)
     rows = found.select("path", "row_idx", _fields("record", "delimiter").alias("values"))
     filled = rows.filter(F.exists("values", lambda v: v.isNotNull()))
-    heads = rows.groupBy("path").agg(F.min("row_idx").alias("head_row"), F.min_by("values", "row_idx").alias("headers"))
-    cells = filled.join(heads, "path").filter("row_idx > head_row").select(
+    # The first record of a file starts at its line 0, so only its own lines are read for the headers.
+    heads = rows.filter("row_idx = 0").select("path", F.col("values").alias("headers"))
+    cells = filled.filter("row_idx > 0").join(heads, "path").select(
         "path", "row_idx", "headers", F.posexplode("values").alias("col_idx", "text")
     )
     return cells.filter("text IS NOT NULL").select(
