@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import FINDINGS, short_id
+from ..session import written
 from . import records
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,7 +40,8 @@ def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: Data
     rows = found.select("path", "row_idx", _fields("record", "delimiter").alias("values"))
     filled = rows.filter(F.exists("values", lambda v: v.isNotNull()))
     # The first record of a file starts at its line 0, so only its own lines are read for the headers.
-    heads = rows.filter("row_idx = 0").select("path", F.col("values").alias("headers"))
+    # Written, so that Spark knows how small they are: a join by path would shuffle a whole file to one task.
+    heads = written(rows.filter("row_idx = 0").select("path", F.col("values").alias("headers")))
     cells = filled.filter("row_idx > 0").join(heads, "path").select(
         "path", "row_idx", "headers", F.posexplode("values").alias("col_idx", "text")
     )
@@ -56,8 +58,7 @@ def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: Data
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _fields(found: pd.Series, delimiters: pd.Series) -> pd.Series:
+def _fields_of(found: pd.Series, delimiters: pd.Series) -> pd.Series:
     """Trimmed fields of single records, quotes respected; empty fields are null."""
     out = []
     for record, delimiter in zip(found, delimiters, strict=True):
@@ -66,6 +67,10 @@ def _fields(found: pd.Series, delimiters: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+#: Not deterministic for the optimizer only: it would parse every record once to filter and once more to project.
+_fields = F.pandas_udf(_fields_of, T.ArrayType(T.StringType())).asNondeterministic()
+
+
 def read_delimited(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Cells of all files, each read with its own delimiter (S1 with S2)."""
     return read_csv_cells(spark, paths, None)
