@@ -37,12 +37,13 @@ def read_csv_cells(spark: SparkSession, paths: str | list[str], delimiters: Data
     blocks; ``row_idx`` orders rows inside a file.
     """
     found = records.read_records(spark, paths, delimiters)
-    rows = found.select("path", "row_idx", _fields("record", "delimiter").alias("values"))
-    filled = rows.filter(F.exists("values", lambda v: v.isNotNull()))
+    # Chosen before parsing: the optimizer moves no filter past the parser.
+    rows = lambda kept: found.filter(kept).select("path", "row_idx", _fields("record", "delimiter").alias("values"))
+    filled = rows("row_idx > 0").filter(F.exists("values", lambda v: v.isNotNull()))
     # The first record of a file starts at its line 0, so only its own lines are read for the headers.
     # Written, so that Spark knows how small they are: a join by path would shuffle a whole file to one task.
-    heads = written(rows.filter("row_idx = 0").select("path", F.col("values").alias("headers")))
-    cells = filled.filter("row_idx > 0").join(heads, "path").select(
+    heads = written(rows("row_idx = 0").select("path", F.col("values").alias("headers")))
+    cells = filled.join(heads, "path").select(
         "path", "row_idx", "headers", F.posexplode("values").alias("col_idx", "text")
     )
     return cells.filter("text IS NOT NULL").select(
