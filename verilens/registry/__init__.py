@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("columns", "relations", "images", "findings", "text", "consistency", "reports", "screen", "sources")
+MODULES = ("columns", "relations", "images", "findings", "text", "consistency", "reports", "screen", "sources", "streams")
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 

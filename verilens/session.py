@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Keyed state with lists and timers needs this one.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "verilens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; callers may override any of them."""
     settings = {
@@ -16,6 +20,7 @@ def build_session(app: str = "verilens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         **conf,
     }
     builder = SparkSession.builder.appName(app)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import fingerprint_index
 from ..operators.images import append_fingerprints, nearest_papers
 from ..session import written
+from .limits import sequenced
 
 
 def append_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -24,6 +25,26 @@ def append_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def numbered_log(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Events of each trace, numbered without gaps, as Parquet by batch.
+
+    A batch replayed after a failure starts from the same counters and overwrites its
+    own folder, so that every event is there once and keeps its number.
+    ``events(trace_id, ts, event_id, ...)``.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        sequenced(events)
+        .writeStream.foreachBatch(one)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def live_counters(events: DataFrame) -> DataFrame:
     """Started, done, skipped and failed steps per trace, with progress."""
     of = lambda s: F.count_if(F.col("type") == s)
@@ -91,6 +112,7 @@ __all__ = [
     "append_fingerprints",
     "append_log",
     "live_counters",
+    "numbered_log",
     "screen_images",
     "sliding_counts",
     "windowed_stats",
