@@ -33,9 +33,12 @@ def s1(spark, sf_dir):
     docs.write.option("header", True).option("sep", ";").option("escape", '"').option("nullValue", "").csv(folder)
     cells = readers.read_delimited(spark, folder)
     of = lambda name: F.coalesce(F.max(F.when(F.col("header") == name, F.col("text"))), F.lit(""))
-    rows = cells.groupBy("table_id", "row_idx").agg(
-        of("doc_id").cast("long").alias("doc_id"), of("lang").alias("lang"), of("source").alias("source"), of("text").alias("text")
-    )
-    return rows.select(
-        "doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
-    )
+    text = lambda f: F.max(F.when(F.col("header") == "text", f))
+    # Texts are digested where they are parsed; rows are put together from the digests.
+    return cells.groupBy("table_id", "row_idx").agg(
+        of("doc_id").cast("long").alias("doc_id"),
+        of("lang").alias("lang"),
+        of("source").alias("source"),
+        F.coalesce(text(F.length("text").cast("long")), F.lit(0).cast("long")).alias("n_chars"),
+        F.coalesce(text(F.sha2("text", 256)), F.sha2(F.lit("").cast("binary"), 256)).alias("text_sha256"),
+    ).drop("table_id", "row_idx")
