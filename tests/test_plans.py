@@ -117,3 +117,15 @@ def test_a_million_values_in_one_power_of_two(spark):
     assert parts[1] >= 64
     assert parts[2] == 1_000_000
     assert dist.filter(F.col("before") != F.round((F.col("v") - 1024) * 1e6)).count() == 0
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    hashes = spark.range(300).selectExpr("id * 1234567 AS hash")
+    plan = hash_pairs(hashes, None, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_positions_do_not_broadcast_cells(spark):
+    df = spark.range(50).selectExpr("1 AS k", "id AS o")
+    plan = R.with_positions(df, ["k"], "o")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

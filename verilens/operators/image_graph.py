@@ -105,7 +105,8 @@ def met(left: DataFrame, right: DataFrame | None, radius: int, scope: list[str])
     )
     near = hash_pairs(one, None if right is None else two, radius, scope=scope).select(*scope, "hash_a", "hash_b", "distance")
     same = both(one) if right is None else both(one.join(two, [*scope, "hash"], "left_semi"))
-    side = lambda df, s: df.select(*scope, F.col("hash").alias(f"hash_{s}"), F.col("side").alias(s))
+    # Sides hold exploded parts and arrays, which size estimates leave out: they are merged, not broadcast.
+    side = lambda df, s: df.select(*scope, F.col("hash").alias(f"hash_{s}"), F.col("side").alias(s)).hint("merge")
     return (
         near.filter("hash_a <> hash_b")
         .unionByName(same)

@@ -124,7 +124,8 @@ def hash_pairs(
         ka, kb = _split_hot(ka, kb, hot, scope, radius)
         keys += ["_band2", "_key2"]
     distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    met = ka.join(kb, keys)
+    # Many keys per hash: sizes known before planning are those of the hashes, far too small for a broadcast.
+    met = ka.hint("merge").join(kb.hint("merge"), keys)
     if own:
         met = met.filter(F.col("hash_a") < F.col("hash_b"))
     return (

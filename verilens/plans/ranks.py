@@ -49,13 +49,24 @@ def with_positions(
     )
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
     ranked = chunked.withColumn("_rn", F.row_number().over(inside))
+    # Both sides lie by the window's keys; rows behind an explode are too many for the broadcast their estimate allows.
     return (
-        ranked.join(offsets, [*keys, "_chunk"])
+        ranked.hint("merge")
+        .join(offsets, [*keys, "_chunk"])
         .withColumn(pos, F.col("_offset") + F.col("_rn") - 1)
         .drop("_rn", "_offset")
     )
 
 
+def gathered(df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Deal out whole blocks of positions, with ``_block``.
+
+    What is then grouped by (keys, ``_block``, position) stays in its task, and sums
+    per group leave it as one row per block, however many tasks there are.
+    """
+    return df.withColumn("_block", F.floor(F.col(pos) / F.lit(block))).repartition(*keys, "_block")
+
+
 def haloed(df: DataFrame, pos: str, width: int, block: int = BLOCK) -> DataFrame:
     """Copy the last ``width`` rows of each block of positions into the next block.
 
