@@ -79,3 +79,9 @@ def test_empty_and_unusable_batches(spark, tmp_path):
     index.append(nothing, path, 0)
     one = spark.createDataFrame([(3, 0, 3, 5, 64, 64)], SCHEMA)
     assert [tuple(r) for r in index.batch_edges(one, path, 1).collect()] == [(5, 3, 0)]
+
+
+def test_index_keys_are_not_broadcast(spark):
+    banded = index.banded(spark.range(40).selectExpr("id * 7919 AS phash"))
+    plan = index.near_hashes(banded, banded)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

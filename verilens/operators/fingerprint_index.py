@@ -126,7 +126,8 @@ def near_hashes(asked: DataFrame, stored: DataFrame, radius: int = RADIUS) -> Da
         keys = F.explode(_rest(F.col("phash"), probing)).alias("k")
         return table.select("slot", F.col("phash").alias(name), keys).select("slot", name, "k.group", "k.key")
 
-    met = keyed(asked, "hash_a", True).join(keyed(stored, "hash_b", False), ["slot", "group", "key"])
+    # Planned by the size of the hashes, not of their keys, either side would be broadcast.
+    met = keyed(asked, "hash_a", True).hint("merge").join(keyed(stored, "hash_b", False).hint("merge"), ["slot", "group", "key"])
     distance = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
     return met.select("hash_a", "hash_b", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
 
