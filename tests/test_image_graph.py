@@ -165,3 +165,11 @@ def test_pages_equal_plain_pairs(spark):
                     got[r.doc_id, r.algo, min(p, q), max(p, q)] = (r.distance, r.primary)
     assert got == wanted
     assert total == len(wanted)
+
+
+def test_classes_of_one_hash_match_once(spark):
+    images = spark.createDataFrame(
+        [(1, 1, 77, 1, 5), (1, 2, 77, 2, 6)], "doc_id long, image_id long, phash long, ahash long, dhash long"
+    )
+    found = M.classes(M.signatures(images))
+    assert [(r.class_a, r.class_b, r.pairs) for r in M.primary_classes(found, images).collect()] == [(1, 2, 1)]

@@ -206,7 +206,8 @@ def primary_classes(found: DataFrame, images: DataFrame) -> DataFrame:
         F.least("a.phash", "b.phash").alias("low"),
         F.greatest("a.phash", "b.phash").alias("high"),
     )
-    severities = hashes.join(rated.distinct(), ["doc_id", "low", "high"]).select("doc_id", "class_a", "class_b", "rated")
+    # two classes of one hash meet both ways round
+    severities = hashes.distinct().join(rated.distinct(), ["doc_id", "low", "high"]).select("doc_id", "class_a", "class_b", "rated")
     matched = _matches(pairs, None).join(severities, ["doc_id", "class_a", "class_b"])
     return matched.withColumn("severity", F.col("rated")).drop("rated")
 
