@@ -173,3 +173,12 @@ def test_classes_of_one_hash_match_once(spark):
     )
     found = M.classes(M.signatures(images))
     assert [(r.class_a, r.class_b, r.pairs) for r in M.primary_classes(found, images).collect()] == [(1, 2, 1)]
+
+
+def test_pixels_are_cut_in_floats(spark, tmp_path):
+    from verilens.registry import corpus
+
+    edge = -1e-9  # adds up to 4 in floats only
+    schema = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame([(0, [edge] * 64, 0)], schema).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert corpus.images(spark, str(tmp_path)).first().pixels == [128] * 64
