@@ -113,3 +113,8 @@ def test_debit_and_grimmer(spark):
     ).first()
     assert row.good.consistent and not row.bad.consistent
     assert row.wild is False and row.fine is True
+
+
+def test_plain_names_start_behind_accented_letters(spark):
+    df = spark.createDataFrame([("ÉONLE POUR, Anna Berg",)], "text string")
+    assert df.select(T.plain_authors(F.col("text"))).first()[0] == 2
