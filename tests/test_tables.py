@@ -1,6 +1,10 @@
+import functools
 import itertools
 import random
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from verilens.operators import audit as A
 from verilens.operators import columns as C
 from verilens.operators import relations as L
@@ -167,3 +171,33 @@ def test_highlight_offsets_and_constant_grid_columns(spark):
     cells = [(1, 0, r, 0, "7.10") for r in range(4)] + [(1, 0, r, 1, str(r)) for r in range(4)] + [(1, 0, r, 2, "3") for r in range(3)]
     grid = spark.createDataFrame(cells, "doc_id long, page long, grid_row long, grid_col int, text string")
     assert [tuple(r) for r in A.constant_grid_columns(grid).collect()] == [(1, 0, 1, 4, 7.1)]
+
+
+def test_pairs_of_a_table_stay_in_one_task(spark):
+    tables = [table(spark, {c: list(range(40)) for c in "abc"}, table_id=t, doc_id=t // 2) for t in range(4)]
+    numeric = C.decimal_cells(functools.reduce(DataFrame.unionByName, tables))
+    texts = L.text_cells(functools.reduce(DataFrame.unionByName, tables))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for across in (False, True):
+            pairs = L._positional_pairs(numeric, across).select("table_a", "table_b", F.spark_partition_id().alias("p")).collect()
+            assert len({(r.table_a, r.table_b, r.p) for r in pairs}) == len({(r.table_a, r.table_b) for r in pairs}) > 0
+        tails = L._tail_rows(texts, ["doc_id", "table_id"]).select("table_id", F.spark_partition_id().alias("p")).collect()
+        assert len({(r.table_id, r.p) for r in tails}) == 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_profiles_of_columns_longer_than_a_block(spark, monkeypatch):
+    rng = random.Random(9)
+    values = lambda n: [rng.choice([1, 2, 2, 5, 7.5]) for _ in range(n)]
+    numeric = C.decimal_cells(table(spark, {"a": values(10), "b": values(40), "c": values(40)}))
+    want = {tuple(r) for r in L.pair_profile(numeric).collect()}
+    monkeypatch.setattr(L.R, "BLOCK", 16)
+    assert {tuple(r) for r in L.pair_profile(numeric).collect()} == want and len(want) == 3
+
+
+def test_profiles_shuffle_no_differences_of_short_columns(spark):
+    numeric = C.decimal_cells(table(spark, {c: list(range(20)) for c in "abc"}))
+    plan = L.pair_profile(numeric)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -58,13 +58,17 @@ def with_positions(
     )
 
 
-def gathered(df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK) -> DataFrame:
+def gathered(
+    df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK, parts: int | None = None
+) -> DataFrame:
     """Deal out whole blocks of positions, with ``_block``.
 
     What is then grouped by (keys, ``_block``, position) stays in its task, and sums
-    per group leave it as one row per block, however many tasks there are.
+    per group leave it as one row per block, however many tasks there are.  ``parts``
+    keeps tasks small where they hold much more than their rows.
     """
-    return df.withColumn("_block", F.floor(F.col(pos) / F.lit(block))).repartition(*keys, "_block")
+    blocks = df.withColumn("_block", F.floor(F.col(pos) / F.lit(block)))
+    return blocks.repartition(*([parts] if parts else []), *keys, "_block")
 
 
 def haloed(df: DataFrame, pos: str, width: int, block: int = BLOCK) -> DataFrame:
