@@ -118,3 +118,15 @@ def test_debit_and_grimmer(spark):
 def test_plain_names_start_behind_accented_letters(spark):
     df = spark.createDataFrame([("ÉONLE POUR, Anna Berg",)], "text string")
     assert df.select(T.plain_authors(F.col("text"))).first()[0] == 2
+
+
+def test_contexts_are_sought_only_where_statements_stand(spark):
+    docs = spark.createDataFrame(
+        [(1, "Funding: none.\nNo conflicts. " + "x" * 40 + " funded by us"), (2, "plain"), (3, None)], "doc_id long, text string"
+    )
+    found = {(r.doc_id, r.category): (r.present, r.contexts) for r in T.compliance(docs).collect()}
+    assert found[1, "funding"] == (True, 2) and found[1, "conflict_of_interest"] == (True, 1)
+    assert found[2, "funding"] == (False, 0) and found[3, "funding"][0] is None
+    missing = T.missing_statements(docs)
+    assert {r.doc_id: len(r.missing) for r in missing.collect()} == {1: 3, 2: 5}
+    assert "regexp_extract_all" not in missing._jdf.queryExecution().optimizedPlan().toString()
