@@ -201,3 +201,30 @@ def test_profiles_shuffle_no_differences_of_short_columns(spark):
     numeric = C.decimal_cells(table(spark, {c: list(range(20)) for c in "abc"}))
     plan = L.pair_profile(numeric)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_that_lie_together_pair_like_others(spark):
+    """Firm tables are put together without a shuffle of their own; gaps shift columns over chunks in loose ones."""
+    rng = random.Random(5)
+    rows = []
+    for t in range(6):
+        for r in range(40):
+            for c in range(4):
+                gap = t >= 3 and c == t - 3 and r < 9
+                rows.append((t // 3, t, r, c, f"h{c}", "" if gap else f"{rng.randrange(9) + (c == 3) * 2}.25"))
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    plain = C.decimal_cells(cells, chunk_size=8)
+    dealt = C.decimal_cells(cells, chunk_size=8, together=True)
+    columns = ["doc_id", "table_id", "row_idx", "col_idx", "header", "text", "num", "pos", "n"]
+    assert sorted(map(str, dealt.select(*columns).collect())) == sorted(map(str, plain.select(*columns).collect()))
+    assert {r.table_id for r in dealt.filter("_loose").select("table_id").distinct().collect()} == {3, 4, 5}
+    packed = dealt.groupBy("doc_id", "table_id", "_chunk", "_loose", "pos").agg(F.collect_list("num"))
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and ", pos" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    texts = [L.text_cells(cells, chunk_size=8, together=x) for x in (False, True)]
+    for across in (False, True):
+        for run in (L.pair_profile, L.pair_votes):
+            want, got = (sorted(map(str, run(x, across=across).collect())) for x in (plain, dealt))
+            assert got == want and want
+        want, got = (sorted(map(str, L.tail_findings(t, n, across=across).collect())) for t, n in zip(texts, (plain, dealt)))
+        assert got == want and want

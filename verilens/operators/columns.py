@@ -51,10 +51,15 @@ def decimal_cells(
     *,
     min_values: int = Thresholds().min_column,
     chunk_size: int = R.ROW_CHUNK,
+    together: bool = False,
 ) -> DataFrame:
-    """Exact-decimal cells with ``num`` DECIMAL(38,10), position and column size."""
+    """Exact-decimal cells with ``num`` DECIMAL(38,10), position and column size.
+
+    ``together`` deals out whole rows of a table, for operators that pair its columns.
+    """
     numeric = cells.withColumn("num", N.exact_decimal(F.col("text"))).filter("num IS NOT NULL")
-    return R.with_positions(numeric, COLUMN, "row_idx", chunk_size=chunk_size).filter(
+    deal = TABLE if together else ()
+    return R.with_positions(numeric, COLUMN, "row_idx", chunk_size=chunk_size, deal=deal).filter(
         F.col("n") >= min_values
     )
 

@@ -31,11 +31,15 @@ def with_positions(
     pos: str = "pos",
     total: str = "n",
     chunk_size: int = ROW_CHUNK,
+    deal: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 0-based position of each row in its group and the group size.
 
     ``order`` must be an integer column that is unique inside a group.  The
-    output keeps ``_chunk``, usable as a skew-free extra join key.
+    output keeps ``_chunk``, usable as a skew-free extra join key.  With ``deal``,
+    some of the keys, all groups of a chunk lie in one task (by ``deal`` and ``_chunk``),
+    and ``_loose`` tells whether positions of a chunk may go on in another one: its
+    groups begin at different positions.
     """
     keys = list(keys)
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_size)).cast("long"))
@@ -47,6 +51,8 @@ def with_positions(
         (F.sum("_cnt").over(per_key.orderBy("_chunk")) - F.col("_cnt")).alias("_offset"),
         F.sum("_cnt").over(per_key).alias(total),
     )
+    if deal:
+        return _dealt_positions(chunked, offsets, keys, order, pos, total, list(deal))
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
     ranked = chunked.withColumn("_rn", F.row_number().over(inside))
     # Both sides lie by the window's keys; rows behind an explode are too many for the broadcast their estimate allows.
@@ -58,6 +64,26 @@ def with_positions(
     )
 
 
+def _dealt_positions(
+    chunked: DataFrame, offsets: DataFrame, keys: list[str], order: str, pos: str, total: str, deal: list[str]
+) -> DataFrame:
+    """Positions where the offset of a chunk is the first row of its window, not a joined one."""
+    span = W.partitionBy(*deal, "_chunk")
+    uneven = F.max("_offset").over(span) > F.min("_offset").over(span)
+    heads = offsets.withColumn("_uneven", uneven).withColumn("_loose", F.max("_uneven").over(W.partitionBy(*deal)))
+    rows = chunked.unionByName(heads.drop("_uneven"), allowMissingColumns=True).repartition(*deal, "_chunk")
+    inside = W.partitionBy(*keys, "_chunk").orderBy(F.col(order).asc_nulls_first())
+    return (
+        rows.withColumn("_rn", F.row_number().over(inside))
+        .withColumn("_offset", F.first("_offset").over(inside))
+        .withColumn(total, F.first(total).over(inside))
+        .withColumn("_loose", F.first("_loose").over(inside))
+        .filter("_rn > 1")
+        .withColumn(pos, F.col("_offset") + F.col("_rn") - 2)
+        .drop("_rn", "_offset")
+    )
+
+
 def gathered(
     df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK, parts: int | None = None
 ) -> DataFrame:
