@@ -228,3 +228,13 @@ def test_rows_that_lie_together_pair_like_others(spark):
             assert got == want and want
         want, got = (sorted(map(str, L.tail_findings(t, n, across=across).collect())) for t, n in zip(texts, (plain, dealt)))
         assert got == want and want
+
+
+def test_digit_tests_parse_each_text_once(spark):
+    """Last digits do not repeat the parsing of a text for every scale, terminal digits are counted in one pass."""
+    cells = table(spark, {"a": [f"{i * 7 % 50}.{i % 10}5" for i in range(60)], "b": ["x", *range(59)]})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(C.round_bias(cells)).count("translate(") <= 8
+    assert plan(C.terminal_digit_tests(cells)).count("translate(") == 0
+    rows = {r.col_idx: r for r in C.round_bias(cells).collect()}
+    assert (rows[0].n, rows[0].c5, rows[1].n, rows[1].c0) == (60, 60, 59, 6)

@@ -13,6 +13,7 @@ from ..functions import kernels as K
 from ..functions import numbers as N
 from ..model import cap_severity
 from ..plans import ranks as R
+from ..session import written
 
 COLUMN = ["doc_id", "table_id", "col_idx", "header"]
 TABLE = ["doc_id", "table_id"]
@@ -236,9 +237,9 @@ def terminal_digit_tests(cells: DataFrame) -> DataFrame:
 
     Columns are grouped once; the pooled scope reuses the per-column counts.
     """
-    columns = digit_counts(cells)
-    size = columns.groupBy(*COLUMN).agg(F.sum("cnt").alias("texts"))
-    columns = columns.join(size.filter("texts >= 2"), COLUMN)
+    # A window, not a join, whose two sides would read and count the cells apart; read by both scopes' sums.
+    texts = F.sum("cnt").over(W.partitionBy(*COLUMN))
+    columns = written(digit_counts(cells).withColumn("texts", texts).filter("texts >= 2"))
     scoped = columns.withColumn(
         "scope", F.explode(F.array(F.lit("column"), F.lit("table")))
     ).select(
@@ -363,13 +364,13 @@ def terminal_digit_report(cells: DataFrame) -> DataFrame:
 
 def round_bias(cells: DataFrame, min_values: int = 10) -> DataFrame:
     """Last-digit histogram, 0/5 share and chi-square of float values."""
-    digit = N.last_integer_digit(N.coerce_number(F.col("text")))
+    # The number is a column of its own and nulls are left to the counts: a filter would parse each text many times.
+    numbers = cells.select(*COLUMN, N.coerce_number(F.col("text")).alias("num"))
     counts = (
-        cells.select(*COLUMN, digit.alias("digit"))
-        .filter("digit IS NOT NULL")
+        numbers.select(*COLUMN, N.last_integer_digit(F.col("num")).alias("digit"))
         .groupBy(*COLUMN)
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count("digit").alias("n"),
             *[F.count_if(F.col("digit") == d).alias(f"c{d}") for d in range(10)],
         )
         .filter(F.col("n") >= min_values)
