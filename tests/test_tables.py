@@ -230,6 +230,36 @@ def test_rows_that_lie_together_pair_like_others(spark):
         assert got == want and want
 
 
+def test_packed_rows_are_shuffled_whole_and_pair_like_cells(spark):
+    """Rows with their cells in ``items`` are not dealt out cell by cell; gaps, odd and missing texts change nothing."""
+    from pyspark.sql import functions as F
+
+    odd = ["", None, 'a"b\\', " 7.25\n", "\u2028{[1,2]}", "1e3", "-0.0000000001"]
+    rng = random.Random(6)
+    rows = []
+    for t in range(6):
+        for r in range(40):
+            for c in range(4):
+                gap = t >= 3 and c == t - 3 and r < 9
+                text = odd[(r + c) % len(odd)] if gap or t == 1 and r % 11 == 0 else f"{rng.randrange(9) + (c == 3) * 2}.25"
+                rows.append((t // 3, t, r, c, f"h{c}", text))
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    packed = cells.groupBy("doc_id", "table_id", "row_idx").agg(F.collect_list(F.struct("col_idx", "header", "text")).alias("items"))
+    packed = spark.createDataFrame(packed.collect(), packed.schema)
+    view = lambda df, *c: sorted(map(str, df.select("doc_id", "table_id", "row_idx", "col_idx", "header", "_loose", *c).collect()))
+    numbers = [C.decimal_cells(x, chunk_size=8, together=True) for x in (cells, packed)]
+    texts = [L.text_cells(x, chunk_size=8, together=True) for x in (cells, packed)]
+    assert view(numbers[0], "text", "num", "pos", "n") == view(numbers[1], "text", "num", "pos", "n")
+    assert view(texts[0], "text", "tpos", "tn") == view(texts[1], "text", "tpos", "tn")
+    for run in (lambda n, t: L.pair_profile(n), lambda n, t: L.pair_votes(n), lambda n, t: L.tail_findings(t, n)):
+        want, got = (sorted(map(str, run(n, t).collect())) for n, t in zip(numbers, texts))
+        assert got == want and want
+    # what is dealt out holds a text a row, not a row a cell
+    plan = numbers[1]._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(doc_id" in x and "REPARTITION" in x]
+    assert len(dealt) == 1 and plan.index("Generate explode(") < plan.index("REPARTITION_BY_COL")
+
+
 def test_digit_tests_parse_each_text_once(spark):
     """Last digits do not repeat the parsing of a text for every scale, terminal digits are counted in one pass."""
     cells = table(spark, {"a": [f"{i * 7 % 50}.{i % 10}5" for i in range(60)], "b": ["x", *range(59)]})

@@ -56,8 +56,16 @@ def decimal_cells(
 ) -> DataFrame:
     """Exact-decimal cells with ``num`` DECIMAL(38,10), position and column size.
 
-    ``together`` deals out whole rows of a table, for operators that pair its columns.
+    ``together`` deals out whole rows of a table, for operators that pair its columns; rows
+    may then come packed, their cells (col_idx, header, text) in ``items``.
     """
+    if "items" in cells.columns:
+
+        def numbers(single: DataFrame, always: Column = F.lit(False)) -> DataFrame:
+            return single.withColumn("num", N.exact_decimal(F.col("text"))).filter(F.col("num").isNotNull() | always)
+
+        placed = R.row_positions(cells, COLUMN, "row_idx", numbers, chunk_size=chunk_size, deal=TABLE)
+        return placed.filter(F.col("n") >= min_values)
     numeric = cells.withColumn("num", N.exact_decimal(F.col("text"))).filter("num IS NOT NULL")
     deal = TABLE if together else ()
     return R.with_positions(numeric, COLUMN, "row_idx", chunk_size=chunk_size, deal=deal).filter(

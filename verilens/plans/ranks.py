@@ -8,7 +8,7 @@ chunk totals are cumulated per column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,14 +43,7 @@ def with_positions(
     """
     keys = list(keys)
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_size)).cast("long"))
-    counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
-    per_key = W.partitionBy(*keys)
-    offsets = counts.select(
-        *keys,
-        "_chunk",
-        (F.sum("_cnt").over(per_key.orderBy("_chunk")) - F.col("_cnt")).alias("_offset"),
-        F.sum("_cnt").over(per_key).alias(total),
-    )
+    offsets = _offsets(chunked, keys, total)
     if deal:
         return _dealt_positions(chunked, offsets, keys, order, pos, total, list(deal))
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
@@ -64,14 +57,35 @@ def with_positions(
     )
 
 
+def _offsets(chunked: DataFrame, keys: list[str], total: str) -> DataFrame:
+    """How many rows of a group lie before each of its chunks, and in all of them."""
+    counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
+    per_key = W.partitionBy(*keys)
+    return counts.select(
+        *keys,
+        "_chunk",
+        (F.sum("_cnt").over(per_key.orderBy("_chunk")) - F.col("_cnt")).alias("_offset"),
+        F.sum("_cnt").over(per_key).alias(total),
+    )
+
+
+def _heads(offsets: DataFrame, deal: list[str]) -> DataFrame:
+    """``offsets`` with ``_loose``: whether groups of a chunk begin at different positions."""
+    span = W.partitionBy(*deal, "_chunk")
+    uneven = F.max("_offset").over(span) > F.min("_offset").over(span)
+    heads = offsets.withColumn("_uneven", uneven).withColumn("_loose", F.max("_uneven").over(W.partitionBy(*deal)))
+    return heads.drop("_uneven")
+
+
 def _dealt_positions(
     chunked: DataFrame, offsets: DataFrame, keys: list[str], order: str, pos: str, total: str, deal: list[str]
 ) -> DataFrame:
     """Positions where the offset of a chunk is the first row of its window, not a joined one."""
-    span = W.partitionBy(*deal, "_chunk")
-    uneven = F.max("_offset").over(span) > F.min("_offset").over(span)
-    heads = offsets.withColumn("_uneven", uneven).withColumn("_loose", F.max("_uneven").over(W.partitionBy(*deal)))
-    rows = chunked.unionByName(heads.drop("_uneven"), allowMissingColumns=True).repartition(*deal, "_chunk")
+    rows = chunked.unionByName(_heads(offsets, deal), allowMissingColumns=True).repartition(*deal, "_chunk")
+    return _behind_heads(rows, keys, order, pos, total)
+
+
+def _behind_heads(rows: DataFrame, keys: list[str], order: str, pos: str, total: str) -> DataFrame:
     inside = W.partitionBy(*keys, "_chunk").orderBy(F.col(order).asc_nulls_first())
     return (
         rows.withColumn("_rn", F.row_number().over(inside))
@@ -84,6 +98,55 @@ def _dealt_positions(
     )
 
 
+def row_positions(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    cells_of: Callable[[DataFrame], DataFrame],
+    *,
+    deal: Sequence[str],
+    pos: str = "pos",
+    total: str = "n",
+    chunk_size: int = ROW_CHUNK,
+) -> DataFrame:
+    """``with_positions`` with ``deal`` for rows whose cells lie in ``items``, which are shuffled as they are.
+
+    ``items`` holds structs with the keys that are not in ``deal``.  ``cells_of`` takes
+    single cells and keeps those that count; it runs on either side of the shuffle.  Rows
+    are shuffled field by field, texts as one JSON string, which takes a fraction of what
+    as many structs do.  The offsets of a chunk travel as one more row of it.
+    """
+    keys, deal = list(keys), list(deal)
+    own = [k for k in keys if k not in deal]
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema["items"].dataType.elementType.fields}
+    texts = [f for f, kind in fields.items() if kind == "string" and f not in own]
+    chunked = rows.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_size)).cast("long"))
+    cells = cells_of(chunked.withColumn("_c", F.explode("items")).select(*deal, order, "_chunk", "_c.*"))
+    heads = _heads(_offsets(cells, keys, total), deal)
+    head = F.struct(*own, "_offset", total, "_loose")
+    packed = heads.groupBy(*deal, "_chunk").agg(F.collect_list(head).alias("_heads"))
+    whole = lambda f: F.to_json(F.col(f"items.{f}")) if f in texts else F.col(f"items.{f}")
+    dealt = (
+        chunked.select(*deal, order, "_chunk", *[whole(f).alias(f) for f in fields])
+        .unionByName(packed, allowMissingColumns=True)
+        .repartition(*deal, "_chunk")
+    )
+    parts = [F.from_json(f, "array<string>").alias(f) if f in texts else F.col(f) for f in fields]
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in heads.dtypes if c in ("_offset", total, "_loose")]
+    plain = F.transform(F.arrays_zip(*parts), lambda c: F.struct(*[c[f].alias(f) for f in fields], *nothing))
+    heading = F.transform(
+        "_heads",
+        lambda c: F.struct(
+            *[c[f].alias(f) if f in own else F.lit(None).cast(t).alias(f) for f, t in fields.items()],
+            *[c[f].alias(f) for f in ("_offset", total, "_loose")],
+        ),
+    )
+    single = dealt.select(
+        *deal, order, "_chunk", F.explode(F.when(F.col("_heads").isNull(), plain).otherwise(heading)).alias("_c")
+    ).select(*deal, order, "_chunk", "_c.*")
+    return _behind_heads(cells_of(single, F.col("_offset").isNotNull()), keys, order, pos, total)
+
+
 def gathered(
     df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK, parts: int | None = None
 ) -> DataFrame:
