@@ -241,6 +241,17 @@ def test_html_cases(spark):
     assert html_regions.extract(pages.limit(0)).count() == 0
 
 
+def test_whole_segments_are_counted_by_the_recurrence():
+    from verilens.llm.tokens import SegmentEncoder
+
+    library, counter = SegmentEncoder().ids, prefix_counts.PrefixCounter()
+    texts = [" unheardofword", "\n\n  don't", "    ", "a<|endoftext|><|endoftext|>b", "日本語のテキスト", "'re'll", "\U0001f600" * 9, "x" * 300]
+    for text in texts:
+        asked = len(counter.fits)
+        assert counter.total(text) == counter.segment(text)[-1] == len(library(text))
+        assert len(counter.fits) > asked or text == "    "
+
+
 def test_toxicity_generalises_to_held_out_rows(spark):
     rnd = random.Random(4)
     insults, words = ["gorbol", "gorbat", "gorbin", "snerv"], [f"w{rnd.randrange(10**9)}" for _ in range(3000)]

@@ -8,8 +8,8 @@ Counts are a recurrence over prefixes, so no prefix is encoded from its start:
   unique, it is the one that may stand behind the last token of what is in front
   of it, so count(prefix) = count(prefix without its last token) + 1.
 
-A document's table holds the first for every segment end; the second is filled in
-for a segment when a question falls into it and is kept.  Truncation ("longest
+A document's table holds the first for every segment end, where the second ends for
+that segment; the counts inside a segment are kept when a question falls into it.  Truncation ("longest
 prefix of at most k tokens") and budget questions are answered from the table by
 bisection; no text is encoded again.
 
@@ -35,12 +35,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import SEGMENT, SPACE, SegmentEncoder
+from .tokens import SEGMENT, SPACE
 
 LIMIT = 1024
 CACHED_SEGMENTS = 50_000
 CACHED_TOTALS = 1_500_000
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 300_000
 SPECIAL = "<|endoftext|>"
 PIECE = regex.compile(public_tokenizers.PATTERN)
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -56,7 +56,6 @@ class PrefixCounter:
         self.tables: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.totals: dict[str, int] = {}
-        self.encode = SegmentEncoder().ids
         self.single_piece = tiktoken.Encoding(
             "pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={}
         )._encode_single_piece
@@ -138,19 +137,23 @@ class PrefixCounter:
         return out
 
     def total(self, text: str) -> int:
-        """Tokens of a whole segment."""
+        """Tokens of a whole segment: where the recurrence over its prefixes ends."""
         if len(self.totals) > CACHED_TOTALS:
             self.totals.clear()
-        self.totals[text] = n = len(self.encode(text))
+        self.totals[text] = n = self.counts(text)[-1]
         return n
 
     def segment(self, text: str) -> tuple[int, ...]:
         """Counts at every code point of a segment, from 0 to its end."""
         known = self.tables.get(text)
-        if known is not None:
-            return known
-        if len(self.tables) > CACHED_SEGMENTS:
-            self.tables.clear()
+        if known is None:
+            if len(self.tables) > CACHED_SEGMENTS:
+                self.tables.clear()
+            self.tables[text] = known = tuple(self.counts(text))
+        return known
+
+    def counts(self, text: str) -> list[int]:
+        """The same, not kept."""
         out, base = [0], 0
         *before, rest = text.split(SPECIAL)
         for chunk in before:  # up to its last character, a special string is ordinary text
@@ -158,9 +161,7 @@ class PrefixCounter:
             out += [base + n for n in counts[1:]]
             base += counts[len(chunk)] + 1
             out.append(base)
-        out += [base + n for n in self.ordinary(rest)[1:]]
-        self.tables[text] = known = tuple(out)
-        return known
+        return out + [base + n for n in self.ordinary(rest)[1:]]
 
 
 class Prefixes:
