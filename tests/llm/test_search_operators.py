@@ -155,6 +155,28 @@ def test_second_pass_finds_all(spark, monkeypatch):
     test_groups_match_brute_force(spark)
 
 
+def test_only_wanted_texts_are_shuffled(spark):
+    texts = spark.range(20_000).select((F.col("id") * 7 - 3_500).alias("_id"), F.lit("t").alias("text"))
+    wanted = texts.filter("_id % 35 = 0").select("_id").unionByName(spark.createDataFrame([(-(1 << 63),)], "_id long"))
+    kept = {r._id for r in lsh_forest.likely(texts, wanted).collect()}
+    need = {r._id for r in texts.join(wanted, "_id", "left_semi").collect()}
+    assert need <= kept and len(need) == 4_000 and len(kept) < 4_200
+    assert lsh_forest.likely(texts, wanted.limit(0)).count() == 0
+
+
+def test_text_batches_are_bounded_while_a_table_is_written(spark):
+    from verilens.llm import shared
+
+    before = spark.conf.get(shared.BATCH)
+
+    def sizes(batches):
+        for rows in batches:
+            yield rows.head(1).assign(id=len(rows))
+
+    made = shared.write_table(spark.range(0, 5_000, 1, 1).mapInPandas(sizes, "id long"), "sizes", shared.TEXT_ROWS)
+    assert [r.id for r in made.collect()] == [1_000] * 5 and spark.conf.get(shared.BATCH) == before
+
+
 def test_one_per_group(spark):
     text = phrase(random.Random(3), 60)
     rows = [(5, text), (5, text), (3, text + " end"), (None, text), (7, None), (7, None), (8, "a b c"), (None, "d e f")]

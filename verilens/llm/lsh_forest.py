@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.ranks import attach_group_values
-from .shared import write_table
+from .shared import TEXT_ROWS, write_table
 
 SHINGLE = 5
 #: Links have 100 * intersection >= SIMILAR * union.
@@ -65,7 +65,9 @@ BIN_BITS = 20
 #: Members of a shingle from which it is dealt out in blocks, and of a batch of found pairs.
 BLOCK = 4096
 FOUND = 200_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 200_000
+#: Bits of the filter that texts pass before they are shuffled to the ids that are wanted.
+FILTER_BITS = 1 << 22
 SALTS = 64
 
 _random = np.random.default_rng(SEED)
@@ -126,6 +128,7 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
         for rows in batches:
             for text in rows["text"]:
                 np.add.at(out, bins(shingles(text)), 1)
+        WORDS.clear()
         parts = out.reshape(-1, width)
         used = np.flatnonzero(parts.any(axis=1))
         yield pd.DataFrame({"part": used, "counts": [parts[k].tobytes() for k in used]})
@@ -170,6 +173,7 @@ def features(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             made.insert(0, "doc_id", rows["doc_id"].astype("Int64").array)
             made.insert(1, "row", rows["row"].array)
             yield made
+        WORDS.clear()  # workers live on for other steps
 
     texts = _texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     return texts.mapInPandas(
@@ -329,6 +333,19 @@ def prefix_candidates(made: DataFrame, nodes: DataFrame, known: DataFrame, count
     return pairs.distinct().join(name("a", "x"), "x").join(name("b", "y"), "y").select("a", "b")
 
 
+def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` without most of the rows whose ``_id`` is not in ``ids``, and with all others.
+
+    A bitmap of hashed ids, of bounded size, is looked up before any text is shuffled.
+    """
+    place = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    bitmap = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    marked = texts.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(bitmap), "_word")
+    return marked.filter(F.expr("(_bits & shiftleft(1L, _bit)) <> 0")).drop("_word", "_bit", "_bits")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes in ``wanted(node, doc_id)``, read from their documents."""
 
@@ -341,10 +358,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     "shingles": [s.view(np.int64) for s in sets],
                 }
             )
+        WORDS.clear()
 
     ids = wanted.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
     texts = _texts(docs).withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    found = texts.join(ids, "_id", "left_semi").select("text").mapInPandas(make, "node binary, shingles array<long>")
+    # a semi join would be pushed below the filter
+    found = likely(texts, ids).join(ids, "_id").select("text").mapInPandas(make, "node binary, shingles array<long>")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -403,21 +422,21 @@ def groups_of(docs: DataFrame, made: DataFrame, counts: np.ndarray) -> DataFrame
     named = nodes.select("node", "doc_id")
     pairs = write_table(plausible(candidates(nodes), nodes), "near-pairs")
     ends = write_table(ends_of(pairs), "near-ends")
-    sets = write_table(full_sets(docs, named.join(ends, "node")), "near-sets")
+    sets = write_table(full_sets(docs, named.join(ends, "node")), "near-sets", TEXT_ROWS)
     known = write_table(ends.select("node", F.col("node").alias("component")), "near-known")
     known = confirmed_groups(pairs, known, sets)
     # what the forest has left over; the estimate only tells which to ask first
     more = write_table(plausible(prefix_candidates(made, nodes, known, counts), nodes, 0.0), "near-more")
     new = write_table(ends_of(more).join(ends, "node", "left_anti"), "near-new-ends")
     known = known.unionByName(new.select("node", F.col("node").alias("component")))
-    sets = sets.unionByName(write_table(full_sets(docs, named.join(new, "node")), "near-new-sets"))
+    sets = sets.unionByName(write_table(full_sets(docs, named.join(new, "node")), "near-new-sets", TEXT_ROWS))
     return confirmed_groups(more, known, sets)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_shingles, component (null for an empty set) and component_id of every document."""
     counts = shingle_counts(docs)
-    made = write_table(features(docs, counts), "near-features")
+    made = write_table(features(docs, counts), "near-features", TEXT_ROWS)
     groups = groups_of(docs, made, counts)
     rows = made.select("doc_id", "row", "n_shingles", "node")
     members = rows.filter("node is not null").withColumn("_chunk", F.pmod(F.col("row"), F.lit(SALTS)))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import TEXT_ROWS, write_table
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True) -> Da
 
     With ``keep_ids`` each piece carries its token ids in ``ids``.
     """
-    made = write_table(pieces(docs, capacity, keep_ids), "pack-pieces")
+    made = write_table(pieces(docs, capacity, keep_ids), "pack-pieces", TEXT_ROWS)
     counts = write_table(
         made.groupBy("task", "length").agg((F.max("nth") + 1).alias("number")), "pack-counts"
     )

@@ -23,7 +23,7 @@ SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-CACHED_SEGMENTS = 1_000_000
+CACHED_SEGMENTS = 300_000
 
 
 class Irregular(Exception):
