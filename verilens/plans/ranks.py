@@ -147,6 +147,68 @@ def row_positions(
     return _behind_heads(cells_of(single, F.col("_offset").isNotNull()), keys, order, pos, total)
 
 
+def packed_positions(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    field: str,
+    value: Callable[[Column], Column],
+    *,
+    deal: Sequence[str],
+    pos: str = "pos",
+    total: str = "n",
+    chunk_size: int = ROW_CHUNK,
+) -> tuple[DataFrame, DataFrame | None]:
+    """Positions of packed rows: (rows with their cells in ``items``, the other rows or None).
+
+    ``items`` holds structs with the keys that are not in ``deal`` and ``text``; a cell
+    counts where ``value`` of its text, its ``field``, is not null.  Where all rows of a
+    group of ``deal`` have the same cells, once each, all of them have the position of their row: rows are
+    numbered as they are, their texts one JSON string, and their keys travel once a
+    chunk with its offset.  Rows of groups with gaps are given back, for ``row_positions``.
+    """
+    deal = list(deal)
+    own = [k for k in keys if k not in deal]
+    chunked = rows.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_size)).cast("long"))
+    texts = F.transform("items", lambda c: F.struct(*[c[k].alias(k) for k in own], c["text"].alias("text")))
+    counted = F.array_sort(F.filter(texts, lambda c: value(c["text"]).isNotNull()))
+    named = chunked.select(*deal, order, "_chunk", counted.alias("_cells")).filter(F.size("_cells") > 0)
+    sign = F.transform("_cells", lambda c: F.struct(*[c[k].alias(k) for k in own]))
+    signs = named.select(*deal, "_chunk", sign.alias("_sign")).groupBy(*deal, "_chunk", "_sign").agg(F.count(F.lit(1)).alias("_cnt"))
+    per = W.partitionBy(*deal)
+    several = F.min("_sign").over(per) < F.max("_sign").over(per)
+    marked = written(
+        signs.withColumn("_odd", F.max(F.size("_sign") > F.size(F.array_distinct("_sign"))).over(per) | several)
+    )
+    heads = marked.filter("NOT _odd").select(
+        *deal,
+        "_chunk",
+        (F.sum("_cnt").over(per.orderBy("_chunk")) - F.col("_cnt")).alias("_offset"),
+        F.sum("_cnt").over(per).alias(total),
+        "_sign",
+    )
+    odd = marked.filter("_odd")
+    packed = named.select(*deal, order, "_chunk", F.to_json("_cells.text").alias("_texts"))
+    dealt = packed.unionByName(heads, allowMissingColumns=True).repartition(*deal, "_chunk")
+    inside = W.partitionBy(*deal, "_chunk").orderBy(F.col(order).asc_nulls_first())
+    single = F.transform(
+        F.from_json("_texts", "array<string>"),
+        lambda t, i: F.struct(
+            *[F.get("_sign", i)[k].alias(k) for k in own], value(t).alias(field), F.col(total).alias(total)
+        ),
+    )
+    placed = (
+        dealt.withColumn("_rn", F.row_number().over(inside))
+        .select(*deal, "_texts", "_rn", *[F.first(c).over(inside).alias(c) for c in ("_offset", total, "_sign")])
+        .filter(F.col("_sign").isNotNull() & (F.col("_rn") > 1))
+        .withColumn(pos, F.col("_offset") + F.col("_rn") - 2)
+        .select(*deal, F.floor(F.col(pos) / F.lit(BLOCK)).alias("_block"), pos, single.alias("items"))
+    )
+    if odd.isEmpty():
+        return placed, None
+    return placed, rows.join(odd.select(*deal).distinct(), deal, "left_semi")
+
+
 def gathered(
     df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK, parts: int | None = None
 ) -> DataFrame:

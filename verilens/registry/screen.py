@@ -48,7 +48,7 @@ def table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw=("table_id", "n", "zero_entries"),
         ),
     ]
-    numeric = C.decimal_cells(X.packed_lines(spark, sf_dir), chunk_size=X.LINE_CHUNK, together=True)
+    numeric = L.number_rows(X.packed_lines(spark, sf_dir), chunk_size=X.LINE_CHUNK)
     pairs = L.pair_checks(L.pair_votes(numeric)).withColumns(
         {
             "table_id": F.col("table_a"),
