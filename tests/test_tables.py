@@ -361,3 +361,18 @@ def test_rows_across_tables_are_grouped_by_hashes(spark):
     assert [tuple(r) for r in out.collect()] == [(0, 3, 3, "high")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert all("cells" not in x for x in plan.splitlines() if x.strip(" +-:").startswith("Aggregate [doc_id"))
+
+
+def test_table_chunk_shuffles_rows_as_one_text(spark):
+    """Packed rows give the chunk of cells; odd and missing texts stay, rows behind the chunk are left out early."""
+    odd = ["", None, 'a"b\\', " 7.25\n", "[1,2]"]
+    rows = [(0, t, r << 42, c, f"h{c}", odd[(r + c) % 5]) for t in range(3) for r in range(20) for c in range(3)]
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    items = F.collect_list(F.struct("col_idx", "header", "text")).alias("items")
+    packed = cells.groupBy("doc_id", "table_id", "row_idx", F.expr("row_idx = 0 AND col_idx > 1").alias("part")).agg(items)
+    packed = spark.createDataFrame(packed.collect(), packed.schema).drop("part")  # the first row comes in two parts
+    got = {(r.table_id, r.pos): (r["values"], r.has_more) for r in A.table_chunk(packed, 5, 9).collect()}
+    assert got == {(t, p): ([odd[(p + c) % 5] for c in range(3)], True) for t in range(3) for p in range(5, 14)}
+    assert sorted(map(str, A.table_chunk(packed, 5, 9).collect())) == sorted(map(str, A.table_chunk(cells, 5, 9).collect()))
+    plan = A.table_chunk(packed.filter("row_idx > 0"), 5, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "collect_list" not in plan

@@ -10,7 +10,7 @@ from ..functions import numbers as N
 from ..model import schema_hash
 from ..plans import ranks as R
 from .columns import COLUMN, TABLE
-from .relations import fixed_offsets
+from .relations import fixed_offsets, whole_rows
 
 
 def column_profile(cells: DataFrame) -> DataFrame:
@@ -132,20 +132,24 @@ def read_table(cells: DataFrame, table_id: int, columns: list[int]) -> DataFrame
 def table_chunk(cells: DataFrame, offset: int, limit: int) -> DataFrame:
     """A chunk of rows of every table with ``has_more`` and the header hash.
 
-    Rows are numbered by distributed positions.
+    Rows are numbered by distributed positions; they may come packed, their cells in
+    ``items``.  A row is shuffled as one text.
     """
-    rows = (
-        cells.groupBy(*TABLE, "row_idx")
-        .agg(F.array_sort(F.collect_list(F.struct("col_idx", "header", "text"))).alias("c"))
-    )
-    placed = R.with_positions(rows, TABLE, "row_idx", chunk_size=1 << 44)
-    window = placed.filter((F.col("pos") >= offset) & (F.col("pos") < offset + limit))
-    return window.select(
+    cell = lambda c: F.struct(c["col_idx"].alias("col_idx"), c["header"].alias("header"), c["text"].alias("text"))
+    if "items" in cells.columns:
+        rows = whole_rows(cells).withColumn("c", F.array_sort(F.transform("items", cell)))
+    else:
+        rows = cells.groupBy(*TABLE, "row_idx").agg(
+            F.array_sort(F.collect_list(F.struct("col_idx", "header", "text"))).alias("c")
+        )
+    texts = rows.select(*TABLE, "row_idx", F.to_json("c.text").alias("_texts"), schema_hash(F.col("c.header")).alias("schema_hash"))
+    placed = R.with_positions(texts, TABLE, "row_idx", chunk_size=1 << 44, below=offset + limit)
+    return placed.filter(F.col("pos") >= offset).select(
         *TABLE,
         "pos",
-        F.transform("c", lambda s: s["text"]).alias("values"),
+        F.from_json("_texts", "array<string>").alias("values"),
         (F.col("n") > offset + limit).alias("has_more"),
-        schema_hash(F.transform("c", lambda s: s["header"])).alias("schema_hash"),
+        "schema_hash",
     )
 
 

@@ -32,6 +32,7 @@ def with_positions(
     total: str = "n",
     chunk_size: int = ROW_CHUNK,
     deal: Sequence[str] = (),
+    below: int | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in its group and the group size.
 
@@ -39,7 +40,8 @@ def with_positions(
     output keeps ``_chunk``, usable as a skew-free extra join key.  With ``deal``,
     some of the keys, all groups of a chunk lie in one task (by ``deal`` and ``_chunk``),
     and ``_loose`` tells whether positions of a chunk may go on in another one: its
-    groups begin at different positions.
+    groups begin at different positions.  Without ``deal``, positions may be asked for
+    ``below`` a number only; rows that cannot have one are then left out before the shuffle.
     """
     keys = list(keys)
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_size)).cast("long"))
@@ -48,12 +50,15 @@ def with_positions(
         return _dealt_positions(chunked, offsets, keys, order, pos, total, list(deal))
     inside = W.partitionBy(*keys, "_chunk").orderBy(order)
     ranked = chunked.withColumn("_rn", F.row_number().over(inside))
+    if below is not None:
+        ranked = ranked.filter(F.col("_rn") <= below)
     # Both sides lie by the window's keys; rows behind an explode are too many for the broadcast their estimate allows.
     return (
         ranked.hint("merge")
         .join(offsets, [*keys, "_chunk"])
         .withColumn(pos, F.col("_offset") + F.col("_rn") - 1)
         .drop("_rn", "_offset")
+        .filter(F.lit(True) if below is None else F.col(pos) < below)
     )
 
 

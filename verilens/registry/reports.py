@@ -90,7 +90,7 @@ def s9(spark, sf_dir):
     ),
 )
 def s10(spark, sf_dir):
-    return A.table_chunk(X.line_cells(spark, sf_dir, 4), 100, 50).drop("doc_id", "schema_hash")
+    return A.table_chunk(X.packed_lines(spark, sf_dir, 4), 100, 50).drop("doc_id", "schema_hash")
 
 
 def source_tables(spark, sf_dir):
