@@ -376,3 +376,17 @@ def test_table_chunk_shuffles_rows_as_one_text(spark):
     assert sorted(map(str, A.table_chunk(packed, 5, 9).collect())) == sorted(map(str, A.table_chunk(cells, 5, 9).collect()))
     plan = A.table_chunk(packed.filter("row_idx > 0"), 5, 9)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "collect_list" not in plan
+
+
+def test_values_of_packed_rows_are_counted_where_their_table_lies(spark, monkeypatch):
+    rows = [(0, t, r, c, f"h{c}", ["7", "x", f"{r % 3}.50", None][(c + (t > 1) * r // 9) % 4]) for t in range(3) for r in range(30) for c in range(4)]
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    packed = cells.groupBy("doc_id", "table_id", "row_idx").agg(F.collect_list(F.struct("col_idx", "header", "text")).alias("items"))
+    packed = spark.createDataFrame(packed.collect(), packed.schema)
+    view = lambda df: sorted(map(str, df.collect()))
+    want = view(C.repeated_values(C.decimal_values(cells)))
+    assert view(C.repeated_values(packed)) == want and want
+    plan = C.repeated_values(packed)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in x and "num" in x for x in plan.splitlines())
+    monkeypatch.setattr(C, "ROWS_OF_A_TASK", 20)
+    assert view(C.repeated_values(packed)) == want

@@ -18,6 +18,9 @@ from ..session import written
 COLUMN = ["doc_id", "table_id", "col_idx", "header"]
 TABLE = ["doc_id", "table_id"]
 
+#: Rows of one task that groups what its tables hold, and of the longest table that lies whole in one.
+ROWS_OF_A_TASK = 1 << 16
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -589,8 +592,23 @@ def outlier_profile(cells: DataFrame, min_values: int = 30) -> DataFrame:
 # --------------------------------------------------------------------------- repeats
 
 
+def _cells_of_texts(flat: DataFrame) -> DataFrame:
+    """Exact-decimal cells of rows with an array ``col_idx`` and JSON arrays ``header`` and ``text``."""
+    parts = ["col_idx", *[F.from_json(c, "array<string>").alias(c) for c in ("header", "text")]]
+    return decimal_values(flat.select(*TABLE, F.explode(F.arrays_zip(*parts)).alias("c")).select(*TABLE, "c.*"))
+
+
 def repeated_values(numeric: DataFrame, profile: Thresholds = Thresholds()) -> DataFrame:
-    """Zero variance, or one value fills most of a column."""
+    """Zero variance, or one value fills most of a column.
+
+    Rows may come packed, their cells in ``items``: values of a table that fits into a
+    task are then counted there, and each row is shuffled as one text.
+    """
+    if "items" in numeric.columns:
+        flat = numeric.select(*TABLE, "items.col_idx", F.to_json("items.header").alias("header"), F.to_json("items.text").alias("text"))
+        short, long = R.whole_groups(flat, TABLE, ROWS_OF_A_TASK)
+        found = repeated_values(_cells_of_texts(short), profile)
+        return found if long is None else found.unionByName(repeated_values(_cells_of_texts(long), profile))
     counts = numeric.groupBy(*COLUMN, "num").agg(F.count(F.lit(1)).alias("cnt"))
     per_column = counts.groupBy(*COLUMN).agg(
         F.sum("cnt").alias("n"),

@@ -214,6 +214,22 @@ def packed_positions(
     return placed, rows.join(odd.select(*deal).distinct(), deal, "left_semi")
 
 
+def whole_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most ``limit`` rows, whole groups in one task of about as many rows; the other rows or None).
+
+    What is then grouped by the keys and more stays in its task.  Columns of structs are
+    best given field by field, texts as one JSON string.
+    """
+    keys = list(keys)
+    sizes = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    over = sizes.agg(F.sum("_rows").alias("rows"), F.max("_rows").alias("longest")).first()
+    parts = max(2, (over.rows or 0) // limit + 1)
+    if (over.longest or 0) <= limit:
+        return rows.repartition(parts, *keys), None
+    long = sizes.filter(F.col("_rows") > limit).select(*keys)
+    return rows.join(long, keys, "left_anti").repartition(parts, *keys), rows.join(long, keys, "left_semi")
+
+
 def gathered(
     df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK, parts: int | None = None
 ) -> DataFrame:
