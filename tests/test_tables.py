@@ -390,3 +390,18 @@ def test_values_of_packed_rows_are_counted_where_their_table_lies(spark, monkeyp
     assert not any("Exchange" in x and "num" in x for x in plan.splitlines())
     monkeypatch.setattr(C, "ROWS_OF_A_TASK", 20)
     assert view(C.repeated_values(packed)) == want
+
+
+def test_table_audit_of_packed_rows_needs_one_pass(spark, monkeypatch):
+    rows = [(0, t, r, c, f"h{c}", ["7", "x", f"{r % 3}.50", None][(c + (t > 1) * r // 9) % 4]) for t in range(3) for r in range(30) for c in range(4)]
+    cells = spark.createDataFrame(rows, "doc_id long, table_id long, row_idx long, col_idx int, header string, text string")
+    packed = cells.groupBy("doc_id", "table_id", "row_idx").agg(F.collect_list(F.struct("col_idx", "header", "text")).alias("items"))
+    packed = spark.createDataFrame(packed.collect(), packed.schema)
+    view = lambda df: sorted(map(str, A.table_audit(df).collect()))
+    want = view(A.column_profile(cells))
+    profile = A.column_profile(packed, outliers=False)
+    assert view(profile) == want and want
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and sum("Exchange" in x for x in plan.splitlines()) == 1
+    monkeypatch.setattr(A, "ROWS_OF_A_TASK", 20)
+    assert view(A.column_profile(packed, outliers=False)) == want

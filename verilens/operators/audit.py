@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..model import schema_hash
 from ..plans import ranks as R
-from .columns import COLUMN, TABLE
+from .columns import COLUMN, ROWS_OF_A_TASK, TABLE, whole_tables
 from .relations import fixed_offsets, whole_rows
 
 
-def column_profile(cells: DataFrame) -> DataFrame:
+def column_profile(cells: DataFrame, *, outliers: bool = True) -> DataFrame:
     """Type, counts, range, mean and 3-sigma outliers of every column.
 
     Distinct values are counted after merging equal cells, so no group holds a
-    set; outliers need only the sums of the first pass.
+    set; outliers need only the sums of the first pass and may be left out.  Rows may
+    come packed, their cells in ``items``: tables that fit into a task are counted there.
     """
+    if "items" in cells.columns:
+        short, long = whole_tables(cells, ROWS_OF_A_TASK)
+        found = column_profile(short, outliers=outliers)
+        return found if long is None else found.unionByName(column_profile(long, outliers=outliers))
     text = F.trim(F.coalesce("text", F.lit("")))
     counts = (
         cells.select(*COLUMN, text.alias("t"))
@@ -52,6 +57,20 @@ def column_profile(cells: DataFrame) -> DataFrame:
         .otherwise("string")
     )
     stats = stats.withColumn("dtype", dtype)
+    n = F.col("count")
+    flags = F.array_compact(
+        F.array(
+            F.when(F.col("missing") / n > 0.05, F.lit("missing")),
+            F.when(F.col("duplicates") / n > 0.10, F.lit("duplicates")),
+            F.when(
+                F.col("max_value") - F.col("min_value") > F.greatest(F.lit(1.0), F.abs("mean")) * 10,
+                F.lit("range"),
+            ),
+        )
+    )
+    names = ["dtype", "count", "missing", "distinct_values", "duplicates", "min_value", "max_value", "mean"]
+    if not outliers:
+        return stats.select(*COLUMN, *names, flags.alias("flags"))
     centred = R.attach_group_values(
         counts.filter("num IS NOT NULL").select(*COLUMN, "_bucket", "num", "cnt"),
         stats.select(*COLUMN, "mean"),
@@ -62,26 +81,14 @@ def column_profile(cells: DataFrame) -> DataFrame:
         F.sqrt(F.sum(F.pow(F.col("num") - F.col("mean"), 2) * w) / F.sum(w)).alias("pstdev")
     )
     far = R.attach_group_values(centred, spread, COLUMN, chunk="_bucket")
-    outliers = far.groupBy(*COLUMN).agg(
+    beyond = far.groupBy(*COLUMN).agg(
         F.max("pstdev").alias("pstdev"),
         F.sum(
             F.when((F.col("pstdev") > 0) & (F.abs(F.col("num") - F.col("mean")) > F.col("pstdev") * 3), w).otherwise(0)
         ).alias("outliers"),
     )
-    n = F.col("count")
-    flags = F.array_compact(
-        F.array(
-            F.when(F.col("missing") / n > 0.05, F.lit("missing")),
-            F.when(F.col("duplicates") / n > 0.10, F.lit("duplicates")),
-            F.when(
-                F.col("max_value") - F.col("min_value") > F.greatest(F.lit(1.0), F.abs("mean")) * 10,
-                F.lit("range"),
-            ),
-        )
-    )
-    return stats.join(outliers, COLUMN, "left").select(
-        *COLUMN, "dtype", "count", "missing", "distinct_values", "duplicates", "min_value", "max_value",
-        "mean", "pstdev", F.coalesce("outliers", F.lit(0)).alias("outliers"), flags.alias("flags"),
+    return stats.join(beyond, COLUMN, "left").select(
+        *COLUMN, *names, "pstdev", F.coalesce("outliers", F.lit(0)).alias("outliers"), flags.alias("flags")
     )
 
 

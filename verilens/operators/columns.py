@@ -592,10 +592,16 @@ def outlier_profile(cells: DataFrame, min_values: int = 30) -> DataFrame:
 # --------------------------------------------------------------------------- repeats
 
 
-def _cells_of_texts(flat: DataFrame) -> DataFrame:
-    """Exact-decimal cells of rows with an array ``col_idx`` and JSON arrays ``header`` and ``text``."""
+def whole_tables(packed: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(cells of tables of at most ``limit`` rows, whole tables in one task; cells of the other tables or None)."""
+    flat = packed.select(*TABLE, "items.col_idx", F.to_json("items.header").alias("header"), F.to_json("items.text").alias("text"))
     parts = ["col_idx", *[F.from_json(c, "array<string>").alias(c) for c in ("header", "text")]]
-    return decimal_values(flat.select(*TABLE, F.explode(F.arrays_zip(*parts)).alias("c")).select(*TABLE, "c.*"))
+
+    def cells(rows: DataFrame) -> DataFrame:
+        return rows.select(*TABLE, F.explode(F.arrays_zip(*parts)).alias("c")).select(*TABLE, "c.*")
+
+    short, long = R.whole_groups(flat, TABLE, limit)
+    return cells(short), None if long is None else cells(long)
 
 
 def repeated_values(numeric: DataFrame, profile: Thresholds = Thresholds()) -> DataFrame:
@@ -605,10 +611,9 @@ def repeated_values(numeric: DataFrame, profile: Thresholds = Thresholds()) -> D
     task are then counted there, and each row is shuffled as one text.
     """
     if "items" in numeric.columns:
-        flat = numeric.select(*TABLE, "items.col_idx", F.to_json("items.header").alias("header"), F.to_json("items.text").alias("text"))
-        short, long = R.whole_groups(flat, TABLE, ROWS_OF_A_TASK)
-        found = repeated_values(_cells_of_texts(short), profile)
-        return found if long is None else found.unionByName(repeated_values(_cells_of_texts(long), profile))
+        short, long = whole_tables(numeric, ROWS_OF_A_TASK)
+        found = repeated_values(decimal_values(short), profile)
+        return found if long is None else found.unionByName(repeated_values(decimal_values(long), profile))
     counts = numeric.groupBy(*COLUMN, "num").agg(F.count(F.lit(1)).alias("cnt"))
     per_column = counts.groupBy(*COLUMN).agg(
         F.sum("cnt").alias("n"),
