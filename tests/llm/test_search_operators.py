@@ -239,3 +239,35 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(passage[50:300] not in t for t in cut.values()) and cut[5] == texts[5]
     assert pack(seen).count() >= seen.count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_parities_never_deny_a_pair_that_reaches_the_threshold():
+    rng = np.random.default_rng(5)
+    dropped = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 700))
+        base = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        kept = base[: max(1, int(len(base) * rng.uniform(0.3, 1)))]
+        other = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, int(rng.integers(0, 60)), dtype=np.uint64)]))
+        shared = len(np.intersect1d(base, other))
+        apart = lsh_forest.least_apart(lsh_forest.parity(base), lsh_forest.parity(other))
+        assert apart <= len(base) + len(other) - 2 * shared
+        assert apart == lsh_forest.least_apart(lsh_forest.parity(other), lsh_forest.parity(base))
+        dropped += 100 * (len(base) + len(other) - apart) // 2 < 75 * ((len(base) + len(other) + apart) // 2)
+    assert dropped > 100
+
+
+def test_pairs_out_of_reach_are_not_asked(spark):
+    """Of candidates without an estimate only those are confirmed on full sets whose parities allow it."""
+    texts = [" ".join(f"w{(7 * i + d * k) % 4001}" for i in range(300)) for d, k in ((0, 0), (0, 0), (1, 2000))]
+    texts[1] += " and a few words more"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = lsh_forest.features(docs, np.zeros(1 << lsh_forest.BIN_BITS, np.int32))
+    nodes = nodes.select("doc_id", "node", "n_shingles", "parity").cache()
+    ends = {r.doc_id: r.node for r in nodes.collect()}
+    pairs = spark.createDataFrame([(bytes(ends[0]), bytes(ends[1])), (bytes(ends[0]), bytes(ends[2]))], "a binary, b binary")
+    found = lsh_forest.reachable(pairs, nodes).collect()
+    assert [(r.a, r.b) for r in found] == [(ends[0], ends[1])] and 0.75 <= found[0].alike <= 1
+    sets = nodes.select("node")
+    asked = lsh_forest.asked_sets(sets, pairs.limit(1))
+    assert {r.node for r in asked.collect()} == {ends[0], ends[1]}

@@ -129,3 +129,27 @@ def test_positions_do_not_broadcast_cells(spark):
     df = spark.range(50).selectExpr("1 AS k", "id AS o")
     plan = R.with_positions(df, ["k"], "o")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    """Disks hold the tables of a query, not the shuffles that made them."""
+    import time
+
+    from verilens.llm.shared import write_table
+    from verilens.session import CLEANUP, cut_lineage, written
+
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    before = spark.conf.get(CLEANUP)
+    for keep in (written, cut_lineage, lambda df: write_table(df, "shuffled")):
+        start = names(files())
+        made = keep(spark.range(20_000).withColumn("k", F.xxhash64("id")).repartition(3, "k").groupBy("k").count())
+        deadline = time.time() + 20
+        while (left := names(files()) - start) and time.time() < deadline:
+            time.sleep(0.2)
+        assert not left and made.count() == 20_000
+        assert spark.conf.get(CLEANUP) == before
+
+
+def names(files) -> set[str]:
+    found = (files.apply(i).getName() for i in range(files.size()))
+    return {f for f in found if f.startswith("shuffle_") and f.endswith(".data")}

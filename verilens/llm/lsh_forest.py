@@ -15,8 +15,8 @@ share a shingle at the start of both, where what follows it can still hold enoug
 of both.  Only nodes of different groups are paired; a frequent shingle is dealt out
 in blocks.
 
-Candidates of the forest whose sketches and set sizes allow the threshold, and all of
-the second pass, are confirmed on full sets: first the best candidate of each group
+Candidates of the forest whose sketches and set sizes allow the threshold, and those of
+the second pass that an exact bound leaves, are confirmed on full sets: first the best candidate of each group
 that leads out of it, then all that still lead from one group to another.  What joins
 rows of one group is never asked, so a large group of copies costs about one question
 a copy.  Groups are connected components of confirmed links.
@@ -119,6 +119,25 @@ def bins(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - BIN_BITS)).astype(np.int64)
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Whether an odd number of the shingles falls into each of as many bins as there are shingles, or up to twice as many."""
+    width = max(64, 1 << (len(found) - 1).bit_length())
+    at = (found & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(bool)).tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Shingles that are in one of two sets only, at least: bins of different parity, in the bins of the smaller map."""
+    if len(x) < len(y):
+        x, y = y, x
+    width = 8 * len(x)
+    x, y, smaller = int.from_bytes(x), int.from_bytes(y), 8 * len(y)
+    while width > smaller:
+        width //= 2
+        x = (x >> width) ^ (x & ((1 << width) - 1))
+    return (x ^ y).bit_count()
+
+
 def shingle_counts(docs: DataFrame) -> np.ndarray:
     """How often the shingles of each bin occur in a sample of the documents."""
     width = 1 << (BIN_BITS - 6)
@@ -154,7 +173,7 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def features(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """doc_id, row (a hash of id and text), n_shingles, node (16-byte digest of the set, null if empty), signature,
-    sketch (its values' low bytes) and prefix (the start of the ordered set)."""
+    sketch (its values' low bytes), parity (of the set) and prefix (the start of the ordered set)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -166,10 +185,10 @@ def features(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     sketch = (values & 255).astype(np.uint8).tobytes()
                     node = xxhash.xxh3_128_digest(found.tobytes())
                     start = prefix(found, counts)
-                    out.append((len(found), node, values.tobytes(), sketch, start.view(np.int64)))
+                    out.append((len(found), node, values.tobytes(), sketch, parity(found), start.view(np.int64)))
                 else:
-                    out.append((0, None, None, None, None))
-            made = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "sketch", "prefix"])
+                    out.append((0, None, None, None, None, None))
+            made = pd.DataFrame(out, columns=["n_shingles", "node", "signature", "sketch", "parity", "prefix"])
             made.insert(0, "doc_id", rows["doc_id"].astype("Int64").array)
             made.insert(1, "row", rows["row"].array)
             yield made
@@ -177,7 +196,8 @@ def features(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
     texts = _texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     return texts.mapInPandas(
-        make, "doc_id long, row long, n_shingles long, node binary, signature binary, sketch binary, prefix array<long>"
+        make,
+        "doc_id long, row long, n_shingles long, node binary, signature binary, sketch binary, parity binary, prefix array<long>",
     )
 
 
@@ -219,9 +239,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return sorted_.mapInPandas(neighbours, "a binary, b binary").distinct()
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, least: float = CONFIRM_FROM) -> DataFrame:
-    """Pairs whose set sizes and sketches allow the threshold, with their estimated similarity, from ``least`` on."""
-    sketch = nodes.select("node", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
+def _sided(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Pairs whose set sizes allow the threshold, with the sizes ``n_`` and the ``column`` as ``s_`` of both."""
+    plain = nodes.select("node", F.col("n_shingles").alias("n"), F.col(column).alias("s"))
+    side = lambda c: plain.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("s").alias("s_" + c))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose set sizes and sketches allow the threshold, with their estimated similarity."""
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -230,13 +257,26 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: float = CONFIRM_FROM) -
         values = [np.frombuffer(b"".join(s), np.uint8).reshape(len(s), HASHES) for s in (x, y)]
         return pd.Series((values[0] == values[1]).mean(axis=1))
 
-    side = lambda c: sketch.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("s").alias("s_" + c))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(100 * F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
-        .select("a", "b", "n_a", "n_b", alike("s_a", "s_b").alias("alike"))
-        .filter(F.col("alike") >= least)
+    estimated = _sided(pairs, nodes, "sketch").select("a", "b", "n_a", "n_b", alike("s_a", "s_b").alias("alike"))
+    return estimated.filter(F.col("alike") >= CONFIRM_FROM)
+
+
+def reachable(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs that reach the threshold and few others, with the most that their parities leave of similarity.
+
+    What two sets do not share makes bins differ, so the bound is exact: it drops only
+    pairs whose full sets would fail.
+    """
+
+    @F.pandas_udf("long")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([least_apart(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
+
+    total = F.col("n_a") + F.col("n_b")
+    shared = F.floor((total - F.col("apart")) / 2)
+    bounded = _sided(pairs, nodes, "parity").withColumn("apart", apart("s_a", "s_b"))
+    return bounded.filter((100 + SIMILAR) * shared >= SIMILAR * total).select(
+        "a", "b", "n_a", "n_b", (shared / (total - shared)).alias("alike")
     )
 
 
@@ -334,7 +374,7 @@ def prefix_candidates(made: DataFrame, nodes: DataFrame, known: DataFrame, count
 
 
 def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """``texts`` without most of the rows whose ``_id`` is not in ``ids``, and with all others.
+    """``texts`` (or sets) without most of the rows whose ``_id`` is not in ``ids``, and with all others.
 
     A bitmap of hashed ids, of bounded size, is looked up before any text is shuffled.
     """
@@ -346,6 +386,12 @@ def likely(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.filter(F.expr("(_bits & shiftleft(1L, _bit)) <> 0")).drop("_word", "_bit", "_bits")
 
 
+def asked_sets(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """``sets`` without most of those that no pair asks for."""
+    ids = ends_of(asked).select(F.col("node").alias("_id"))
+    return likely(sets.withColumnRenamed("node", "_id"), ids).withColumnRenamed("_id", "node")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the nodes in ``wanted(node, doc_id)``, read from their documents."""
 
@@ -382,7 +428,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def joined_groups(asked: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
     """``known(node, component)`` after confirming the asked pairs, which carry their groups c_a and c_b."""
-    links = write_table(confirmed(asked, sets), "near-links")
+    links = write_table(confirmed(asked, asked_sets(sets, asked)), "near-links")
     joined = connected_components(links.select(F.col("u").alias("node")).union(links.select("v")), links)
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("_to"))
     known = known.join(joined, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
@@ -414,7 +460,7 @@ def confirmed_groups(pairs: DataFrame, known: DataFrame, sets: DataFrame) -> Dat
 
 def groups_of(docs: DataFrame, made: DataFrame, counts: np.ndarray) -> DataFrame:
     """(node, component) of the nodes that have confirmed links."""
-    columns = ("n_shingles", "signature", "sketch")
+    columns = ("n_shingles", "signature", "sketch", "parity")
     nodes = made.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), *[F.first(c).alias(c) for c in columns]
     )
@@ -425,8 +471,8 @@ def groups_of(docs: DataFrame, made: DataFrame, counts: np.ndarray) -> DataFrame
     sets = write_table(full_sets(docs, named.join(ends, "node")), "near-sets", TEXT_ROWS)
     known = write_table(ends.select("node", F.col("node").alias("component")), "near-known")
     known = confirmed_groups(pairs, known, sets)
-    # what the forest has left over; the estimate only tells which to ask first
-    more = write_table(plausible(prefix_candidates(made, nodes, known, counts), nodes, 0.0), "near-more")
+    # what the forest has left over; the bound also tells which to ask first
+    more = write_table(reachable(prefix_candidates(made, nodes, known, counts), nodes), "near-more")
     new = write_table(ends_of(more).join(ends, "node", "left_anti"), "near-new-ends")
     known = known.unionByName(new.select("node", F.col("node").alias("component")))
     sets = sets.unionByName(write_table(full_sets(docs, named.join(new, "node")), "near-new-sets", TEXT_ROWS))
