@@ -405,3 +405,97 @@ def test_table_audit_of_packed_rows_needs_one_pass(spark, monkeypatch):
     assert "Join" not in plan and sum("Exchange" in x for x in plan.splitlines()) == 1
     monkeypatch.setattr(A, "ROWS_OF_A_TASK", 20)
     assert view(A.column_profile(packed, outliers=False)) == want
+
+
+def odd_tables(spark, docs=2, tables=3, rows=24):
+    """Packed rows and their cells, with gaps, long and large numbers, odd texts and rows in two parts."""
+    rng = random.Random(14)
+    odd = ["", None, 'a"b\\', " 7.25\n", " {[1,2]}", "1e3", "-0.0000000001", "n/a", "1,234.50", "5%", "3.éx", "4.5", "12.34\n"]
+    made = []
+    for t in range(docs * tables):
+        kinds = ["money", "long", "large", "money", "odd", "money"]
+        if t % tables != 1:
+            base = [round(rng.uniform(-50, 50), 2) for _ in range(rows)]
+        for r in range(rows):
+            for c, kind in enumerate(kinds[: 3 + t % 4]):
+                if kind == "money":
+                    text = f"{base[r] + (3 if c else 0) * (r % 24 > 0 or t < 3):.2f}"
+                elif kind == "long":
+                    text = f"{base[r] / 7 * (10 if t % 2 else 1e4):.{rng.choice([10, 10, 9, 12])}f}"
+                elif kind == "large":
+                    text = str(rng.choice([10**20, 10**19, 5, 0, -(10**21), 7]) + (t % 2) * r)
+                else:
+                    text = odd[rng.randrange(len(odd))]
+                if rng.random() < 0.05 and t > 2:
+                    text = odd[rng.randrange(len(odd))]
+                if not (t == 5 and c == 0 and r < 9):
+                    made.append((t // tables, t, r, c, "other" if t == 4 and c == 1 and r % 2 else f"h{c}", text))
+        made += [(t // tables, t, r, 7, "sum", f"{2 * base[r] + 3:.2f}") for r in range(rows)]
+        made += [(t // tables, t, r, 8 + k, f"copy {k}", f"{base[r]:.2f}") for r in range(rows) for k in range(3) if t % 2]
+    kind = "doc_id long, table_id long, row_idx long, col_idx int, header string, text string"
+    cells = spark.createDataFrame(made, kind)
+    part = F.when((F.col("table_id") == 3) & (F.col("col_idx") > 2), 1).otherwise(0)
+    packed = cells.groupBy("doc_id", "table_id", "row_idx", part).agg(F.shuffle(F.collect_list(F.struct("col_idx", "header", "text"))).alias("items"))
+    packed = packed.select("doc_id", "table_id", "row_idx", "items")
+    return spark.createDataFrame(made, kind), spark.createDataFrame(packed.collect(), packed.schema)
+
+
+def ordered(df, *dropped):
+    return sorted(map(str, df.drop(*dropped).collect()))
+
+
+def test_whole_tables_pair_like_cells(spark, monkeypatch):
+    """Columns of tables that fit into a task are compared there, with the rows of the general way; long ones go it."""
+    cells, packed = odd_tables(spark)
+    numeric, texts = C.decimal_cells(cells).cache(), L.text_cells(cells).cache()
+    for limit in (1 << 16, 23):
+        monkeypatch.setattr(L, "ROWS_OF_A_TASK", limit)
+        for across in (False, True):
+            want = L.pair_profile(numeric, across=across)
+            got = L.pair_profile(packed, across=across)
+            assert got.columns == want.columns and ordered(got) == ordered(want) != []
+            assert ordered(L.pair_checks(L.pair_votes(packed, across=across))) == ordered(L.pair_checks(want)) != []
+        triples = ordered(L.column_triples(packed).select(*sorted(L.column_triples(numeric).columns)))
+        assert triples == ordered(L.column_triples(numeric).select(*sorted(L.column_triples(numeric).columns))) != []
+        assert {"plus", "minus", "same"} <= {"plus" if "additive" in t else "minus" if "subtractive" in t else "same" for t in triples}
+        assert ordered(L.packed_tail_findings(packed)) == ordered(L.tail_findings(texts, numeric)) != []
+        want = L.identical_replicates(L.pair_votes(numeric), numeric)
+        assert ordered(L.packed_replicates(packed)) == ordered(want) != []
+    short, long = L.dealt_whole(packed, ["doc_id"])
+    assert long is not None and short.count() == 0
+
+
+def test_whole_documents_pair_like_cells(spark):
+    cells, packed = odd_tables(spark)
+    numeric, texts = C.decimal_cells(cells).cache(), L.text_cells(cells).cache()
+    short, long = L.dealt_whole(packed, ["doc_id"])
+    assert long is None
+    assert ordered(L.whole_tail_findings(short, across=True)) == ordered(L.tail_findings(texts, numeric, across=True))
+    want = L.sequence_reuse(numeric, block=8)
+    got = L.whole_sequence_reuse(short).select(*want.columns)
+    assert ordered(got) == ordered(want) != []
+
+
+def test_whole_tables_are_shuffled_once(spark):
+    """No pair, cell or position is shuffled: a plan of pairs deals out rows, once."""
+    _, packed = odd_tables(spark)
+    for found in (L.pair_votes(packed), L.pair_profile(packed, across=True), L.column_triples(packed)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_kernels_hold_long_tables_over_batches(spark, monkeypatch):
+    from verilens.functions import whole_kernels as K
+
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [0] * 7, "table_id": [b // 3] * 7}) for b in range(9)]
+    monkeypatch.setattr(K, "ROWS", 5)
+    got = [t["table_id"].to_pylist() for t in K._grouped(iter(batches), ["doc_id", "table_id"])]
+    assert sum(got, []) == [t for t in range(3) for _ in range(21)]
+    assert sum(len(set(g)) for g in got) == 3  # no table is cut
+    texts = ["1.25", ".75", "1.2", "x", "3.456", "12.éx", "7.1\n", "7.12\n", "a.b.c", "9.99", ""]
+    codes = K.tail_codes(pa.array(["pad", *texts])[1:])
+    tails = [K._tail(t) for t in texts]
+    assert [c < 0 for c in codes] == [t is None for t in tails]
+    assert len(set(codes[codes >= 0])) == len({t for t in tails if t})
