@@ -16,12 +16,17 @@ QUERIES = {}
 
 def table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the first-digit, repeated-value, spread and column-pair checks."""
-    cells = X.line_cells(spark, sf_dir)
-    values = C.decimal_values(cells)
+    rows = X.packed_lines(spark, sf_dir)
+    # one row a column leaves the task that holds a table, not one a column and scanned file
+    short, long = C.whole_tables(rows, C.ROWS_OF_A_TASK)
+
+    def of_columns(check):
+        return check(short) if long is None else check(short).unionByName(check(long))
+
     column = F.concat(F.lit("Table "), "table_id", F.lit(", column "), F.col("col_idx") + 1)
     parts = [
         to_findings(
-            C.benford(cells).filter("severity IS NOT NULL"),
+            of_columns(C.benford).filter("severity IS NOT NULL"),
             "table_benford",
             check="benford_first_digit",
             severity=F.col("severity"),
@@ -30,7 +35,7 @@ def table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw=("table_id", "n", "chi2", "excess_mad"),
         ),
         to_findings(
-            C.repeated_values(values).filter("severity IS NOT NULL"),
+            of_columns(lambda cells: C.repeated_values(C.decimal_values(cells))).filter("severity IS NOT NULL"),
             "table_relationships",
             check=F.col("check"),
             severity=F.col("severity"),
@@ -39,7 +44,7 @@ def table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw=("table_id", "n", "top_count"),
         ),
         to_findings(
-            C.spread_columns(values).filter("severity IS NOT NULL"),
+            of_columns(lambda cells: C.spread_columns(C.decimal_values(cells))).filter("severity IS NOT NULL"),
             "table_relationships",
             check="zero_standard_deviation_entries",
             severity=F.col("severity"),
@@ -48,8 +53,7 @@ def table_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
             raw=("table_id", "n", "zero_entries"),
         ),
     ]
-    numeric = L.number_rows(X.packed_lines(spark, sf_dir), chunk_size=X.LINE_CHUNK)
-    pairs = L.pair_checks(L.pair_votes(numeric)).withColumns(
+    pairs = L.pair_checks(L.pair_votes(rows, chunk_size=X.LINE_CHUNK)).withColumns(
         {
             "table_id": F.col("table_a"),
             "left_column": F.col("header_a"),
