@@ -130,3 +130,10 @@ def test_contexts_are_sought_only_where_statements_stand(spark):
     missing = T.missing_statements(docs)
     assert {r.doc_id: len(r.missing) for r in missing.collect()} == {1: 3, 2: 5}
     assert "regexp_extract_all" not in missing._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shingles_of_passages_are_shuffled_once(spark):
+    sets = spark.createDataFrame([("a", 1, [1, 2, 3]), ("a", 2, [3, 4]), ("b", 3, [3, 5]), ("b", 4, [5])], "doc_id string, first_block long, s array<long>")
+    found = T._shared_shingles(sets)
+    assert {tuple(r) for r in found.collect()} == {("a", 1, 3, 3, 2), ("a", 2, 2, 3, 2), ("b", 3, 2, 5, 2), ("b", 4, 1, 5, 2)}
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # the adaptive plan's name and one
